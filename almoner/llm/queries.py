@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
-from . import decontam, packing, sharding, tokenbin, topk
+from . import decontam, packing, quality, secrets, sharding, tokenbin, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.phrase_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=13))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(100)) == 0, k=10, scale=1024.0)
 
@@ -34,19 +38,35 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = c.crc_bucket("doc_id", 5) == 0
+    model = toxicity.train(toxicity.sample(docs, labels, "toxic", ~held_out, toxicity.TRAIN_ROWS, toxicity.TRAIN_BYTES))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{c.shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     manifest = tokenbin.write(_table(spark, sf_dir, "documents"), folder, word_tokenizer())
     return tokenbin.read(spark, folder, manifest)
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = c.crc_bucket("doc_id", 3) == 1
+    model, share = quality.train(toxicity.sample(docs, labels, "quality", ~held_out, quality.TRAIN_ROWS, quality.TRAIN_BYTES))
+    scored = quality.score(docs, model, share, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size(F.filter("line_good", lambda p: p < 0.5)).alias("n_bad_lines"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = c.stored(packing.pieces(_table(spark, sf_dir, "documents"), word_tokenizer()), "pieces")
     return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round", "n_bins", "bound")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_exact_top_k, op5_extendible_sharding, op7_token_binary, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op4_exact_top_k, op5_extendible_sharding, op6_toxicity, op7_token_binary, op8_line_quality, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
