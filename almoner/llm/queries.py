@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
-from . import decontam, packing, quality, secrets, sharding, tokenbin, topk, toxicity
+from . import decontam, langid, near_dup, packing, quality, secrets, sharding, tokenbin, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages, each with their own evidence; doc_id or page_id is set."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model = langid.fit(docs)
+    a = langid.identify(docs, langid.document_evidence(docs), model, keep=["doc_id"])
+    b = langid.identify(pages, langid.page_evidence(model[0]), model, text_col="html", keep=["page_id"], html=True)
+    return a.unionByName(b, allowMissingColumns=True).select("doc_id", "page_id", "lang_id", "confidence", "accepted")
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(100)) == 0, k=10, scale=1024.0)
 
@@ -60,13 +69,17 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size(F.filter("line_good", lambda p: p < 0.5)).alias("n_bad_lines"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = c.stored(packing.pieces(_table(spark, sf_dir, "documents"), word_tokenizer()), "pieces")
     return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round", "n_bins", "bound")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op4_exact_top_k, op5_extendible_sharding, op6_toxicity, op7_token_binary, op8_line_quality, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_language, op4_exact_top_k, op5_extendible_sharding, op6_toxicity, op7_token_binary, op8_line_quality, op9_order_minhash, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
