@@ -1,0 +1,661 @@
+"""The queries of the engine and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, text
+from ..functions.lineage import cut
+from ..operators import allocation, costs, equity, geography, need, panel, sensitivity, validation
+from ..sources import collectors, html, tabular
+from ..sources.tabular import table
+from . import bindings as b
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(x: Column | str) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, 6)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def _days(c: str) -> Column:
+    return F.col(c).cast("date")
+
+
+# Scans, filters, aggregations.
+
+
+@query("SELECT user_id % 20 AS geo, event_type AS variable, CAST(isoyear(ts) AS BIGINT) AS iso_year, CAST(week(ts) AS BIGINT) AS iso_week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def weekly_counts(s: SparkSession, d: str) -> DataFrame:
+    day = _days("ts")
+    g = table(s, d, "events").groupBy((F.col("user_id") % 20).alias("geo"), F.col("event_type").alias("variable"), dates.iso_year(day).cast("long").alias("iso_year"), F.weekofyear(day).cast("long").alias("iso_week"))
+    return g.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"WITH {b.COUNTY_YEARS} SELECT county_id, year, CAST(cases AS DOUBLE) AS cases FROM cy")
+def county_year_cases(s: SparkSession, d: str) -> DataFrame:
+    return panel.yearly(b.county_years(s, d), ["county_id", "year"], "cases", "cases")
+
+
+@query("SELECT c_mktsegment AS unit, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def monthly_mean_by_unit(s: SparkSession, d: str) -> DataFrame:
+    o, c = table(s, d, "orders"), table(s, d, "customer")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("unit"), F.date_trunc("month", "o_orderdate").cast("date").alias("month")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS county_id, count(*) AS n, count(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY')) AS n_listed, round(count(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY')) / count(*), 6) AS share FROM customer GROUP BY 1")
+def conditional_counts(s: SparkSession, d: str) -> DataFrame:
+    listed = F.count_if(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return table(s, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("county_id")).agg(F.count("*").alias("n"), listed.alias("n_listed"), r6(listed / F.count("*")).alias("share"))
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k > 1 GROUP BY 1")
+def dup_marking(s: SparkSession, d: str) -> DataFrame:
+    rows = validation.duplicate_rows(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"])
+    return rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def dedup_latest(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return tabular.keep_latest(e, ["user_id"], "at").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS county_id, o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey) WHERE k = 1")
+def snapshot_thinning(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return collectors.first_of_month(o, "o_orderdate", ["c_nationkey"], "o_orderkey").select(F.col("c_nationkey").cast("long").alias("county_id"), "o_orderkey", F.date_trunc("month", "o_orderdate").cast("date").alias("month"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+def latest_snapshot(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    last = o.agg(F.max("o_orderdate").alias("last"))
+    return o.join(F.broadcast(last), F.col("o_orderdate") == F.col("last")).select("o_orderkey", "o_custkey")
+
+
+@query(f"WITH {b.PANEL} SELECT 'discount' AS \"column\", round(avg(CASE WHEN discount IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_share FROM panel UNION ALL SELECT 'price', round(avg(CASE WHEN price IS NULL THEN 1.0 ELSE 0.0 END), 6) FROM panel UNION ALL SELECT 'county_id', 0.0")
+def null_profile(s: SparkSession, d: str) -> DataFrame:
+    return rounded(validation.null_profile(b.panel(s, d).select("discount", "price", "county_id")))
+
+
+@query("SELECT c_mktsegment AS segment, " + ", ".join(f"count(*) FILTER (n_regionkey = {i}) AS r{i}" for i in range(5)) + " FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def crosstab(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.groupBy(F.col("c_mktsegment").alias("segment")).pivot("n_regionkey", list(range(5))).count().na.fill(0).withColumnsRenamed({str(i): f"r{i}" for i in range(5)})
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS county_id, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(count(*) AS DOUBLE) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY ALL")
+def unpivot_long(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    wide = o.withColumn("year", F.year("o_orderdate")).groupBy(F.col("c_nationkey").cast("long").alias("county_id")).pivot("year", list(range(1995, 2002))).count()
+    return tabular.years_long(wide, ["county_id"]).withColumn("year", F.col("year").cast("long"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def json_props_agg(s: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return table(s, d, "events").groupBy((k % 10).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT CAST(isoyear(x) AS BIGINT) AS iso_year, CAST(week(x) AS BIGINT) AS iso_week, CAST(x AS DATE) AS period_start, CAST(x + INTERVAL 6 DAY AS DATE) AS period_end FROM (SELECT unnest(generate_series(TIMESTAMP '2019-12-30', TIMESTAMP '2022-01-31', INTERVAL 7 DAY)) AS x)")
+def week_calendar(s: SparkSession, d: str) -> DataFrame:
+    return rounded(dates.week_calendar(s, "2020-01-01", "2022-01-31"))
+
+
+# Joins.
+
+
+@query(f"WITH {b.PANEL}, {b.COUNTY_YEARS}, sh AS (SELECT district_id, county_id, county_name, CASE WHEN sum(population) OVER (PARTITION BY county_id) = 0 THEN 1.0 / count(*) OVER (PARTITION BY county_id) ELSE population / sum(population) OVER (PARTITION BY county_id) END AS share FROM panel) SELECT p.district_id, p.county_id, p.county_name, cy.year, round(cy.cases * sh.share, 6) AS cases_modelled FROM panel p JOIN sh USING (district_id) LEFT JOIN cy ON cy.county_id = p.county_id AND cy.year = 1997")
+def left_dim_chain(s: SparkSession, d: str) -> DataFrame:
+    p = b.panel(s, d)
+    estimates = panel.population_share(b.county_years(s, d).where("year = 1997"), p.select("district_id", "county_id", "population"))
+    names = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("county_id"), F.col("n_name").alias("county_name"))
+    return panel.district_panel(p.select("district_id", "county_id"), estimates, names).select("district_id", "county_id", "county_name", "year", r6("cases_modelled").alias("cases_modelled"))
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS county_id FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 20)")
+def anti_invalid_ids(s: SparkSession, d: str) -> DataFrame:
+    known = table(s, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"))
+    return validation.unknown_ids(table(s, d, "customer"), known, "c_nationkey").select("c_custkey", F.col("c_nationkey").cast("long").alias("county_id"))
+
+
+@query("WITH e AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), u AS (SELECT DISTINCT user_id FROM events), p AS (SELECT DISTINCT day FROM e) SELECT day, count(*) AS n_missing FROM (SELECT user_id, day FROM u, p EXCEPT SELECT user_id, day FROM e) GROUP BY 1")
+def missing_units(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select("user_id", _days("ts").alias("day"))
+    return validation.missing_units(e, e.select("user_id"), "user_id", "day").groupBy("day").agg(F.count("*").alias("n_missing"))
+
+
+_PARAMETERS = [("a", 1995, 1.0, 1), ("a", 1998, 2.0, 2), ("a", 1998, 2.5, 3), ("b", 2000, 5.0, 1), ("b", 1996, 4.0, 2)]
+_WANTED = [(k, y) for k in "abc" for y in (1990, 1996, 1998, 1999, 2005, None)]
+
+
+@query(f"WITH v(k, year, value, ordinal) AS (VALUES {', '.join(map(repr, _PARAMETERS))}), w(k, asked) AS (VALUES {', '.join(f'({k!r}, {y if y else "NULL"})' for k, y in _WANTED)}) SELECT k, CAST(asked AS BIGINT) AS year, CAST(CASE WHEN asked IS NULL THEN (SELECT arg_max(value, ordinal) FROM v WHERE v.k = w.k) ELSE coalesce((SELECT arg_max(value, ordinal) FROM v WHERE v.k = w.k AND v.year = asked), (SELECT arg_max(value, year * 1000 + ordinal) FROM v WHERE v.k = w.k AND v.year <= asked), (SELECT arg_min(value, ordinal) FROM v WHERE v.k = w.k)) END AS DOUBLE) AS value FROM w")
+def asof_parameter(s: SparkSession, d: str) -> DataFrame:
+    return costs.as_of(s.createDataFrame(_PARAMETERS, "k string, year long, value double, ordinal int"), s.createDataFrame(_WANTED, "k string, year long"), ["k"])
+
+
+@query(f"WITH {b.COUNTY_YEARS}, dims AS (SELECT * FROM cy WHERE NOT (county_id % 5 = 0 AND year > 1998) AND county_id <> 7), want AS (SELECT n_nationkey AS county_id, y AS year FROM nation, (VALUES (1997), (2000)) t(y)) SELECT CAST(w.county_id AS BIGINT) AS county_id, CAST(w.year AS BIGINT) AS year, coalesce((SELECT cases FROM dims WHERE dims.county_id = w.county_id AND dims.year = w.year), (SELECT arg_max(cases, year) FROM dims WHERE dims.county_id = w.county_id), -1) AS cases FROM want w")
+def latest_fallback(s: SparkSession, d: str) -> DataFrame:
+    dims = b.county_years(s, d).where("NOT (county_id % 5 = 0 AND year > 1998) AND county_id <> 7")
+    want = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("county_id"), F.lit(-1).cast("long").alias("proxy"), F.explode(F.array(F.lit(1997).cast("long"), F.lit(2000).cast("long"))).alias("year"))
+    return panel.latest_or_proxy(want, dims, ["county_id"], "year", "cases", "proxy").select("county_id", "year", "cases")
+
+
+@query("SELECT p_brand, CAST(p_size AS BIGINT) AS p_size, min(p_type) AS p_type FROM part GROUP BY p_brand, p_size HAVING count(DISTINCT p_type) = 1")
+def unambiguous_bridge(s: SparkSession, d: str) -> DataFrame:
+    return geography.unambiguous(table(s, d, "part"), ["p_brand", "p_size"], "p_type").withColumn("p_size", F.col("p_size").cast("long"))
+
+
+_PLACES = [("Miskolc", "3525;3529", "0511", 1), ("Felsőzsolca", "3561", "0511", 2), ("Onga", "3562", "0512", 3), ("Encs", "3860", "0512", 4), ("Forró község", "3849", "0512", 5)]
+_ASKED = [("Miskolc",), ("3860",), ("Nincs Ilyen Település",), ("Miskolcz",), ("forró",), ("Onga",), ("Encs",)]
+
+
+@query("SELECT * FROM (VALUES ('Miskolc', '0511', 'exact_name', 'confirmed'), ('3860', '0512', 'postal', 'confirmed'), ('Nincs Ilyen Település', NULL, 'none', 'pending'), ('Miskolcz', NULL, 'fuzzy', 'pending'), ('forró', '0512', 'exact_name', 'confirmed'), ('Onga', '0512', 'manual', 'confirmed'), ('Encs', NULL, 'none', 'rejected')) t(name, district_id, method, status)")
+def fuzzy_residual(s: SparkSession, d: str) -> DataFrame:
+    places = s.createDataFrame(_PLACES, "settlement_name string, postal_codes string, district_id string, ordinal int")
+    by_hand = s.createDataFrame([("onga", "0512", True), ("encs", None, False)], "name string, district_id string, confirmed boolean")
+    return geography.crosswalk(s.createDataFrame(_ASKED, "name string"), places, by_hand).drop("score")
+
+
+# Small areas, smoothing.
+
+
+_SHARES = f"WITH {b.PANEL}, {b.COUNTY_YEARS}, sh AS (SELECT district_id, county_id, population, CASE WHEN sum(population) OVER (PARTITION BY county_id) = 0 THEN 1.0 / count(*) OVER (PARTITION BY county_id) ELSE population / sum(population) OVER (PARTITION BY county_id) END AS share FROM panel), est AS (SELECT district_id, county_id, year, cases * share AS e, population FROM cy JOIN sh USING (county_id))"
+
+
+@query(_SHARES + " SELECT district_id, county_id, year, round(e, 6) AS cases_modelled, round(greatest(0, e * 0.5), 6) AS cases_modelled_lo, round(e * 1.5, 6) AS cases_modelled_hi, round(1000 * e / nullif(population, 0), 6) AS incidence FROM est")
+def small_area_share(s: SparkSession, d: str) -> DataFrame:
+    est = panel.population_share(b.county_years(s, d), b.panel(s, d).select("district_id", "county_id", "population"))
+    return rounded(est.select("district_id", "county_id", "year", "cases_modelled", "cases_modelled_lo", "cases_modelled_hi", "incidence"))
+
+
+@query(_SHARES + " SELECT county_id, year, cy.cases, round(sum(e), 4) AS apportioned, true AS conserved FROM est JOIN cy USING (county_id, year) GROUP BY ALL")
+def conservation_audit(s: SparkSession, d: str) -> DataFrame:
+    cases = b.county_years(s, d)
+    est = panel.population_share(cases, b.panel(s, d).select("district_id", "county_id", "population"))
+    return rounded(panel.conservation(est, cases), 4)
+
+
+_RISK = f"WITH {b.PANEL}, ex AS (SELECT district_id, county_id, cases, population * (SELECT sum(cases) / sum(population) FROM panel) AS expected FROM panel), rr AS (SELECT *, CASE WHEN expected > 0 THEN cases / expected END AS rr FROM ex), mv AS (SELECT avg(rr) AS m, var_pop(rr) AS v FROM rr)"
+
+
+def _expected(s: SparkSession, d: str) -> DataFrame:
+    p = b.panel(s, d).select("district_id", "county_id", "population", "cases")
+    national = p.agg((F.sum("cases") / F.sum("population")).alias("national"))
+    return p.crossJoin(F.broadcast(national)).withColumn("expected", F.col("population") * F.col("national"))
+
+
+@query(_RISK + " SELECT district_id, round(rr, 6) AS relative_risk, round(CASE WHEN v > 0 AND m > 0 THEN (cases + m * m / v) / (expected + m / v) ELSE coalesce(rr, 1) END, 6) AS smoothed_risk FROM rr, mv")
+def empirical_bayes(s: SparkSession, d: str) -> DataFrame:
+    return rounded(panel.empirical_bayes(_expected(s, d), "cases", "expected").select("district_id", "relative_risk", "smoothed_risk"))
+
+
+@query(_RISK + ", c AS (SELECT county_id, sum(cases) AS observed, sum(expected) AS expected FROM ex GROUP BY 1) SELECT county_id, CAST(observed AS BIGINT) AS observed, round(expected, 6) AS expected, round(observed / nullif(expected, 0), 6) AS sir, round(observed / nullif(expected, 0) * 3.5, 6) AS rate FROM c")
+def indirect_sir(s: SparkSession, d: str) -> DataFrame:
+    e = _expected(s, d)
+    out = panel.standardised_ratio(e.groupBy("county_id").agg(F.sum("cases").alias("observed")), e.groupBy("county_id").agg(F.sum("expected").alias("expected")), ["county_id"])
+    return rounded(out.withColumn("rate", panel.standardised_rate("sir", 0.0035)))
+
+
+@query(f"WITH {b.SURVEILLANCE} SELECT geo, variable, period_start, value, round(CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END, 6) AS smoothed FROM sv WINDOW w AS (PARTITION BY geo, variable ORDER BY period_start ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
+def moving_average(s: SparkSession, d: str) -> DataFrame:
+    sv = b.surveillance(s, d).select("geo", "variable", "period_start", "value")
+    return rounded(panel.moving_average(sv, "value", "period_start", ["geo", "variable"], 3, 2))
+
+
+# Costs.
+
+
+@query(f"WITH {b.PRICE_YEARS}, x AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY 1) SELECT year, cost, round((SELECT price FROM py WHERE year = 2000) / price, 6) AS deflator, round(cost * (SELECT price FROM py WHERE year = 2000) / price, 2) AS cost_real_2000 FROM x LEFT JOIN py USING (year)")
+def deflate_real(s: SparkSession, d: str) -> DataFrame:
+    factors = costs.deflators(b.price_years(s, d).select("year", F.col("price").alias("index_value")), 2000)
+    o = table(s, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("cost"))
+    return costs.real(o, "cost", factors, "year", 2000).select("year", "cost", r6("deflator").alias("deflator"), F.round("cost_real_2000", 2).alias("cost_real_2000"))
+
+
+@query(f"WITH {b.PRICE_YEARS} SELECT year, yoy, round(100 / exp(coalesce(sum(CASE WHEN yoy > 0 THEN ln(yoy / 100) END) OVER (ORDER BY year DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 6) AS index_value FROM py")
+def chained_index(s: SparkSession, d: str) -> DataFrame:
+    return rounded(costs.chained_index(b.price_years(s, d).select("year", "yoy")))
+
+
+_COST = {"hbcs_weight": 0.65, "base_rate": 300000.0, "outpatient_points": 1200.0, "point_value": 2.5, "gp_visit_cost": 4000.0, "work_loss_probability": 0.75, "workdays_lost": 3.0, "working_days_per_year": 253.0, "daily_wage": 30000.0, "employer_contribution": 0.13, "underreporting": 5.0, "hospitalisation_rate": 0.45, "vaccine_price": 30000.0, "administration_cost": 2000.0}
+
+
+@query(f"WITH {b.PANEL}, t AS (SELECT district_id, cases, CAST(cases * 5.0 AS DOUBLE) AS n, CAST(population AS DOUBLE) AS population FROM panel) SELECT district_id, round(n * 0.45 * 195000 + n * 0.55 * 7000, 4) AS medical_nominal, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4, 4) AS medical_real, round(n * 0.75 * 3 * 30000 * 1.13, 4) AS productivity_nominal, round(population * 32000.0, 4) AS vaccination_nominal, round(CASE WHEN cases > 0 THEN (n * 0.45 * 195000 + n * 0.55 * 7000 + n * 0.75 * 3 * 30000 * 1.13) / cases ELSE 0 END, 4) AS cost_per_notified_case, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4 + n * 0.75 * 3 * 30000 * 1.13 * 1.75, 4) AS total_real FROM t")
+def expected_cost_panel(s: SparkSession, d: str) -> DataFrame:
+    out = costs.expected_cost(b.panel(s, d), _COST, 1.4, 1.75, births="population")
+    return rounded(out.select("district_id", "medical_nominal", "medical_real", "productivity_nominal", "vaccination_nominal", "cost_per_notified_case", "total_real"), 4)
+
+
+@query("SELECT level, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('base', 159919.75), ('low', 51549.375), ('high', 396410.125)) t(level, cost)")
+def cost_per_case(s: SparkSession, d: str) -> DataFrame:
+    return costs.analysis_parameters(s).select("level", F.round(costs.cost_per_case(), 4).alias("cost"))
+
+
+@query(f"WITH {b.PANEL}, t AS (SELECT district_id, cases, population * 100.0 / 15 AS cohort, greatest(existing_local_funding * 1000, 1.0) AS aid FROM panel), u AS (SELECT *, cases * 5.0 * 159919.75 * least(1.0, coalesce(aid / nullif(cohort * 41000.0, 0), 0)) * 0.85 AS averted FROM t) SELECT district_id, round(cohort, 4) AS cohort, round(averted, 4) AS averted, round(averted - aid, 4) AS net, round(averted / aid, 4) AS benefit_cost_ratio FROM u")
+def cost_effectiveness(s: SparkSession, d: str) -> DataFrame:
+    base = {k: v[0] for k, v in costs.ANALYSIS.items()}
+    p = b.panel(s, d).withColumns({"children": F.col("population") * 100.0, "aid": F.col("existing_local_funding") * 1000})
+    return rounded(costs.cost_effectiveness(p, 159919.75, base).select("district_id", "cohort", "averted", "net", "benefit_cost_ratio"), 4)
+
+
+# Need.
+
+
+@query(f"WITH {b.PANEL} SELECT district_id, round((own_revenue - avg(own_revenue) OVER ()) / stddev_pop(own_revenue) OVER (), 6) AS own_revenue FROM panel")
+def std_zscore(s: SparkSession, d: str) -> DataFrame:
+    return rounded(need.standardise(b.panel(s, d).select("district_id", "own_revenue"), ["own_revenue"], "zscore"))
+
+
+@query(f"WITH {b.PANEL} SELECT district_id, round((own_revenue - min(own_revenue) OVER ()) / (max(own_revenue) OVER () - min(own_revenue) OVER ()), 6) AS own_revenue FROM panel")
+def std_minmax(s: SparkSession, d: str) -> DataFrame:
+    return rounded(need.standardise(b.panel(s, d).select("district_id", "own_revenue"), ["own_revenue"], "minmax"))
+
+
+@query(f"WITH {b.PANEL} SELECT district_id, county_id, round((rank() OVER (PARTITION BY county_id ORDER BY population) + (count(*) OVER (PARTITION BY county_id, population) - 1) / 2.0) / count(*) OVER (PARTITION BY county_id), 6) AS population FROM panel")
+def std_rank(s: SparkSession, d: str) -> DataFrame:
+    return rounded(need.standardise(b.panel(s, d).select("district_id", "county_id", "population"), ["population"], "rank", ["county_id"]))
+
+
+def _need_columns(df: DataFrame) -> DataFrame:
+    return rounded(df.select("district_id", "need_score", *[f"need_{x}" for x in b.DIMS]))
+
+
+@query(f"WITH {b.SCORES}, x AS (SELECT *, " + " + ".join(f"{w} * score_{k}" for k, w in b.DIMS.items()) + f" AS need FROM scores), y AS (SELECT district_id, {b.between('need', 'need_score')} FROM x) SELECT district_id, round(need_score, 6) AS need_score FROM y")
+def need_weighted_sum(s: SparkSession, d: str) -> DataFrame:
+    return rounded(need.need_index(b.panel(s, d), b.index(aggregate="weighted_sum")).select("district_id", "need_score"))
+
+
+@query(f"WITH {b.NEED} SELECT district_id, round(need_score, 6) AS need_score, " + ", ".join(f"round(need_{k}, 6) AS need_{k}" for k in b.DIMS) + " FROM need")
+def need_mpi_core(s: SparkSession, d: str) -> DataFrame:
+    return _need_columns(need.need_index(b.panel(s, d), b.index()))
+
+
+_WM = " + ".join(f"{w} * (100 + 10 * score_{k})" for k, w in b.DIMS.items())
+_WV = " + ".join(f"{w} * (100 + 10 * score_{k} - m) * (100 + 10 * score_{k} - m)" for k, w in b.DIMS.items())
+
+
+@query(f"WITH {b.SCORES}, a AS (SELECT *, {_WM} AS m FROM scores), c AS (SELECT *, {_WV} AS v FROM a) SELECT district_id, round(m + v / m, 6) AS need FROM c")
+def need_mpi_weighted(s: SparkSession, d: str) -> DataFrame:
+    i = b.index()
+    return rounded(need.mpi(need.scores(b.panel(s, d), i), i, sign=1, weighted=True, again=False).select("district_id", "need"))
+
+
+_P = {k: f"greatest(score_{k}, 0) + 1e-9" for k in b.DIMS}
+
+
+@query(f"WITH {b.SCORES}, t AS (SELECT *, count(*) OVER () AS n, " + ", ".join(f"({p}) / sum({p}) OVER () AS p_{k}" for k, p in _P.items()) + " FROM scores), e AS (SELECT " + ", ".join(f"1 + sum(p_{k} * ln(p_{k})) / ln(max(n)) AS d_{k}" for k in _P) + " FROM t) SELECT district_id, round((" + " + ".join(f"score_{k} * d_{k}" for k in _P) + ") / (" + " + ".join(f"d_{k}" for k in _P) + "), 5) AS need FROM scores, e")
+def need_entropy(s: SparkSession, d: str) -> DataFrame:
+    i = b.index()
+    return rounded(need.entropy(need.scores(b.panel(s, d), i), i).select("district_id", "need"), 5)
+
+
+@query()
+def need_pca(s: SparkSession, d: str) -> DataFrame:
+    return _need_columns(need.need_index(b.panel(s, d), b.index(aggregate="pca")))
+
+
+def _specs(s: SparkSession, d: str) -> DataFrame:
+    rows = need.scores(b.panel(s, d), b.index())
+    sums = {"all": list(b.DIMS)} | {f"no_{k}": [x for x in b.DIMS if x != k] for k in b.DIMS}
+    return rows.select("district_id", *[F.round(sum(F.col(f"score_{x}") * b.DIMS[x] for x in dims), 6).alias(name) for name, dims in sums.items()])
+
+
+_SPECS = {"all": list(b.DIMS)} | {f"no_{k}": [x for x in b.DIMS if x != k] for k in b.DIMS}
+
+
+@query(f"WITH {b.SCORES}, sp AS (SELECT district_id, " + ", ".join("round(" + " + ".join(f"score_{x} * {b.DIMS[x]}" for x in v) + f", 6) AS s_{k}" for k, v in _SPECS.items()) + " FROM scores), rk AS (SELECT district_id, " + ", ".join(f"row_number() OVER (ORDER BY s_{k} DESC, district_id) AS r_{k}" for k in _SPECS) + " FROM sp) SELECT district_id, CAST(" + " + ".join(f"(r_{k} <= 50)::INT" for k in _SPECS) + " AS BIGINT) AS n_specs FROM rk")
+def spec_robustness(s: SparkSession, d: str) -> DataFrame:
+    return need.robustness(_specs(s, d), 50)
+
+
+@query(f"WITH {b.NEED}, t AS (SELECT district_id, need_score, " + ", ".join(f"(need_{k} - min(need_{k}) OVER ()) * {w} AS part_{k}" for k, w in b.DIMS.items()) + " FROM need) SELECT district_id, round(need_score, 6) AS need_score, " + ", ".join(f"round(part_{k}, 6) AS part_{k}" for k in b.DIMS) + " FROM t ORDER BY t.need_score DESC, district_id LIMIT 30")
+def need_composition(s: SparkSession, d: str) -> DataFrame:
+    i = b.index()
+    return rounded(need.composition(need.need_index(b.panel(s, d), i), i, 30))
+
+
+# Allocation.
+
+
+def allocated(s: SparkSession, d: str) -> DataFrame:
+    """All scenarios over the panel's districts, with what equity looks at."""
+    rows = need.need_index(b.panel(s, d), b.index())
+    return cut(allocation.allocate(rows, allocation.scenario_rows(s), b.BUDGET).withColumn("scenario_id", F.col("scenario_id").cast("long")))
+
+
+@query(f"WITH {b.ALLOCATED} SELECT scenario_id, district_id, round(aid_amount, 2) AS aid_amount, round(delta_vs_baseline, 2) AS delta_vs_baseline FROM alloc")
+def alloc_all_delta(s: SparkSession, d: str) -> DataFrame:
+    return rounded(allocated(s, d).select("scenario_id", "district_id", "aid_amount", "delta_vs_baseline"), 2)
+
+
+@query(f"WITH {b.ALLOCATED} SELECT county_id, " + ", ".join(f"round(sum(aid_amount) FILTER (scenario_id = {i}), 2) AS s{i}" for i in range(8)) + " FROM alloc GROUP BY 1")
+def pivot_scenarios(s: SparkSession, d: str) -> DataFrame:
+    wide = allocated(s, d).groupBy("county_id").pivot("scenario_id", list(range(8))).agg(F.sum("aid_amount"))
+    return rounded(wide.withColumnsRenamed({str(i): f"s{i}" for i in range(8)}), 2)
+
+
+@query(f"WITH {b.ALLOCATED} SELECT county_id, round(sum(CASE scenario_id WHEN 2 THEN aid_amount ELSE -aid_amount END), 2) AS shift FROM alloc WHERE scenario_id IN (1, 2) GROUP BY 1")
+def redistribution_by_county(s: SparkSession, d: str) -> DataFrame:
+    return rounded(allocation.redistribution(allocated(s, d)), 2)
+
+
+@query(f"WITH {b.NEED}, k AS (SELECT *, row_number() OVER (ORDER BY need_score DESC, district_id) <= greatest(1, CAST(floor(count(*) OVER () * 0.2) AS BIGINT)) AS top FROM need) SELECT count(*) FILTER (top) AS n_top, count(*) FILTER (eligible) AS n_eligible, count(*) FILTER (top AND eligible) AS n_both, round(count(*) FILTER (top AND eligible) / count(*) FILTER (top OR eligible), 6) AS jaccard, round(count(*) FILTER (top AND eligible) / count(*) FILTER (top), 6) AS share_covered FROM k")
+def policy_overlap(s: SparkSession, d: str) -> DataFrame:
+    return rounded(allocation.policy_overlap(need.need_index(b.panel(s, d), b.index())))
+
+
+@query(f"WITH {b.NEED}, r AS (SELECT district_id, population * (need_score - min(need_score) OVER () + 0.01) AS raw FROM need) SELECT district_id, round({b.BUDGET} * raw / sum(raw) OVER (), 2) AS aid_amount FROM r")
+def alloc_shares(s: SparkSession, d: str) -> DataFrame:
+    rows = need.need_index(b.panel(s, d), b.index())
+    return rounded(allocation.shares_by_score(rows, b.BUDGET, "population", "need_score").select("district_id", "aid_amount"), 2)
+
+
+# Equity.
+
+_POS = f"WITH {b.ALLOCATED}, g AS (SELECT scenario_id, district_id, region_id, aid_amount AS x, need_score AS r, row_number() OVER (PARTITION BY scenario_id ORDER BY aid_amount, district_id) AS i, row_number() OVER (PARTITION BY scenario_id ORDER BY need_score, district_id) AS k, count(*) OVER (PARTITION BY scenario_id) AS n FROM alloc)"
+_GINI = "2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n)"
+_GINI_NEED = "2 * sum(k * r) / (max(n) * sum(r)) - (max(n) + 1.0) / max(n)"
+_CI = "2 * sum(x * ((k - 0.5) / n - 0.5)) / sum(x)"
+#: Of the ordering value of a group: slices that are numbered side by side.
+SLICES = 16
+
+
+@query(f"{_POS} SELECT scenario_id, round({_GINI}, 6) AS gini FROM g GROUP BY 1")
+def gini_by_scenario(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.gini(allocated(s, d), "aid_amount", ["scenario_id"], slices=SLICES))
+
+
+@query(f"{_POS} SELECT scenario_id, round({_CI}, 6) AS ci FROM g GROUP BY 1")
+def concentration_index(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.concentration(allocated(s, d), "aid_amount", "need_score", ["scenario_id"], slices=SLICES))
+
+
+@query(f"{_POS} SELECT scenario_id, round({_CI}, 6) AS ci, round({_GINI_NEED}, 6) AS gini, round({_CI} - ({_GINI_NEED}), 6) AS kakwani FROM g GROUP BY 1")
+def kakwani(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.kakwani(allocated(s, d), "aid_amount", "need_score", ["scenario_id"], slices=SLICES))
+
+
+_THEIL = "t AS (SELECT scenario_id, region_id, count(*) AS n, sum(aid_amount) AS s, sum(CASE WHEN aid_amount > 0 THEN aid_amount * ln(aid_amount) ELSE 0 END) AS l FROM alloc GROUP BY 1, 2), th AS (SELECT scenario_id, sum(l) / sum(s) - ln(sum(s) / sum(n)) AS theil, sum(CASE WHEN s > 0 THEN l - s * ln(s / n) ELSE 0 END) / sum(s) AS within FROM t GROUP BY 1)"
+
+
+@query(f"WITH {b.ALLOCATED}, {_THEIL} SELECT scenario_id, round(theil, 6) AS theil, round(theil - within, 6) AS \"between\", round(within, 6) AS within FROM th")
+def theil(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.theil(allocated(s, d), "aid_amount", "region_id", ["scenario_id"]))
+
+
+@query(f"{_POS}, c AS (SELECT scenario_id, i AS pos, i / n AS x, sum(x) OVER (PARTITION BY scenario_id ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(x) OVER (PARTITION BY scenario_id) AS y FROM g) SELECT scenario_id, pos, round(x, 6) AS x, round(y, 6) AS y FROM c UNION ALL SELECT DISTINCT scenario_id, 0, 0.0, 0.0 FROM g")
+def lorenz(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.lorenz(allocated(s, d), "aid_amount", ["scenario_id"], slices=SLICES))
+
+
+@query(f"WITH {b.ALLOCATED}, rk AS (SELECT scenario_id, district_id, rank() OVER (PARTITION BY scenario_id ORDER BY round(aid_amount, 2)) + (count(*) OVER (PARTITION BY scenario_id, round(aid_amount, 2)) - 1) / 2.0 AS r FROM alloc) SELECT a.scenario_id AS scenario_a, b.scenario_id AS scenario_b, round(corr(a.r, b.r), 6) AS rho FROM rk a JOIN rk b USING (district_id) GROUP BY ALL")
+def spearman_matrix(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.scenario_spearman(allocated(s, d).withColumn("aid_amount", F.round("aid_amount", 2))))
+
+
+@query(f"WITH {b.ALLOCATED}, t AS (SELECT * FROM (SELECT scenario_id, district_id, row_number() OVER (PARTITION BY scenario_id ORDER BY round(aid_amount, 2) DESC, district_id) AS k FROM alloc) WHERE k <= 20), s AS (SELECT DISTINCT scenario_id FROM t), m AS (SELECT a.scenario_id AS sa, b.scenario_id AS sb, count(*) AS m FROM t a JOIN t b USING (district_id) GROUP BY ALL) SELECT a.scenario_id AS scenario_a, b.scenario_id AS scenario_b, round(coalesce(m, 0) / (40 - coalesce(m, 0)), 6) AS jaccard FROM s a CROSS JOIN s b LEFT JOIN m ON sa = a.scenario_id AND sb = b.scenario_id")
+def jaccard_topk(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.jaccard_top(allocated(s, d).withColumn("aid_amount", F.round("aid_amount", 2)), 20))
+
+
+_OVER = "q AS (SELECT scenario_id, quantile_cont(round(aid_amount, 2), 0.9) AS qa, quantile_cont(round(need_score, 6), 0.9) AS qn FROM alloc GROUP BY 1), ov AS (SELECT scenario_id, count(*) FILTER (round(need_score, 6) >= qn AND round(aid_amount, 2) >= qa) / count(*) FILTER (round(need_score, 6) >= qn) AS overlap FROM alloc JOIN q USING (scenario_id) GROUP BY 1)"
+
+
+def _coarse(s: SparkSession, d: str) -> DataFrame:
+    return allocated(s, d).withColumns({"aid_amount": F.round("aid_amount", 2), "need_score": r6("need_score")})
+
+
+@query(f"WITH {b.ALLOCATED}, {_OVER} SELECT scenario_id, round(overlap, 6) AS overlap FROM ov")
+def top_decile_overlap(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.top_overlap(_coarse(s, d), "aid_amount", "need_score", ["scenario_id"]))
+
+
+@query(f"{_POS} SELECT scenario_id, round(sum(CASE WHEN greatest(ceil((k - 1) * 5.0 / (n - 1)), 1) - 1 = 4 THEN x ELSE 0 END) / sum(x), 6) AS worst_fifth_share FROM g GROUP BY 1")
+def worst_quintile_share(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.worst_fifth_share(allocated(s, d), "aid_amount", "need_score", ["scenario_id"], slices=SLICES))
+
+
+@query(f"{_POS}, {_THEIL}, {_OVER}, e AS (SELECT scenario_id, {_CI} AS ci, {_GINI_NEED} AS gini_need, {_GINI} AS gini, sum(CASE WHEN greatest(ceil((k - 1) * 5.0 / (n - 1)), 1) - 1 = 4 THEN x ELSE 0 END) / sum(x) AS w FROM g GROUP BY 1) SELECT scenario_id, round(ci, 4) AS ci, round(gini_need, 4) AS gini_need, round(ci - gini_need, 4) AS kakwani, round(gini, 4) AS gini, round(theil, 4) AS theil, round(overlap, 4) AS overlap, round(w, 4) AS worst_fifth_share FROM e JOIN th USING (scenario_id) JOIN ov USING (scenario_id)")
+def equity_summary(s: SparkSession, d: str) -> DataFrame:
+    out = equity.summary(_coarse(s, d), "aid_amount", "need_score", "region_id", ["scenario_id"])
+    return rounded(out.select("scenario_id", "ci", "gini_need", "kakwani", "gini", "theil", "overlap", "worst_fifth_share"), 4)
+
+
+_YEAR_GINI = f"WITH {b.COUNTY_YEARS}, g AS (SELECT year, cases, row_number() OVER (PARTITION BY year ORDER BY cases, county_id) AS i, count(*) OVER (PARTITION BY year) AS n FROM cy), yg AS (SELECT year, 2.0 * sum(i * cases) / (max(n) * sum(cases)) - (max(n) + 1.0) / max(n) AS gini FROM g GROUP BY 1)"
+
+
+@query(_YEAR_GINI + " SELECT round(regr_slope(gini, year), 8) AS slope, round(regr_intercept(gini, year), 4) AS intercept, round(corr(gini, year), 6) AS r, count(*) AS n FROM yg")
+def gini_trend_ols(s: SparkSession, d: str) -> DataFrame:
+    g = equity.gini(b.county_years(s, d), "cases", ["year"], "county_id")
+    return equity.trend(g, "year", "gini").select(F.round("slope", 8).alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), F.col("n").cast("long").alias("n"))
+
+
+@query(f"WITH {b.COUNTY_YEARS} SELECT year, CAST(sum(cases) AS DOUBLE) AS total, round(avg(cases), 6) AS mean, round(stddev_samp(cases), 6) AS sd, CAST(min(cases) AS DOUBLE) AS least, CAST(max(cases) AS DOUBLE) AS most, round(max(cases) / min(cases), 6) AS spread, round(stddev_samp(cases) / avg(cases), 6) AS cv FROM cy GROUP BY 1")
+def county_inequality(s: SparkSession, d: str) -> DataFrame:
+    return rounded(equity.describe(b.county_years(s, d), "cases", ["year"], "county_id").drop("gini"))
+
+
+# Geography.
+
+
+@query(f"WITH {b.VINTAGES}, o AS (SELECT vintage, row_number() OVER (ORDER BY vintage) AS i, lead(vintage) OVER (ORDER BY vintage) AS nxt FROM (SELECT DISTINCT vintage FROM vint)), v AS (SELECT vint.*, i, nxt FROM vint JOIN o USING (vintage)), m AS (SELECT *, CASE WHEN lag(i) OVER w = i - 1 AND lag(district_id) OVER w = district_id THEN 0 ELSE 1 END AS new FROM v WINDOW w AS (PARTITION BY settlement_id ORDER BY i)), r AS (SELECT *, sum(new) OVER (PARTITION BY settlement_id ORDER BY i) AS run FROM m) SELECT settlement_id, min(district_id) AS district_id, make_date(min(vintage), 1, 1) AS valid_from, make_date(arg_max(coalesce(nxt, -1), i), 1, 1) AS valid_to FROM (SELECT settlement_id, district_id, vintage, i, nxt, run FROM r) GROUP BY settlement_id, run HAVING max(nxt) IS NOT NULL AND arg_max(coalesce(nxt, -1), i) > 0 UNION ALL SELECT settlement_id, min(district_id), make_date(min(vintage), 1, 1), NULL FROM r GROUP BY settlement_id, run HAVING arg_max(coalesce(nxt, -1), i) < 0")
+def scd2_intervals(s: SparkSession, d: str) -> DataFrame:
+    return geography.intervals(b.vintages(s, d), "settlement_id", ["district_id"])
+
+
+@query(f"WITH {b.VINTAGES}, o AS (SELECT vintage, lead(vintage) OVER (ORDER BY vintage) AS nxt FROM (SELECT DISTINCT vintage FROM vint)) SELECT 'settlement_reassigned' AS change, CAST(a.settlement_id AS VARCHAR) AS unit, a.district_id AS before, c.district_id AS after, c.vintage FROM vint a JOIN o USING (vintage) JOIN vint c ON c.settlement_id = a.settlement_id AND c.vintage = o.nxt WHERE a.district_id <> c.district_id")
+def boundary_changes(s: SparkSession, d: str) -> DataFrame:
+    return geography.boundary_changes(b.vintages(s, d))
+
+
+@query(f"WITH {b.VINTAGES}, ev AS (SELECT settlement_id, v.vintage, coalesce(vint.district_id, 'NA') AS p FROM (SELECT DISTINCT settlement_id FROM vint) CROSS JOIN (SELECT DISTINCT vintage FROM vint) v LEFT JOIN vint USING (settlement_id, vintage)), sg AS (SELECT settlement_id, string_agg(p, '|' ORDER BY vintage) AS sig FROM ev GROUP BY 1), nm AS (SELECT sig, row_number() OVER (ORDER BY min(settlement_id)) AS k FROM sg GROUP BY 1) SELECT settlement_id, 'KTE' || lpad(CAST(k AS VARCHAR), CAST(greatest(4, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS part FROM sg JOIN nm USING (sig)")
+def kte_partition(s: SparkSession, d: str) -> DataFrame:
+    return geography.common_parts(b.vintages(s, d))
+
+
+def _bridges(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Customers as settlements: source is the nation, target the segment; some have no target."""
+    p = b.panel(s, d)
+    c = table(s, d, "customer")
+    source = p.select(F.col("district_id").alias("settlement_id"), F.col("county_id").alias("source"))
+    target = c.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("settlement_id"), F.col("c_mktsegment").alias("target"))
+    people = p.select(F.col("district_id").alias("settlement_id"), F.when(F.col("county_id") == 3, 0).otherwise(F.col("population")).alias("population"))
+    values = p.groupBy(F.col("county_id").alias("source")).agg(F.sum("cases").cast("double").alias("cases"), F.sum("population").cast("double").alias("people"))
+    return values, source, target, people
+
+
+_BRIDGE = f"WITH {b.PANEL}, val AS (SELECT county_id AS source, CAST(sum(cases) AS DOUBLE) AS cases, CAST(sum(population) AS DOUBLE) AS people FROM panel GROUP BY 1), br AS (SELECT district_id, county_id AS source, CASE WHEN county_id = 3 THEN 0 ELSE population END AS p, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS target FROM panel JOIN customer ON c_custkey = district_id), sh AS (SELECT *, CASE WHEN sum(p) OVER (PARTITION BY source) <= 0 THEN 1.0 / count(*) OVER (PARTITION BY source) ELSE p / sum(p) OVER (PARTITION BY source) END AS share FROM br)"
+
+
+@query(_BRIDGE + " SELECT target, round(sum(cases * share), 6) AS cases FROM sh JOIN val USING (source) WHERE target IS NOT NULL GROUP BY 1")
+def apportion_extensive(s: SparkSession, d: str) -> DataFrame:
+    return rounded(geography.apportion(*_bridges(s, d), ["cases"]))
+
+
+@query(_BRIDGE + " SELECT target, round(sum(cases * share) / nullif(sum(people * share), 0), 6) AS rate FROM sh JOIN val USING (source) WHERE target IS NOT NULL GROUP BY 1")
+def apportion_intensive(s: SparkSession, d: str) -> DataFrame:
+    return rounded(geography.apportion_rate(*_bridges(s, d), "cases", "people"))
+
+
+@query(_BRIDGE + ", pp AS (SELECT source, sum(p) AS pop FROM br GROUP BY 1), v2 AS (SELECT source, cases, cases / 100 * pop AS num, pop FROM val JOIN pp USING (source)) SELECT target, round(sum(cases * share), 6) AS cases, round(sum(num * share) / nullif(sum(pop * share), 0), 6) AS rate FROM sh JOIN v2 USING (source) WHERE target IS NOT NULL GROUP BY 1")
+def harmonised_frame(s: SparkSession, d: str) -> DataFrame:
+    values, source, target, people = _bridges(s, d)
+    return rounded(geography.harmonise(values.withColumn("rate", F.col("cases") / 100), source, target, people, {"cases": True, "rate": False}))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(translate(lower(url), 'áéíóöőúüűñçèêàâ', 'aeiooouuuncecaa'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM pages WHERE regexp_full_match(url, '[ -~]*')")
+def name_normalise(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").where(F.col("url").rlike("^[ -~]*$")).select("page_id", text.plain_name("url").alias("name"))
+
+
+@query(f"WITH {b.VINTAGES}, c AS (SELECT settlement_id, district_id, CAST(c_nationkey AS VARCHAR) AS county_id FROM vint JOIN customer ON settlement_id = c_custkey WHERE vintage = 1999 AND settlement_id % 3 <> 0) SELECT 'district_in_several_counties' AS rule, district_id AS unit FROM c GROUP BY district_id HAVING count(DISTINCT county_id) > 1 UNION ALL SELECT 'county_count', CAST(count(DISTINCT county_id) AS VARCHAR) FROM c HAVING count(DISTINCT county_id) <> 20")
+def consistency(s: SparkSession, d: str) -> DataFrame:
+    v = b.vintages(s, d).where("vintage = 1999 AND settlement_id % 3 <> 0").drop("vintage")
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("settlement_id"), F.col("c_nationkey").cast("string").alias("county_id"))
+    return geography.consistency(v.join(c, "settlement_id"), 20)
+
+
+# Validation.
+
+
+def _one(df: DataFrame) -> DataFrame:
+    return df.select("rule", "severity", "n_rows")
+
+
+@query(f"WITH {b.SURVEILLANCE}, k AS (SELECT *, count(*) OVER (PARTITION BY geo_name, variable, iso_year) AS n FROM sv) SELECT 'duplicates' AS rule, 'error' AS severity, count(*) AS n_rows FROM k WHERE n > 1 HAVING count(*) > 0")
+def v_duplicates(s: SparkSession, d: str) -> DataFrame:
+    rows = validation.duplicate_rows(b.surveillance(s, d), ["geo_name", "variable", "iso_year"])
+    return _one(validation.finding(rows, "duplicates", "error", "repeated rows"))
+
+
+@query("WITH w AS (SELECT DISTINCT o_custkey, isoyear(o_orderdate) AS y, week(o_orderdate) AS k, CAST(date_trunc('week', o_orderdate) AS DATE) AS m FROM orders), p AS (SELECT *, lead(y) OVER x AS ny, lead(k) OVER x AS nk, lead(m) OVER x AS nm FROM w WINDOW x AS (PARTITION BY o_custkey ORDER BY m)) SELECT o_custkey, CAST(y AS BIGINT) AS from_year, CAST(k AS BIGINT) AS from_week, CAST(ny AS BIGINT) AS to_year, CAST(nk AS BIGINT) AS to_week, CAST((nm - m) / 7 - 1 AS BIGINT) AS n_missing FROM p WHERE nm - m > 7")
+def v_gaps(s: SparkSession, d: str) -> DataFrame:
+    day = _days("o_orderdate")
+    o = table(s, d, "orders").select("o_custkey", dates.iso_year(day).alias("iso_year"), F.weekofyear(day).alias("iso_week"))
+    return rounded(validation.week_gaps(o, ["o_custkey"]))
+
+
+_BOUNDS = [("click", 10.0, 300.0), ("error", 0.0, 100.0), ("view", None, 400.0)]
+
+
+@query("SELECT event_id, event_type FROM events LEFT JOIN (VALUES ('click', 10.0, 300.0), ('error', 0.0, 100.0), ('view', NULL, 400.0)) t(v, lo, hi) ON v = event_type WHERE value < coalesce(lo, 0) OR value > coalesce(hi, 'Infinity'::DOUBLE)")
+def v_ranges(s: SparkSession, d: str) -> DataFrame:
+    bounds = s.createDataFrame(_BOUNDS, "variable string, low double, high double")
+    return validation.out_of_range(table(s, d, "events"), bounds, "event_type").select("event_id", "event_type")
+
+
+@query(f"WITH {b.SURVEILLANCE}, x AS (SELECT variable, period_start, coalesce(sum(value) FILTER (geo_level = 'county'), 0) AS counties, min(value) FILTER (geo_level = 'country') AS country, count(*) FILTER (geo_level = 'county') AS n FROM sv GROUP BY 1, 2) SELECT variable, period_start, counties, country FROM x WHERE country IS NOT NULL AND n > 0 AND abs(counties - country) > 0.5")
+def v_sum_agreement(s: SparkSession, d: str) -> DataFrame:
+    return validation.sum_disagreement(b.surveillance(s, d))
+
+
+@query("WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS med FROM orders GROUP BY 1), a AS (SELECT o_orderpriority, median(abs(o_totalprice - med)) AS mad FROM orders JOIN m USING (o_orderpriority) GROUP BY 1) SELECT o_orderkey, round(abs(0.6745 * (o_totalprice - med) / mad), 6) AS robust_z, CASE WHEN abs(0.6745 * (o_totalprice - med) / mad) > 1.2 THEN 'outlier' END AS quality_flag FROM orders JOIN m USING (o_orderpriority) JOIN a USING (o_orderpriority)")
+def v_outliers_mad(s: SparkSession, d: str) -> DataFrame:
+    return rounded(validation.outliers(table(s, d, "orders"), "o_totalprice", ["o_orderpriority"], 1.2).select("o_orderkey", "robust_z", "quality_flag"))
+
+
+@query(f"WITH {b.SURVEILLANCE} SELECT geo_name, variable, period_start, evidence_class FROM sv WHERE evidence_class NOT IN ('observed', 'estimated', 'assumed') OR (geo_level = 'district' AND evidence_class = 'observed' AND source_id <> 'nngyk_foia')")
+def v_evidence(s: SparkSession, d: str) -> DataFrame:
+    return validation.wrong_evidence(b.surveillance(s, d)).select("geo_name", "variable", "period_start", "evidence_class")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate < DATE '1997-01-01'")
+def v_break(s: SparkSession, d: str) -> DataFrame:
+    return validation.before_break(table(s, d, "orders").withColumn("variable", F.col("o_orderpriority")), ["1-URGENT", "2-HIGH"], "o_orderdate", "1997-01-01").select("o_orderkey")
+
+
+@query(f"WITH {b.PANEL}, x AS (SELECT county_id, sum(population) AS summed, CASE WHEN county_id % 4 = 0 THEN 100.0 ELSE CAST(sum(population) AS DOUBLE) END AS declared FROM panel GROUP BY 1) SELECT county_id, CAST(summed AS DOUBLE) AS summed, declared FROM x WHERE abs(summed - declared) > 0.005 * declared")
+def v_population(s: SparkSession, d: str) -> DataFrame:
+    p = b.panel(s, d)
+    whole = p.groupBy("county_id").agg(F.sum("population").cast("double").alias("w")).withColumn("declared", F.when(F.col("county_id") % 4 == 0, 100.0).otherwise(F.col("w")))
+    return validation.county_totals_off(p.join(F.broadcast(whole), "county_id"), "population", "declared", ["county_id"]).select("county_id", F.col("summed").cast("double").alias("summed"), "declared")
+
+
+@query(f"WITH {_SHARES[5:]} SELECT count(*) AS n, round(avg(abs(e - p.cases)), 6) AS mae, round(avg(CASE WHEN p.cases BETWEEN greatest(0, e * 0.5) AND e * 1.5 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM est JOIN panel p USING (district_id) WHERE year = 1998")
+def modelled_against_observed(s: SparkSession, d: str) -> DataFrame:
+    p = b.panel(s, d)
+    est = panel.population_share(b.county_years(s, d).where("year = 1998"), p.select("district_id", "county_id", "population"))
+    m = est.select("district_id", F.col("cases_modelled").alias("estimate"), F.col("cases_modelled_lo").alias("lo"), F.col("cases_modelled_hi").alias("hi"))
+    return rounded(validation.modelled_against_observed(m, p.select("district_id", F.col("cases").alias("value")), ["district_id"]))
+
+
+# Sensitivity.
+
+
+@query("SELECT parameter, CAST(delta AS DOUBLE) AS delta, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CAST(swing AS DOUBLE) AS swing FROM (VALUES ('a', 0.1, 28.0, 32.0, 4.0), ('a', 0.5, 20.0, 40.0, 20.0), ('b', 0.1, 29.0, 31.0, 2.0), ('b', 0.5, 25.0, 35.0, 10.0)) t(parameter, delta, low, high, swing)")
+def tornado(s: SparkSession, d: str) -> DataFrame:
+    return rounded(sensitivity.tornado(s, {"a": 10.0, "b": 100.0}, 2 * F.col("a") + 0.1 * F.col("b"), (0.1, 0.5)))
+
+
+@query()
+def tornado_costs(s: SparkSession, d: str) -> DataFrame:
+    return sensitivity.bounds_tornado(s, costs.ANALYSIS, 3381 * F.col("underreporting") * costs.cost_per_case())
+
+
+@query(f"WITH {b.NEED}, cell AS (SELECT eta, rate FROM (VALUES (0.0), (0.5), (1.0), (2.0)) a(eta), (VALUES (0.0), (0.1), (0.5)) c(rate)), x AS (SELECT eta, rate, district_id, need_score, population, population * (1 + eta * need_score) + rate * cases AS raw FROM need, cell), y AS (SELECT *, {b.BUDGET} * raw / sum(raw) OVER p AS aid, {b.BUDGET} * population / sum(population) OVER p AS flat, row_number() OVER (PARTITION BY eta, rate ORDER BY need_score, district_id) AS k, count(*) OVER p AS n FROM x WINDOW p AS (PARTITION BY eta, rate)) SELECT CAST(eta AS DOUBLE) AS eta, CAST(rate AS DOUBLE) AS rate, round(sum(abs(aid - flat)) / 2 / {b.BUDGET}, 6) AS reshuffled, round(2 * sum(aid * ((k - 0.5) / n - 0.5)) / sum(aid), 6) AS ci FROM y GROUP BY 1, 2")
+def two_way_grid(s: SparkSession, d: str) -> DataFrame:
+    rows = need.need_index(b.panel(s, d), b.index())
+    return rounded(sensitivity.grid(rows, s, [0.0, 0.5, 1.0, 2.0], [0.0, 0.1, 0.5], b.BUDGET))
+
+
+@query()
+def psa(s: SparkSession, d: str) -> DataFrame:
+    return sensitivity.psa(b.panel(s, d).where("county_id < 5"), 200, 20260101, b.BUDGET)
+
+
+@query()
+def dirichlet_topdecile(s: SparkSession, d: str) -> DataFrame:
+    rows = need.scores(b.panel(s, d), b.index())
+    return sensitivity.top_frequency(rows, sensitivity.dirichlet(s, 200, 20260101, b.DIMS), list(b.DIMS))
+
+
+@query()
+def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
+    return sensitivity.bootstrap_gini(b.panel(s, d), "cases", "region_id", 200, 20260101)
+
+
+# Texts and pages.
+
+
+@query("WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"''#][^\"'']*)[\"'']', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"''#][^\"'']*)[\"'']', 1), 1) - 1 AS p FROM pages), a AS (SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || trim(href) ELSE '?' END AS link, p FROM h WHERE NOT regexp_matches(lower(href), '^\\s*(mailto|javascript|tel):')) SELECT page_id, link, CAST(min(p) AS BIGINT) AS place FROM a GROUP BY 1, 2")
+def extract_links(s: SparkSession, d: str) -> DataFrame:
+    return rounded(html.links(table(s, d, "pages")))
+
+
+_TEXTS = [(1, "A támogatás 12 000 Ft, legfeljebb 150.000 Ft; a díj 500 Ft."), (2, "nincs összeg"), (3, "Háziorvosi vizit 4500 Ft és\nMiskolci járás: 12,5\nEncsi járás 7,25 pont"), (4, None)]
+
+
+@query("SELECT 1 AS id, [CAST(12000 AS BIGINT), 150000] AS candidates, CAST(150000 AS BIGINT) AS most UNION ALL SELECT 2, [], NULL UNION ALL SELECT 3, [4500], 4500 UNION ALL SELECT 4, NULL, NULL")
+def amount_extraction(s: SparkSession, d: str) -> DataFrame:
+    return collectors.amounts(s.createDataFrame(_TEXTS, "id int, body string"), "id", "body")
+
+
+@query("SELECT id, district_name, CAST(value AS DOUBLE) AS value FROM (VALUES (3, 'Miskolci járás', 12.5), (3, 'Encsi járás', 7.25)) t(id, district_name, value)")
+def decree_lines(s: SparkSession, d: str) -> DataFrame:
+    return collectors.decree_lines(s.createDataFrame(_TEXTS, "id int, body string"), "id", "body")
+
+
+@query("SELECT * FROM (VALUES ('-', CAST(0 AS BIGINT)), ('–', 0), ('', NULL), ('●', NULL), ('12', 12), ('1 233', 1233), (' 8 ', 8), ('n.a.', NULL)) t(cell, value)")
+def parse_cell(s: SparkSession, d: str) -> DataFrame:
+    cells = s.createDataFrame([("-",), ("–",), ("",), ("●",), ("12",), ("1 233",), (" 8 ",), ("n.a.",)], "cell string")
+    return cells.select("cell", text.cell_number("cell").alias("value"))
+
+
+@query("SELECT * FROM (VALUES ('a', 2), ('b', 0)) t(sheet, line)")
+def header_detect(s: SparkSession, d: str) -> DataFrame:
+    rows = [("a", 0, "Kimutatás", ""), ("a", 1, "", "x"), ("a", 2, "Település NEVE", "Járás kódja"), ("a", 3, "település", "járás"), ("b", 0, "JÁRÁS", "Település"), ("c", 0, "más", "oszlop")]
+    return tabular.header_row(s.createDataFrame(rows, "sheet string, line int, c1 string, c2 string"), ["település", "járás"])
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS node, CAST(o_orderkey % (SELECT count(*) FROM customer) AS BIGINT) AS target FROM orders), w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT e.target, level + 1 FROM w JOIN e USING (node) WHERE level < 3) SELECT node, CAST(min(level) AS BIGINT) AS level FROM w GROUP BY 1")
+def url_walk(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "customer").agg(F.count("*").alias("n"))
+    edges = table(s, d, "orders").crossJoin(F.broadcast(n)).select(F.col("o_custkey").alias("node"), (F.col("o_orderkey") % F.col("n")).alias("target"))
+    return rounded(html.walk(edges, s.range(1, 2).select(F.col("id").alias("node")), 3))
+
+
+def entry(s: SparkSession, d: str) -> DataFrame:
+    """The flagship: panel, need, all scenarios, and how fair each is."""
+    return equity_summary(s, d)
+
