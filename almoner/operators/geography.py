@@ -67,8 +67,8 @@ def boundary_changes(rows: DataFrame, unit: str = "settlement_id", parent: str =
     came = dated.where(F.col("__prev").isNotNull() & ~F.col("__had").eqNullSafe(F.col("__prev")))
     went = dated.where(F.col("__next").isNotNull() & ~F.col("__has").eqNullSafe(F.col("__next")))
     none = F.lit(None).cast("string")
-    came = came.select(F.lit("district_created"), F.col(parent).cast("string"), none, F.col(parent).cast("string"), F.col(vintage))
-    went = went.select(F.lit("district_dissolved"), F.col(parent).cast("string"), F.col(parent).cast("string"), none, F.col("__next"))
+    came = came.select(F.lit("district_created").alias("change"), F.col(parent).cast("string").alias("unit"), none.alias("before"), F.concat(F.col(parent).cast("string"), F.lit("")).alias("after"), F.col(vintage).alias("vintage"))
+    went = went.select(F.lit("district_dissolved").alias("change"), F.col(parent).cast("string").alias("unit"), F.concat(F.col(parent).cast("string"), F.lit("")).alias("before"), none.alias("after"), F.col("__next").alias("vintage"))
     return moved.union(came).union(went)
 
 
