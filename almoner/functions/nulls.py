@@ -60,3 +60,10 @@ def blank(x: Column | str) -> Column:
     """NULL, empty, or what a frame's printed missing value looks like."""
     t = F.lower(F.trim(col(x).cast("string")))
     return t.isNull() | t.isin("", "nan", "none", "null")
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's, over rows where both are known; NULL without spread, where corr would divide by zero."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return known(ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))

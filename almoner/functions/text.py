@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .nulls import col, zero_filled
 
@@ -84,7 +85,7 @@ def sorted_tokens(x: Column | str) -> Column:
     return F.array_join(F.array_sort(F.split(F.trim(one_space(F.lower(col(x)))), " ")), " ")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, 0 to 100; Levenshtein distance is not the same measure."""
     from difflib import SequenceMatcher

@@ -60,7 +60,7 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     """group, rho over rows where both are known; ties share their mean rank."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = rows.select(*group, ranks.mean_rank(x, group).alias("__a"), ranks.mean_rank(y, group).alias("__b"))
-    return ranked.groupBy(*group).agg(nulls.known(F.corr("__a", "__b")).alias("rho"))
+    return ranked.groupBy(*group).agg(nulls.correlation("__a", "__b").alias("rho"))
 
 
 def scenario_spearman(allocated: DataFrame, value: str = "aid_amount", unit: str = "district_id") -> DataFrame:
@@ -68,7 +68,7 @@ def scenario_spearman(allocated: DataFrame, value: str = "aid_amount", unit: str
     ranked = allocated.where(F.col(value).isNotNull()).select("scenario_id", unit, ranks.mean_rank(value, ["scenario_id"]).alias("r"))
     a = ranked.select(unit, F.col("scenario_id").alias("scenario_a"), F.col("r").alias("ra"))
     b = ranked.select(unit, F.col("scenario_id").alias("scenario_b"), F.col("r").alias("rb"))
-    return a.join(b, unit).groupBy("scenario_a", "scenario_b").agg(nulls.known(F.corr("ra", "rb")).alias("rho"))  # scenarios times scenarios rows for a unit
+    return a.join(b, unit).groupBy("scenario_a", "scenario_b").agg(nulls.correlation("ra", "rb").alias("rho"))  # scenarios times scenarios rows for a unit
 
 
 def top_rows(df: DataFrame, value: str, group: list[str], k: int, tie: str = "district_id") -> DataFrame:
@@ -115,7 +115,7 @@ def summary(df: DataFrame, aid: str, need: str, by: str, group: list[str], tie:
 def trend(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
     """group, slope, intercept, r, n, t of a least-squares line; t_two_sided in functions.tails makes t a p-value."""
     cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
-    r = nulls.known(F.corr(cx, cy))
+    r = nulls.correlation(cx, cy)
     out = df.groupBy(*(group or [])).agg(F.regr_slope(cy, cx).alias("slope"), F.regr_intercept(cy, cx).alias("intercept"), r.alias("r"), F.regr_count(cy, cx).alias("n"))
     return out.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2.0), F.sqrt(F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)))))
 

@@ -162,7 +162,7 @@ def first_component(df: DataFrame, columns: list[str]) -> dict[str, float]:
     The driver gets the correlations of the columns, a small square, and no rows.
     """
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    row = df.agg(*[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first() if pairs else {}
+    row = df.agg(*[nulls.correlation(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first() if pairs else {}
     m = np.eye(len(columns))
     for i, j in pairs:
         x = row[f"c{i}_{j}"]
