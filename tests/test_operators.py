@@ -214,3 +214,16 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     want = weekly.weekly(batch, "user_id", "event_type", "value")
     got = {tuple(r)[:4] for r in spark.table("weeks").collect()}
     assert got == {tuple(r)[:4] for r in want.collect()} and all(r[2].weekday() == 0 for r in got)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from helpers import DATA
+
+    from almoner import cli
+
+    assert cli.main(["list"]) == 0 and "equity_summary" in capsys.readouterr().out
+    assert cli.main(["--data", DATA, "--out", f"{tmp_path}/costs", "costs"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/costs.parquet").count() == 3
+    assert cli.main(["--data", DATA, "allocate", "--scenario", "99"]) == 2
+    assert cli.main(["--data", DATA, "--out", f"{tmp_path}/found", "validate", "--strict"]) == 1
+    assert cli.main(["--data", DATA, "--out", f"{tmp_path}/words", "dictionary"]) == 0
