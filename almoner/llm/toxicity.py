@@ -26,6 +26,7 @@ from . import _common as c
 TRAIN_ROWS = 8000
 TRAIN_BYTES = 32_000
 BITS = 18
+PART = 256
 SHRINK = 1e-5
 RATE = 0.2
 #: Features whose presence in a document goes with the label less than this (log likelihood ratio) are left out, rare ones so.
@@ -132,10 +133,20 @@ def fit(y: np.ndarray, per_doc: np.ndarray, per_sentence: np.ndarray, x: np.ndar
     keep = per_sentence > 0
     doc = np.repeat(np.arange(len(y)), per_doc)[keep]
     per_sentence = per_sentence[keep]
-    size, of = 1 << BITS, np.repeat(np.arange(len(per_sentence)), per_sentence)
-    pairs = np.unique(doc[of].astype(np.int64) << BITS | x)
-    telling = _association(np.bincount(pairs & size - 1, minlength=size), np.bincount(pairs & size - 1, y[pairs >> BITS], size), y) >= LEAST_ASSOCIATION
-    x, of = x[(kept := telling[x])], of[kept]
+    size = 1 << BITS
+    in_docs, in_toxic = np.zeros(size), np.zeros(size)
+    ends = np.concatenate([[0], np.cumsum(per_sentence)])
+    kept = np.searchsorted(doc, np.arange(0, len(y) + PART, PART))  # sentences of PART documents at a time
+    for k in range(0, len(y), PART):
+        first, last = kept[k // PART], kept[k // PART + 1]
+        own = np.repeat(doc[first:last], per_sentence[first:last]).astype(np.int64) << BITS | x[ends[first] : ends[last]]
+        pairs = np.unique(own)
+        in_docs += np.bincount(pairs & size - 1, minlength=size)
+        in_toxic += np.bincount(pairs & size - 1, y[pairs >> BITS], size)
+    telling = _association(in_docs, in_toxic, y) >= LEAST_ASSOCIATION
+    chosen = telling[x]
+    of = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)[chosen]
+    x = x[chosen]
     w, b = np.zeros(size, np.float32), float(np.log(max(y.mean(), 1e-3) / max(1.0, len(per_sentence) / len(y))))
     m, v, bm, bv = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
