@@ -183,8 +183,10 @@ def _copies(seed: int) -> list[tuple[int, str]]:
     return out + [(len(out), out[0][1].upper() + "!"), (len(out) + 1, "")]
 
 
-def test_near_duplicates(spark, monkeypatch):
+@pytest.mark.parametrize("task_edges", [0, 10**6])
+def test_near_duplicates(spark, monkeypatch, task_edges):
     monkeypatch.setattr(near_dup, "CROWD", 3)
+    monkeypatch.setattr(near_dup, "TASK_EDGES", task_edges)
     rows = _copies(5)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     codes = {i: np.array([hash(w) for w in near_dup.words(t)]) for i, t in rows}
