@@ -8,9 +8,10 @@ edit similarity is high and not where the same k-mers come in another order. Tex
 A bucket's members are compared with its leaders, not with each other. Those that join a leader's class are done; among
 the others, more leaders are chosen in the next turn, until none is left. So a bucket of n copies of one text takes n
 comparisons, however large n is, and no pair of a bucket goes unexamined unless a class already joins it. A bucket that is
-still crowded after FIRST_TURNS turns holds different texts with a passage in common, which says nothing about the rest of them:
-its members are sketched again without the k-mers that brought them there, up to AGAIN times, and those that have no
-other k-mers stay in the bucket and are compared to the end.
+still crowded after FIRST_TURNS turns holds different texts with a passage in common: its members are sketched again without
+the k-mers that brought them there, up to AGAIN times, which finds most links early. The bucket itself is held, and at the end
+each pair of it that no class joins by then is compared, unless lengths or counts of words show that it can't be similar.
+Such pairs are made block by block of BLOCK members, so a large bucket is many tasks.
 Candidates are verified by banded alignment: bit-parallel longest common subsequence, restricted to the diagonals that a
 similar pair cannot leave. Words are lower-case runs of letters and digits. Texts of equal words are one node from the
 beginning. Classes are connected components of the verified links: united in one task while they are few (TASK_EDGES, by
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,9 @@ SIMILARITY = 0.8
 FIRST_TURNS = 1
 CROWD = 16
 AGAIN = 4
+#: Members of a held bucket that meet another such block in one group, and bins in which their words are counted.
+BLOCK = 512
+BINS = 256
 #: Edges that one task may hold, about 200 MB.
 TASK_EDGES = 1_000_000
 #: ASCII letters and digits, and all beyond ASCII, belong to words.
@@ -248,6 +253,50 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def counts(texts: DataFrame) -> DataFrame:
+    """node, n (its words), bins (its words counted by BINS values of their hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            own = [np.frombuffer(unpack.decompress(x.as_py()), "<u4") for x in batch.column(1)]
+            bins = [pack.compress(np.bincount(w % BINS, minlength=BINS).astype("<i4").tobytes()) for w in own]
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "n": pa.array([len(w) for w in own], pa.int64()), "bins": pa.array(bins, pa.binary())})
+
+    return texts.select("node", "words").mapInArrow(run, "node long, n long, bins binary")
+
+
+def unjoined(held: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes of different labels in a bucket, but for those whose lengths or counts of words rule them out; held: node, bucket, label."""
+
+    def run(group: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        group = group.sort_by("n")
+        node, label, n, mine = (group.column(x).to_numpy() for x in ("node", "label", "n", "mine"))
+        bins = np.stack([np.frombuffer(unpack.decompress(x.as_py()), "<i4") for x in group.column("bins")])
+        one = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        a, b = [], []
+        for i in range(len(n)):
+            # the others are as long or longer, up to the longest of which this one can be enough
+            end = np.searchsorted(n, int(n[i] / least) + 1, "right")
+            at = np.arange(i + 1, end)
+            need = np.ceil(least * n[at] - 1e-9)
+            at = at[(need <= n[i]) & (label[at] != label[i]) & (one | (mine[at] != mine[i]))]
+            if len(at):
+                at = at[np.minimum(bins[at], bins[i]).sum(axis=1) >= np.ceil(least * n[at] - 1e-9)]
+                a.append(np.minimum(node[at], node[i]))
+                b.append(np.maximum(node[at], node[i]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    blocks = held.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = held.join(blocks, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = placed.select("node", "bucket", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.join(counts(texts.join(held.select("node").distinct(), "node", "left_semi")), "node")
+    each = dealt.select("node", "bucket", "label", "n", "bins", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    return each.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
+
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labels of the components of all edges in one task, by union of the least."""
     parent: dict[int, int] = {}
@@ -297,10 +346,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
     first = slots(made.select("node", "picks"), 0)
     state = c.stored(first.join(several(first, "node"), "bucket").dropDuplicates(["node", "bucket"]).withColumn("label", F.col("node")), "buckets")
     texts = made.select("node", "words").dropDuplicates(["node"])
-    edges, labels, stops, turn, again = None, None, None, 0, 0
+    edges, labels, stops, held, every, turn, again = None, None, None, [], None, 0, 0
     while True:
         # the texts of what is still open: few after the first turn
         texts = c.stored(texts.join(state.select("node").distinct(), "node", "left_semi"), "texts")
+        every = texts if every is None else every
         # leaders: the least node in each of the bucket's parts by a hash; an order of all nodes, so buckets of one class have one leader
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 if not turn else 2 << turn))
         leaders = state.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.label").alias("own"))
@@ -322,6 +372,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
             if crowded.isEmpty():
                 continue
             again += 1
+            held.append(crowded.select("node", "bucket"))
             own = crowded.select("node", F.col("kmers").alias("k"))
             if stops is not None:
                 own = own.unionByName(stops.select("node", F.col("stops").alias("k")))
@@ -330,8 +381,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
             fresh = slots(new, again)
             fresh = fresh.join(several(fresh, "node"), "bucket").dropDuplicates(["node", "bucket"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             calm = state.join(crowded.select("bucket").distinct(), "bucket", "left_anti")
-            bare = crowded.join(new.select("node"), "node", "left_anti")  # nothing but those k-mers
-            state = c.stored(calm.unionByName(bare).unionByName(fresh), "buckets")
+            state = c.stored(calm.unionByName(fresh), "buckets")
+            if state.isEmpty():
+                break
+    if held:
+        rest = reduce(DataFrame.unionByName, held).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = c.stored(rest.join(several(rest, "label"), "bucket", "left_semi"), "held")
+        pairs = c.stored(unjoined(rest, every, least), "pairs")
+        edges = c.stored(edges.unionByName(verified(pairs, every, least)).distinct(), "links")
+        labels = components(edges)
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     name_ = of.groupBy("label").agg(F.min("doc_id").alias("class_id"))

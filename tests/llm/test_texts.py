@@ -201,6 +201,27 @@ def test_near_duplicates(spark, monkeypatch, task_edges):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, block):
+    """Copies that share nothing but the crowd's passage are compared with each other."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    assert near_dup.CROWD == 16
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage, rows = new(70), []
+    for g in range(30):
+        own = new(30)
+        for k in range(1 + g % 3):
+            # every third word of its own is another, so no five words in a row are
+            rows.append((len(rows), " ".join(passage + [f"e{g}x{k}x{i}" if k and i % 3 == 0 else w for i, w in enumerate(own)])))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    codes = {i: np.array([hash(w) for w in near_dup.words(t)]) for i, t in rows}
+    want = {}
+    for i, _ in rows:
+        want[i] = next((want[j] for j in range(i) if near_dup.similar(codes[i], codes[j], 0.8)), i)
+    assert got == want and len(set(want.values())) == 30
+
+
 def test_order_matters():
     f, s = near_dup.seeds(64)
     w = np.arange(40, dtype=np.uint64) * np.uint64(7919)
