@@ -582,6 +582,9 @@ def modelled_against_observed(s: SparkSession, d: str) -> DataFrame:
 
 # Sensitivity.
 
+#: Draws and replicates of the surveyed runs.
+DRAWS = 2000
+
 
 @query("SELECT parameter, CAST(delta AS DOUBLE) AS delta, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CAST(swing AS DOUBLE) AS swing FROM (VALUES ('a', 0.1, 28.0, 32.0, 4.0), ('a', 0.5, 20.0, 40.0, 20.0), ('b', 0.1, 29.0, 31.0, 2.0), ('b', 0.5, 25.0, 35.0, 10.0)) t(parameter, delta, low, high, swing)")
 def tornado(s: SparkSession, d: str) -> DataFrame:
@@ -601,18 +604,18 @@ def two_way_grid(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def psa(s: SparkSession, d: str) -> DataFrame:
-    return sensitivity.psa(b.panel(s, d).where("county_id < 5"), 200, 20260101, b.BUDGET)
+    return sensitivity.psa(b.panel(s, d), DRAWS, 20260101, b.BUDGET)
 
 
 @query()
 def dirichlet_topdecile(s: SparkSession, d: str) -> DataFrame:
     rows = need.scores(b.panel(s, d), b.index())
-    return sensitivity.top_frequency(rows, sensitivity.dirichlet(s, 200, 20260101, b.DIMS), list(b.DIMS))
+    return sensitivity.top_frequency(rows, sensitivity.dirichlet(s, DRAWS, 20260101, b.DIMS), list(b.DIMS))
 
 
 @query()
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return sensitivity.bootstrap_gini(b.panel(s, d), "cases", "region_id", 200, 20260101)
+    return sensitivity.bootstrap_gini(b.panel(s, d), "cases", "region_id", DRAWS, 20260101)
 
 
 # Texts and pages.
