@@ -516,6 +516,13 @@ def consistency(s: SparkSession, d: str) -> DataFrame:
     return geography.consistency(v.join(c, "settlement_id"), 20)
 
 
+@query(f"WITH {b.VINTAGES}, c AS (SELECT settlement_id, vintage, district_id, CAST(c_nationkey AS VARCHAR) AS county_id FROM vint LEFT JOIN customer ON settlement_id = c_custkey) SELECT 'duplicate_settlement' AS rule, CAST(settlement_id AS VARCHAR) AS unit FROM c GROUP BY vintage, settlement_id HAVING count(*) > 1 UNION ALL SELECT 'district_in_several_counties', district_id FROM c GROUP BY vintage, district_id HAVING count(DISTINCT county_id) > 1 UNION ALL SELECT 'blank_district', CAST(settlement_id AS VARCHAR) FROM c WHERE district_id IS NULL OR lower(trim(district_id)) IN ('', 'nan', 'none', 'null') UNION ALL SELECT 'county_count', CAST(count(DISTINCT county_id) AS VARCHAR) FROM c GROUP BY vintage HAVING count(DISTINCT county_id) <> 20")
+def consistency_of_vintages(s: SparkSession, d: str) -> DataFrame:
+    """The rules over every settlement of every vintage."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("settlement_id"), F.col("c_nationkey").cast("string").alias("county_id"))
+    return geography.consistency(b.vintages(s, d).join(c, "settlement_id", "left"), 20)
+
+
 # Validation.
 
 

@@ -70,3 +70,17 @@ def test_draws_as_surveyed(spark, monkeypatch, name):
     monkeypatch.setattr(sensitivity, name, lambda *a: asked.append(a[at]) or real(*a))
     {"dirichlet": catalog.dirichlet_topdecile, "bootstrap_gini": catalog.bootstrap_ci}[name](spark, DATA)
     assert asked == [2000]
+
+
+def test_consistency_of_all_vintages(spark, monkeypatch):
+    """A blank district is found in whatever vintage and settlement it stands."""
+    from pyspark.sql import functions as F
+
+    from almoner.plans import bindings as b
+
+    v = b.vintages(spark, DATA)
+    bad = v.where("vintage <> 1999 OR settlement_id % 3 = 0").orderBy("settlement_id", "vintage").first()
+    at = (F.col("settlement_id") == bad["settlement_id"]) & (F.col("vintage") == bad["vintage"])
+    monkeypatch.setattr(b, "vintages", lambda s, d: v.withColumn("district_id", F.when(~at, F.col("district_id"))))
+    found = catalog.consistency_of_vintages(spark, DATA).where("rule = 'blank_district'").collect()
+    assert [r["unit"] for r in found] == [str(bad["settlement_id"])]
