@@ -506,7 +506,7 @@ def harmonised_frame(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(translate(lower(url), 'áéíóöőúüűñçèêàâ', 'aeiooouuuncecaa'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM pages WHERE regexp_full_match(url, '[ -~]*')")
 def name_normalise(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "pages").where(F.col("url").rlike("^[ -~]*$")).select("page_id", text.plain_name("url").alias("name"))
+    return table(s, d, "pages").select("page_id", text.plain_name("url").alias("name"))
 
 
 @query(f"WITH {b.VINTAGES}, c AS (SELECT settlement_id, district_id, CAST(c_nationkey AS VARCHAR) AS county_id FROM vint JOIN customer ON settlement_id = c_custkey WHERE vintage = 1999 AND settlement_id % 3 <> 0) SELECT 'district_in_several_counties' AS rule, district_id AS unit FROM c GROUP BY district_id HAVING count(DISTINCT county_id) > 1 UNION ALL SELECT 'county_count', CAST(count(DISTINCT county_id) AS VARCHAR) FROM c HAVING count(DISTINCT county_id) <> 20")

@@ -84,3 +84,10 @@ def test_consistency_of_all_vintages(spark, monkeypatch):
     monkeypatch.setattr(b, "vintages", lambda s, d: v.withColumn("district_id", F.when(~at, F.col("district_id"))))
     found = catalog.consistency_of_vintages(spark, DATA).where("rule = 'blank_district'").collect()
     assert [r["unit"] for r in found] == [str(bad["settlement_id"])]
+
+
+def test_names_of_all_pages(spark, tmp_path):
+    """Pages whose url has accents, or is null, have a row too."""
+    spark.createDataFrame([(1, "Ónga-Őr.hu/Árvíz"), (2, "a.hu/B"), (3, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: r["name"] for r in catalog.name_normalise(spark, str(tmp_path)).collect()}
+    assert set(found) == {1, 2, 3} and found[1] == "onga or hu arviz" and found[2] == "a hu b"
