@@ -21,12 +21,14 @@ def q(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own, but only if all run on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -36,7 +38,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Deletes the folders of stored tables that nothing reads any more; other tables are left alone."""
+    for df in frames:
+        if path := getattr(df, "__dict__", {}).get("stored_at"):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -2,7 +2,8 @@
 
 Four kinds of evidence: how likely the text is in each language, the language that the markup declares, the language that
 the address names (a path or a suffix), and a prior of the host. Text likelihoods come from naive Bayes over words and
-their endings, learned from a bounded sample of labelled texts (TRAIN_ROWS, of up to TRAIN_BYTES), and count for no more
+their endings, learned from a bounded sample of labelled texts (TRAIN_ROWS, of up to TRAIN_BYTES) and mixed with the
+background of all languages (BACKGROUND), so that a feature no language has met favours none, and count for no more
 than EVIDENCE_WORDS words, as words of one text are not independent. How far declarations and addresses can be trusted,
 and what each host holds, is counted over all rows by what their texts alone say, in grouped aggregations. Priors are
 smoothed hierarchically: a host's towards its parent domain's, and that towards the prior of all rows.
@@ -35,14 +36,35 @@ BITS = 16
 EVIDENCE_WORDS = 40
 HOSTS = 100_000
 SMOOTH = 10.0
+#: Share of the background in each language's distribution.
+BACKGROUND = 0.02
 
-TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
+OPENS = re.compile(r"<(?:(script|style)\b|(!--))?", re.IGNORECASE)
+CLOSES = {"script": re.compile(r"</script\s*>", re.IGNORECASE), "style": re.compile(r"</style\s*>", re.IGNORECASE), "!--": re.compile("-->"), "": re.compile(">")}
 SPLIT = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 # Endings of host names that name a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en"}
 
 
+def bare(html: str) -> str:
+    """Markup's text, with a blank for each tag, comment, script and style sheet. Each byte is looked at a few times at most."""
+    out, at, gone = [], 0, set()
+    while m := OPENS.search(html, at):
+        kinds = [(m[1] or m[2] or "").lower(), ""]
+        end = None
+        for kind in kinds:  # what is never closed is a plain tag
+            if kind not in gone and end is None:
+                end = CLOSES[kind].search(html, m.end() if kind else m.start())
+                if end is None:
+                    gone.add(kind)  # nor will it be further on
+        if end is None and "" in gone:
+            break
+        out += [html[at : m.start()], " "]
+        at = end.end()
+    return "".join([*out, html[at:]])
+
+
 def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(SPLIT).split()
 
@@ -99,10 +121,14 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: i
 
     counted = part.mapInArrow(run, "lang string, f int, n double").groupBy("lang", "f").agg(F.sum("n").alias("n")).collect()  # as many rows as features and languages, at most
     langs = sorted({r["lang"] for r in counted})
-    table = np.full((1 << BITS, len(langs)), 0.5)
+    table = np.zeros((1 << BITS, len(langs)))
     for r in counted:
         table[r["f"], langs.index(r["lang"])] += r["n"]
-    return langs, np.log(table / table.sum(axis=0)) if langs else table
+    if not table.any():
+        return langs, table
+    own = table / np.maximum(table.sum(axis=0), 1.0)
+    ground = own.mean(axis=1) + 1e-9
+    return langs, np.log((1 - BACKGROUND) * own + BACKGROUND * (ground / ground.sum())[:, None])
 
 
 def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray, text_col: str = "text", keep: list[str] | None = None, html: bool = False) -> DataFrame:
@@ -113,7 +139,7 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray, text_col
         for (texts,) in batches:
             n, out = [], []
             for t in c.texts_of(texts):
-                own = words(unescape(TAGS.sub(" ", t)) if html else t)
+                own = words(unescape(bare(t)) if html else t)
                 n.append(len(own))
                 out.append(score(own) if langs else [])
             yield n, out

@@ -129,12 +129,17 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PIE
     rest = parts.where(F.col("length") < capacity)
     names = parts.columns
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in parts.schema] + ["sequence_id long", "offset long", "round int", "n_bins long", "bound long", "settled boolean"])
-    turn = 0
+    turn, before, last = 0, None, None
     while n := rest.count():
         turn += 1
         groups = math.ceil(n / partition_pieces)
         dealt = rest.withColumn("__group", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)))
         packed = c.stored(dealt.groupBy("__group").applyInPandas(_settle(names, capacity, turn, groups == 1), schema), "packed")
+        bins = packed.select("sequence_id").distinct().count()
+        if before is not None and bins >= before:  # the exchange has saved nothing: the better of both packings stays, whole
+            return out.unionByName((packed if bins == before else last).drop("settled"))
         out = out.unionByName(packed.where("settled").drop("settled"))
-        rest = packed.where("NOT settled").select(*names)
+        last = packed.where("NOT settled")
+        before = last.select("sequence_id").distinct().count()
+        rest = last.select(*names)
     return out

@@ -14,6 +14,7 @@ of good ones, or 0.5 if there are none; repeated labels of an id count once, as
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 from math import log1p
 from operator import eq
@@ -30,8 +31,8 @@ TRAIN_ROWS = 3000
 TRAIN_BYTES = 32_000
 TURNS = 2
 STEPS = 50
-#: Texts scored together.
-GROUP = 512
+#: Padded lines scored together; a longer text is scored by itself.
+CELLS = 1 << 16
 #: Bytes by kind: A upper case, a other letters and all beyond ASCII, 0 digits, | bars, ! marks that junk is full of, . the rest.
 KIND = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 124 if b == 124 else 33 if b in b"!#$%&*" else 32 if b in b" \t\r\x0b\x0c" else 46 for b in range(256))
 N_LINE = 13
@@ -68,20 +69,28 @@ def line_features(line: str, seen: set[str]) -> tuple[float, ...]:
     )
 
 
-def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """A row for each line, with its neighbours' features, and the lines' lengths."""
-    lines, seen = text.split("\n"), set()
-    own = np.array([line_features(x, seen) for x in lines])
+def text_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A row of features for each line, and the lines' lengths."""
+    lines, seen, flat = text.split("\n"), set(), array("f")
+    for x in lines:
+        flat.extend(line_features(x, seen))
+    return np.frombuffer(flat, np.float32).reshape(-1, N_LINE), np.fromiter(map(len, lines), np.float64, len(lines))
+
+
+def beside(own: np.ndarray) -> np.ndarray:
+    """A row for each line, with its neighbours' features."""
     edge = np.zeros((1, N_LINE))
-    x = np.concatenate([own, np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge]), np.ones((len(own), 1))], axis=1)
-    return x, np.array([len(x) for x in lines], np.float64)
+    return np.concatenate([own, np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge]), np.ones((len(own), 1))], axis=1)
 
 
 def _blocks(lengths: np.ndarray):
-    """Texts in groups of about as many lines each."""
+    """Texts in groups of about as many lines each, of CELLS lines at most when padded; a longer text is a group of its own."""
     order = np.argsort(lengths, kind="stable")
-    for k in range(0, len(order), GROUP):
-        yield order[k : k + GROUP]
+    begin = 0
+    for k in range(1, len(order) + 1):
+        if k == len(order) or (k + 1 - begin) * lengths[order[k]] > CELLS:
+            yield order[begin:k]
+            begin = k
 
 
 def forward_backward(odds: np.ndarray, step: np.ndarray, length: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +130,25 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
 
-    def marginals(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    def odds(self, own: np.ndarray) -> np.ndarray:
+        """Each line's log odds of being good, from its own features and its neighbours'."""
+        w = self.w / self.scale
+        x = own @ w[: 3 * N_LINE].reshape(3, N_LINE).T
+        x[1:, 0] += x[:-1, 1].copy()
+        x[:-1, 0] += x[1:, 2]
+        return x[:, 0] + (w[-1] - self.mean @ w)
+
+    def marginals(self, odds: list[np.ndarray]) -> list[np.ndarray]:
         """Each line's probability of being good."""
-        n = np.array([len(x) for x, _ in texts])
-        out: list = [None] * len(texts)
+        n = np.array([len(x) for x in odds])
+        out: list = [None] * len(odds)
         for group in _blocks(n):
-            odds = np.zeros((len(group), n[group].max()))
+            padded = np.zeros((len(group), n[group].max()))
             for row, k in enumerate(group):
-                odds[row, : n[k]] = ((texts[k][0] - self.mean) / self.scale) @ self.w
-            good, _ = forward_backward(odds, self.step, n[group])
+                padded[row, : n[k]] = odds[k]
+            good, _ = forward_backward(padded, self.step, n[group])
             for row, k in enumerate(group):
-                out[k] = good[row, : n[k]]
+                out[k] = good[row, : n[k]].astype(np.float32)
         return out
 
     def quality(self, marginals: np.ndarray, lengths: np.ndarray) -> float:
@@ -157,18 +174,19 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, turns: int =
     if not len(y) or y.min() == y.max():
         return None
     n = np.array([len(x) for x, _ in texts])
-    rows = np.concatenate([x for x, _ in texts])
-    mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-6
+    total = n.sum()
+    mean = sum(beside(x).sum(axis=0) for x, _ in texts) / total
+    scale = np.sqrt(sum(((beside(x) - mean) ** 2).sum(axis=0) for x, _ in texts) / total) + 1e-6
     mean[-1], scale[-1] = 0.0, 1.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # each kind counts as much, whatever its share
     groups = []
     for group in _blocks(n):
         x = np.zeros((len(group), n[group].max(), N_FEATURES))
         for row, k in enumerate(group):
-            x[row, : n[k]] = (texts[k][0] - mean) / scale
+            x[row, : n[k]] = (beside(texts[k][0]) - mean) / scale
         groups.append((group, x, np.arange(x.shape[1])[None, :] < n[group][:, None]))
     lines = [np.full(k, float(v)) for k, v in zip(n, y, strict=True)]
-    w, total = None, n.sum()
+    w = None
     for turn in range(turns):
 
         def gradient(p: np.ndarray) -> np.ndarray:
@@ -188,7 +206,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, turns: int =
 
         w = _descend(gradient, N_FEATURES + 4, steps, w)
         model = Model(w[:N_FEATURES], w[N_FEATURES:].reshape(2, 2), 1.0, 0.0, mean, scale)
-        found = model.marginals(texts)
+        found = model.marginals([model.odds(x) for x, _ in texts])
         for k in np.flatnonzero(y == 0):
             lines[k] = (found[k] >= 0.5).astype(np.float64)
             lines[k][int(np.argmin(found[k]))] = 0.0
@@ -209,14 +227,14 @@ def train(part: DataFrame) -> tuple[Model | None, float]:
         for batch in batches:
             x, lengths = [], []
             for text in c.texts_of(batch.column(2)):
-                a, b = text_features(text)
-                x.append(a.astype("<f4").tobytes())
+                a, b = text_lines(text)
+                x.append(a.tobytes())
                 lengths.append(b.astype("<f4").tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "y": batch.column(1).cast(pa.int32()), "x": pa.array(x, pa.binary()), "n": pa.array(lengths, pa.binary())})
 
     got = sorted(part.mapInArrow(run, "doc_id long, y int, x binary, n binary").collect())  # bounded by the sample's rows and bytes
     y = np.array([r["y"] for r in got])
-    texts = [(np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES).astype(np.float64), np.frombuffer(r["n"], "<f4").astype(np.float64)) for r in got]
+    texts = [(np.frombuffer(r["x"], "<f4").reshape(-1, N_LINE).astype(np.float64), np.frombuffer(r["n"], "<f4").astype(np.float64)) for r in got]
     return fit(texts, y), float(y.mean()) if len(y) else 0.5
 
 
@@ -228,8 +246,15 @@ def score(docs: DataFrame, model: Model | None, share: float = 0.5, text_col: st
 
     def run(batches):
         for (texts,) in batches:
-            own = [text_features(t) for t in c.texts_of(texts)] if model else []
-            lines = model.marginals(own) if model else [[] for _ in texts]
-            yield [model.quality(p, x[1]) for p, x in zip(lines, own, strict=True)] if model else [share] * len(texts), lines
+            if not model:
+                yield [share] * len(texts), [[]] * len(texts)
+                continue
+            odds, lengths = [], []
+            for t in c.texts_of(texts):
+                own, n = text_lines(t)
+                odds.append(model.odds(own))
+                lengths.append(n)
+            lines = model.marginals(odds)
+            yield [model.quality(p, n) for p, n in zip(lines, lengths, strict=True)], lines
 
     return c.map_batches(docs, [text_col], run, FIELDS, keep)

@@ -3,7 +3,8 @@
 Strong patterns are reported wherever they match. Weak ones (an account name, a random-looking word, an address) say
 little alone: they are reported only where a complementary part lies in the same scope, at most `reach` code points away.
 Parts are access identifiers, secrets and endpoints; an identifier or an endpoint needs a secret, a secret needs either.
-Strong matches are parts too. A scope is a run of lines without an empty one. The join is an interval join by sorted
+Strong matches are parts too; parts that overlap don't vouch for each other. A scope is a run of lines without an empty one,
+and no wider than `reach` around a part: identifiers and secrets farther apart than that are not linked. The join is an interval join by sorted
 order: each side is sorted by start, and a part's nearest neighbours decide, so a text full of candidates takes n log n
 steps and makes no pairs. A text is judged by itself, so nothing is shuffled and no source or copy can be hot.
 
@@ -91,29 +92,26 @@ HOST_ENDS = re.compile(r"\.(?:com|net|org|io|dev|cloud|internal|local)\b", re.AS
 def linked(text: str, parts: list[tuple[str, int, int]], reach: int = REACH) -> dict[tuple[str, int, int], int]:
     """Of each part that has a complementary one in its scope and reach, where the nearest of those begins."""
     breaks = [m.start() for m in EMPTY_LINE.finditer(text)]
-    sides: dict[str, list[tuple[int, int, int]]] = {"identifier": [], "secret": [], "endpoint": []}
+    begins: dict[str, list[tuple[int, int]]] = {"identifier": [], "secret": [], "endpoint": []}
+    ends: dict[str, list[tuple[int, int, int]]] = {"identifier": [], "secret": [], "endpoint": []}
     for kind, a, b in parts:
-        sides[ROLE[kind]].append((bisect_left(breaks, a), a, b))
-    for x in sides.values():
-        x.sort()
-    # The farthest end up to each place of a side, within a scope: intervals may overlap.
-    ends: dict[str, list[tuple[int, int]]] = {}
-    for role, x in sides.items():
-        far: list[tuple[int, int]] = []
-        for k, (scope, a, b) in enumerate(x):
-            far.append(max(far[-1], (b, a)) if k and x[k - 1][0] == scope else (b, a))
-        ends[role] = far
+        scope = bisect_left(breaks, a)
+        begins[ROLE[kind]].append((scope, a))
+        ends[ROLE[kind]].append((scope, b, a))
+    for role in begins:
+        begins[role].sort()
+        ends[role].sort()
     out = {}
     for kind, a, b in parts:
         scope, best = bisect_left(breaks, a), None
         for role in ("secret",) if ROLE[kind] != "secret" else ("identifier", "endpoint"):
-            x = sides[role]
-            k = bisect_right(x, (scope, a, math.inf))
-            near = []
-            if k and x[k - 1][0] == scope:
-                near.append((max(0, a - ends[role][k - 1][0]), ends[role][k - 1][1]))
-            if k < len(x) and x[k][0] == scope:
-                near.append((max(0, x[k][1] - b), x[k][1]))
+            # the last that ends before this one and the first that begins behind it: parts that overlap are one string, not two
+            left, right = ends[role], begins[role]
+            k = bisect_right(left, (scope, a, math.inf))
+            near = [(a - left[k - 1][1], left[k - 1][2])] if k and left[k - 1][0] == scope else []
+            k = bisect_left(right, (scope, b))
+            if k < len(right) and right[k][0] == scope:
+                near.append((right[k][1] - b, right[k][1]))
             for d, at in near:
                 if d <= reach and (best is None or (d, at) < best):
                     best = d, at

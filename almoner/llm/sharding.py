@@ -1,9 +1,9 @@
 """Sharding by extendible hashing, with DataFrame functions only.
 
 A directory is indexed by the leading bits of a hash of the document id. A bucket over the byte limit, and only such a
-one, is split on the next bit, until each fits. Sizes are summed once for the longest prefix of a step and rolled up from
-there to all shorter ones, so a step costs one small aggregation, not one for each bit. Steps end at STEPS bits; the later
-ones see only the rows of buckets that are still too large. Bits 1-60 come from the id, 61-120 from the text, so rows
+one, is split on the next bit, until each fits. A step looks at the next STEP bits of the rows of buckets that are still too
+large: sizes are summed once for the longest prefix and rolled up from there to the STEP - 1 shorter ones, so a bucket has
+2 ** STEP sums at most, whatever its rows, and a row takes part in as many sums as its shard's depth has steps. Bits 1-60 come from the id, 61-120 from the text, so rows
 that repeat an id part by their texts. Rows that repeat both are counted, not gathered, and paged.
 
 Defined results: null ids and texts hash and weigh as empty ones; a document over the limit ends in a shard of its own; an
@@ -18,23 +18,24 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 BYTE_LIMIT = 64 << 20
-STEPS = (16, 40, 80, 120)
+STEP = 8
+BITS = 120
 
 
 def _bits(x: Column) -> Column:
     return F.lpad(F.conv(F.substring(F.md5(x), 1, 15), 16, 2), 60, "0")
 
 
-def shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT, id_col: str = "doc_id", text_col: str = "text", steps: tuple[int, ...] = STEPS) -> DataFrame:
+def shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, shard, depth, shard_bytes and shard_docs of every row."""
     text = F.coalesce(F.col(c.q(text_col)).cast("string"), F.lit(""))
     key = F.coalesce(F.col(c.q(id_col)).cast("string"), F.lit(""))
     rest = c.stored(docs.select(F.col(c.q(id_col)).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.concat(_bits(key), _bits(text)).alias("bits")), "sizes")
     done, above = None, 0
-    for step in steps:
+    for step in range(STEP, BITS + 1, STEP):
         leaves = _leaves(rest, byte_limit, above, step)
-        if step == STEPS[0]:
-            leaves = F.broadcast(leaves)  # 2 ** 16 rows at most
+        if not above:
+            leaves = F.broadcast(leaves)  # 2 ** STEP rows at most
         found = rest.withColumn("prefix", F.substring("bits", 1, step)).join(leaves, "prefix", "left")
         fits = found.where(F.col("depth").isNotNull()).select("doc_id", "n_bytes", F.expr("substring(bits, 1, depth)").alias("shard"), "depth", "shard_bytes", "shard_docs")
         done = fits if done is None else done.unionByName(fits)

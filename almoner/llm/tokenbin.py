@@ -35,6 +35,8 @@ END_ID = 1
 #: Ids in a file, about.
 FILE_IDS = 1 << 24
 SAMPLE = 256
+#: Documents whose boundaries are selected at a time.
+DOCS = 4096
 
 
 class EliasFano:
@@ -44,9 +46,9 @@ class EliasFano:
         n, u, samples = np.frombuffer(raw, "<u8", 3).tolist()
         self.n, self.low_bits = n, max(0, (u // n).bit_length() - 1) if n else 0
         low_bytes = (n * self.low_bits + 7) // 8
-        self.samples = np.frombuffer(raw, "<u8", samples, 24)
-        self.low = np.frombuffer(raw, np.uint8, low_bytes, 24 + 8 * samples)
-        self.high = np.frombuffer(raw, np.uint8, offset=24 + 8 * samples + low_bytes)
+        self.samples = np.frombuffer(raw, "<u4", samples, 24)
+        self.low = np.frombuffer(raw, np.uint8, low_bytes, 24 + 4 * samples)
+        self.high = np.frombuffer(raw, np.uint8, offset=24 + 4 * samples + low_bytes)
 
     @staticmethod
     def encode(numbers: np.ndarray) -> bytes:
@@ -57,7 +59,9 @@ class EliasFano:
         ones = (x >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(ones[-1]) if n else 0) + 1, np.uint8)
         high[ones] = 1
-        samples = ones[::SAMPLE].astype("<u8")
+        if n and ones[-1] >> 32:
+            raise ValueError("too many numbers for 32-bit samples")
+        samples = ones[::SAMPLE].astype("<u4")
         return np.array([n, u, len(samples)], "<u8").tobytes() + samples.tobytes() + low.tobytes() + np.packbits(high, bitorder="little").tobytes()
 
     def _low(self, first: int, count: int) -> np.ndarray:
@@ -81,9 +85,18 @@ class EliasFano:
         one = 8 * byte + int(np.flatnonzero(window)[left])
         return (one - i << self.low_bits) + int(self._low(i, 1)[0])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) + self._low(0, self.n)
+    def selects(self, first: int, count: int) -> np.ndarray:
+        """`count` numbers from the first-th on, as far as there are: read from the nearest sampled one-bit to the next one behind them."""
+        count = min(count, self.n - first)
+        if count <= 0:
+            return np.zeros(0, np.int64)
+        k, last = first // SAMPLE, -(-(first + count) // SAMPLE)
+        begin = int(self.samples[k])
+        end = int(self.samples[last]) if last < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : end // 8 + 1], bitorder="little")
+        bits[: begin % 8] = 0
+        ones = np.flatnonzero(bits)[first - k * SAMPLE : first - k * SAMPLE + count] + begin // 8 * 8
+        return ((ones - np.arange(first, first + count)) << self.low_bits) + self._low(first, count).astype(np.int64)
 
 
 def pack_file(ids: list[bytes], doc_ids: list[int | None], width: int) -> bytes:
@@ -112,8 +125,10 @@ class TokenFile:
     def document(self, k: int) -> np.ndarray:
         return self.ids[self.starts.select(k) : self.starts.select(k + 1)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.without_id + [x + self.least for x in self.names.all().tolist()]
+    def doc_ids(self, first: int, count: int) -> list[int | None]:
+        """Of `count` documents from the first-th on; those without one come first."""
+        none = max(0, min(count, self.without_id - first))
+        return [None] * none + [x + self.least for x in self.names.selects(max(0, first - self.without_id), min(count, self.n_docs - first) - none).tolist()]
 
 
 def _store(folder: str):
@@ -177,9 +192,10 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
             for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{path}/{name}") as f:
                     file = TokenFile(f.read_buffer())
-                at = file.starts.all().astype(np.int64)
-                sums = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(file.doc_ids(), pa.int64()), "start": at[:-1] + first, "n_tokens": np.diff(at), "ids_crc32": pa.array(sums, pa.int64())})
+                for k in range(0, file.n_docs, DOCS):
+                    at = file.starts.selects(k, DOCS + 1)
+                    sums = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(file.doc_ids(k, DOCS), pa.int64()), "start": at[:-1] + first, "n_tokens": np.diff(at), "ids_crc32": pa.array(sums, pa.int64())})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("file", "first").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
