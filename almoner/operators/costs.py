@@ -90,16 +90,17 @@ def productivity_loss(cases: Column, p: dict[str, float]) -> Column:
 
 
 def expected_cost(df: DataFrame, p: dict[str, float], medical_factor: float = 1.0, earnings_factor: float = 1.0, cases: str = "cases", births: str = "births") -> DataFrame:
-    """Nominal and real costs of notified cases; vaccination is listed and not part of the total."""
+    """Nominal and real costs of notified cases. A case's cost is medical alone; vaccination is listed and not part of the total."""
     u = unit_costs(p)
     true = F.col(cases) * p["underreporting"]
     inpatient, other = true * p["hospitalisation_rate"], true * (1 - p["hospitalisation_rate"])
     medical = inpatient * u["inpatient"] + other * (u["outpatient"] + u["gp"])
     lost = productivity_loss(true, p)
-    per_case = F.when(F.col(cases) > 0, nulls.ratio(medical + lost, cases)).otherwise(0.0)
+    per_case = F.when(F.col(cases) > 0, nulls.ratio(medical, cases)).otherwise(0.0)
     return df.withColumns(
         {"true_cases": true, "medical_nominal": medical, "medical_real": medical * medical_factor, "productivity_nominal": lost, "productivity_real": lost * earnings_factor,
-         "vaccination_nominal": F.col(births) * (p["vaccine_price"] + p["administration_cost"]), "cost_per_notified_case": per_case, "total_real": medical * medical_factor + lost * earnings_factor}
+         "vaccination_nominal": F.col(births) * (p["vaccine_price"] + p["administration_cost"]), "cost_per_notified_case": per_case, "cost_per_notified_case_real": per_case * medical_factor,
+         "cost_per_hospitalisation": F.lit(float(u["inpatient"])), "total_nominal": medical + lost, "total_real": medical * medical_factor + lost * earnings_factor}
     )
 
 
@@ -124,7 +125,7 @@ ANALYSIS = {
 WAGE_GROWTH = 1.09
 
 
-def analysis_parameters(spark: SparkSession, overrides: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+def analysis_parameters(spark: SparkSession) -> DataFrame:
     """A row of parameters for each level."""
     rows = [(level, *[float(v[i]) for v in ANALYSIS.values()]) for i, level in enumerate(("base", "low", "high"))]
     return spark.createDataFrame(rows, ", ".join(["level string", *[f"{k} double" for k in ANALYSIS]]))

@@ -241,10 +241,10 @@ def chained_index(s: SparkSession, d: str) -> DataFrame:
 _COST = {"hbcs_weight": 0.65, "base_rate": 300000.0, "outpatient_points": 1200.0, "point_value": 2.5, "gp_visit_cost": 4000.0, "work_loss_probability": 0.75, "workdays_lost": 3.0, "working_days_per_year": 253.0, "daily_wage": 30000.0, "employer_contribution": 0.13, "underreporting": 5.0, "hospitalisation_rate": 0.45, "vaccine_price": 30000.0, "administration_cost": 2000.0}
 
 
-@query(f"WITH {b.PANEL}, t AS (SELECT district_id, cases, CAST(cases * 5.0 AS DOUBLE) AS n, CAST(population AS DOUBLE) AS population FROM panel) SELECT district_id, round(n * 0.45 * 195000 + n * 0.55 * 7000, 4) AS medical_nominal, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4, 4) AS medical_real, round(n * 0.75 * 3 * 30000 * 1.13, 4) AS productivity_nominal, round(population * 32000.0, 4) AS vaccination_nominal, round(CASE WHEN cases > 0 THEN (n * 0.45 * 195000 + n * 0.55 * 7000 + n * 0.75 * 3 * 30000 * 1.13) / cases ELSE 0 END, 4) AS cost_per_notified_case, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4 + n * 0.75 * 3 * 30000 * 1.13 * 1.75, 4) AS total_real FROM t")
+@query(f"WITH {b.PANEL}, t AS (SELECT district_id, cases, CAST(cases * 5.0 AS DOUBLE) AS n, CAST(population AS DOUBLE) AS population FROM panel) SELECT district_id, round(n * 0.45 * 195000 + n * 0.55 * 7000, 4) AS medical_nominal, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4, 4) AS medical_real, round(n * 0.75 * 3 * 30000 * 1.13, 4) AS productivity_nominal, round(population * 32000.0, 4) AS vaccination_nominal, round(CASE WHEN cases > 0 THEN (n * 0.45 * 195000 + n * 0.55 * 7000) / cases ELSE 0 END, 4) AS cost_per_notified_case, CAST(195000 AS DOUBLE) AS cost_per_hospitalisation, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4 + n * 0.75 * 3 * 30000 * 1.13 * 1.75, 4) AS total_real FROM t")
 def expected_cost_panel(s: SparkSession, d: str) -> DataFrame:
     out = costs.expected_cost(b.panel(s, d), _COST, 1.4, 1.75, births="population")
-    return rounded(out.select("district_id", "medical_nominal", "medical_real", "productivity_nominal", "vaccination_nominal", "cost_per_notified_case", "total_real"), 4)
+    return rounded(out.select("district_id", "medical_nominal", "medical_real", "productivity_nominal", "vaccination_nominal", "cost_per_notified_case", "cost_per_hospitalisation", "total_real"), 4)
 
 
 @query("SELECT level, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('base', 159919.75), ('low', 51549.375), ('high', 396410.125)) t(level, cost)")

@@ -139,7 +139,7 @@ def test_apportionment(spark):
 
 
 def _week(**change):
-    row = {"geo_level": "county", "geo_name": "Baranya", "variable": "rotavirus_cases", "value": 5.0, "iso_year": 2024, "iso_week": 7, "period_start": dt.date(2024, 2, 12), "evidence_class": "observed", "source_id": "nngyk"}
+    row = {"geo_level": "county", "geo_name": "Baranya", "variable": "reported_cases", "value": 5.0, "iso_year": 2024, "iso_week": 7, "period_start": dt.date(2024, 2, 12), "evidence_class": "observed", "source_id": "nngyk"}
     return tuple((row | change).values())
 
 
@@ -160,15 +160,15 @@ def test_rules(spark):
     many = v.outliers(make(*[_week(value=float(i)) for i in range(1, 20)], _week(value=1e5)), "value", ["variable"])
     assert many.count() == 20 and many.where("quality_flag = 'outlier'").count() == 1
     assert v.wrong_evidence(make(_week(geo_level="district"), _week(geo_level="district", source_id="nngyk_foia"), _week(evidence_class="x"), _week(evidence_class=None))).count() == 3
-    assert v.before_break(make(_week(period_start=dt.date(2011, 2, 1)), _week(period_start=dt.date(2016, 2, 1))), ["rotavirus_cases"]).count() == 1
+    assert v.before_break(make(_week(period_start=dt.date(2011, 2, 1)), _week(period_start=dt.date(2016, 2, 1))), ["reported_cases"]).count() == 1
     assert v.mixed_price_years(spark.createDataFrame([(1.0, 2019), (1.0, 2024)], "x_real_2025 double, price_year int")).count() == 2
     d = v.drift({"a": "int", "b": "int"}, spark.createDataFrame([(1, 2)], "a int, c int"))
     assert (d["status"], d["added"], d["removed"]) == ("drifted", ["c"], ["b"])
-    found = v.run_all(make(_week(), _week()), v.standard_rules(spark, bounds, ["rotavirus_cases"]) | {"broken": lambda x: x.select("no_such_column")})
+    found = v.run_all(make(_week(), _week()), v.standard_rules(spark, bounds, ["reported_cases"]) | {"broken": lambda x: x.select("no_such_column")})
     assert {r["rule"] for r in found.collect()} == {"duplicates", "broken"} and "duplicates" in v.report(found)[1]
     with pytest.raises(v.ValidationError):
         v.run_all(make(_week(), _week()), {"duplicates": v.duplicates}, strict=True)
-    assert v.run_all(make().limit(0), v.standard_rules(spark, bounds, ["rotavirus_cases"])).isEmpty()
+    assert v.run_all(make().limit(0), v.standard_rules(spark, bounds, ["reported_cases"])).isEmpty()
 
 
 def test_costs(spark):
@@ -227,3 +227,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--data", DATA, "allocate", "--scenario", "99"]) == 2
     assert cli.main(["--data", DATA, "--out", f"{tmp_path}/found", "validate", "--strict"]) == 1
     assert cli.main(["--data", DATA, "--out", f"{tmp_path}/words", "dictionary"]) == 0
+
+
+def test_closest_loses_no_similar_name(spark):
+    """Against all pairs; names differ in any letter, the first too."""
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 24))) for _ in range(60)]
+    other = [(i, i, "".join(rng.choice("xyz") if rng.random() < 0.06 else x for x in n)) for i, n in enumerate(names)]
+    left, right = spark.createDataFrame([(n,) for n in [*names, "", None]], "name string"), spark.createDataFrame(other, "candidate_id long, ordinal long, candidate string")
+    got = {r["name"]: r["score"] for r in geography.closest(left, right).collect()}
+    best = left.where("name IS NOT NULL").crossJoin(right).withColumn("score", text.similarity(text.sorted_tokens("name"), text.sorted_tokens("candidate"))).where("score >= 90").groupBy("name").max("score").collect()
+    assert {k: v for k, v in got.items() if v is not None} == {r[0]: r[1] for r in best} and len(best) > 20 and set(got) == {*names, "", None}
