@@ -21,17 +21,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with its least id; of rows that repeat this id, one. Rows without an id stay."""
-    classes = near_dup.classes(docs.where(F.col("doc_id").isNotNull())).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    """One row of each class of near duplicates: that with its least id (null is the largest); texts without words are one class."""
+    return near_dup.one_of_each(docs).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a word in twenty stands in a benchmark window."""
-    hits = decontam.phrase_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=13)
-    bad = hits.where(decontam.contaminated() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents of which less than a word in twenty stands in a benchmark window; equal texts share a decision, whatever their ids."""
+    own = F.xxhash64("text")
+    found = decontam.hits(docs.select(own.alias("text_hash"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=13, id_col="text_hash")
+    bad = found.where(decontam.contaminated()).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, own == F.col("__bad"), "left_anti").select(*COLUMNS)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
