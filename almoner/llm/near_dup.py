@@ -5,9 +5,11 @@ are its runs of five words; the n-th occurrence of a k-mer is labelled n. Each o
 PICKS least labelled k-mers, and the sketch is these in the order in which they stand in the text, so it agrees where
 edit similarity is high and not where the same k-mers come in another order. Texts that share a sketch share a bucket.
 
-A bucket's members are compared with one leader, its least node, not with each other: a bucket of n copies of one text takes
-n comparisons, however large n is. Buckets that then hold several classes are of different texts with a passage in common.
-All their members, and all texts of SHORT words or fewer, are compared exactly, without their buckets: as an alignment keeps
+A bucket's members are compared with a leader, not with each other: a bucket of n copies of one text takes n - 1 comparisons,
+however large n is. Of a batch of rows only each bucket's first member leaves the batch, and meets the least of these from all
+batches, so a bucket that holds a third of all texts is a row a batch where buckets are gathered. Buckets that then hold
+several classes are of different texts with a passage in common.
+Their members that have not met each other, and all texts of SHORT words or fewer, are compared exactly, without their buckets: as an alignment keeps
 SIMILARITY of a text, two similar texts share one of the rarest 1 - SIMILARITY of their words, so each text is filed under
 these (rare by counts over all that is left) and meets only what shares one. A word shared by many is cut into blocks of
 BLOCK members, each pair of blocks a group of its own.
@@ -35,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -240,8 +242,27 @@ def needed(longer: np.ndarray, least: float) -> np.ndarray:
     return np.ceil(least * longer - 1e-9)
 
 
+def headed(node: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """For texts (a row of buckets each) the first node that has the bucket, bucket by bucket; a text's own, where it is the first."""
+    flat = bucket.ravel()
+    order = np.argsort(flat, kind="stable")
+    begins = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])
+    first = order[np.flatnonzero(begins)][np.cumsum(begins) - 1]
+    heads = np.empty(flat.shape, np.int64)
+    heads[order] = node[first // SKETCHES]
+    return heads.reshape(bucket.shape)
+
+
+def lists(values: np.ndarray, where: np.ndarray) -> pa.ListArray:
+    """For each row the values that are marked."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(where.sum(axis=1))]), pa.int32()), pa.array(values[where], pa.int64()))
+
+
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, node (a hash of the text's words); the first time a task meets the node, also n, bins, buckets and packed words."""
+    """doc_id, text_hash, node (a hash of the text's words); the first time a task meets the node, also n, bins, buckets, joined, heads, packed words.
+
+    buckets: those of which the text is the first in its batch; joined: its others, and heads: the first texts of these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -261,16 +282,32 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     packed.append(pack.compress(w.tobytes()))
             at = pa.array(np.where(new, np.cumsum(new) - 1, -1), pa.int64())
             at = pc.if_else(pc.less(at, 0), None, at)
-            names = pa.FixedSizeListArray.from_arrays(buckets(np.stack(picks)).ravel() if picks else np.zeros(0, np.int64), SKETCHES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int32()).take(at), pa.array(bins, pa.binary()).take(at), names.take(at), pa.array(packed, pa.binary()).take(at)], names=["doc_id", "text_hash", "node", "n", "bins", "buckets", "words"])
+            own_node, names = np.array(node, np.int64)[np.array(new, bool)], buckets(np.stack(picks)) if picks else np.zeros((0, SKETCHES), np.int64)
+            heads = headed(own_node, names) if picks else names
+            first = heads == own_node[:, None]
+            made = [pa.array(n, pa.int32()), pa.array(bins, pa.binary()), lists(names, first), lists(names, ~first), lists(heads, ~first), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), *[x.take(at) for x in made]], names=["doc_id", "text_hash", "node", "n", "bins", "buckets", "joined", "heads", "words"])
 
     text = F.col(c.q(text_col)).cast("string")
-    return docs.select(F.col(c.q(id_col)).cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, text_hash long, node long, n int, bins binary, buckets array<long>, words binary")
+    return docs.select(F.col(c.q(id_col)).cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, text_hash long, node long, n int, bins binary, buckets array<long>, joined array<long>, heads array<long>, words binary")
+
 
+def gathered(made: DataFrame) -> DataFrame:
+    """bucket, node, leader: in each bucket the first texts of batches under the least of them, and the other texts under the first of their batch."""
+    heads = made.select("node", F.explode("buckets").alias("bucket"))
+    above = heads.withColumn("leader", F.min("node").over(Window.partitionBy("bucket"))).where("node != leader").select("bucket", "node", "leader")
+    within = made.select("node", F.explode(F.arrays_zip("joined", "heads")).alias("x")).select("x.joined", "node", "x.heads")
+    return above.union(within).distinct()
 
-def several(rows: DataFrame, by: str) -> DataFrame:
-    """Buckets in which a column has more than one value, and the least."""
-    return rows.groupBy("bucket").agg(F.min(by).alias("low"), F.max(by).alias("high")).where("low < high").select("bucket", "low")
+
+def unmet(state: DataFrame, labels: DataFrame) -> DataFrame:
+    """node of buckets in which texts of different labels have not met: each text has met its leader, and nothing else."""
+    known = labels.select("node", "label")
+    left = state.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = left.join(known.select(F.col("node").alias("leader"), F.col("label").alias("over")), "leader", "left").withColumn("over", F.coalesce("over", "leader"))
+    of = left.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("several"), (F.min("leader") < F.max("leader")).alias("deep"), F.max(F.col("label") != F.col("over")).alias("differ"))
+    open_ = left.join(of.where("several or deep and differ").select("bucket", "deep"), "bucket")
+    return open_.select("node").union(open_.where("deep").select("leader")).distinct()
 
 
 def _with(pairs: DataFrame, texts: DataFrame, *what: str) -> DataFrame:
@@ -467,15 +504,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _begun(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored: the rows' nodes; node, bucket and leader of buckets of several nodes; the texts of these nodes and of short ones."""
+    """Stored: the rows' nodes; bucket, node and leader of buckets of several nodes; the texts of these nodes and of short ones."""
     rows = c.stored(nodes(docs, id_col, text_col), "nodes")
-    made = rows.where(F.col("buckets").isNotNull())
-    spread = made.select("node", F.explode("buckets").alias("bucket"))
-    state = c.stored(spread.join(several(spread, "node"), "bucket").select("node", "bucket", F.col("low").alias("leader")).distinct(), "buckets")
-    wanted = state.select("node").union(made.where(F.col("n") <= SHORT).select("node")).distinct()
+    made = rows.where(F.col("n").isNotNull())
+    state = c.stored(gathered(made), "buckets")
+    c.swept(docs.sparkSession)
+    wanted = c.stored(state.select("node").union(state.select("leader")).union(made.where(F.col("n") <= SHORT).select("node")).distinct(), "wanted")
     texts = c.stored(made.select("node", "n", "bins", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     ids = c.stored(rows.select("doc_id", "text_hash", "node"), "ids")
-    c.dropped(rows)
+    c.dropped(rows, wanted)
     return ids, state, texts
 
 
@@ -483,13 +520,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
     """doc_id, text_hash, node, label, class_id (the class's least doc_id), n_links (verified links at the row's text) of every row."""
     ids, state, texts = _begun(docs, id_col, text_col)
     c.swept(docs.sparkSession)
-    met = state.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    met = state.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     first = c.stored(verified(possible(met, texts, least), texts, least), "links")
     early = components(first)
-    # who has met the leader and is of another class stays, where there are several classes
-    left = state.where(F.col("node") != F.col("leader")).select("node", "bucket").join(early, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    crowded = left.join(several(left, "label"), "bucket", "left_semi")
-    open_ = crowded.select("node").union(texts.where(F.col("n") <= SHORT).select("node")).distinct().join(early, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = unmet(state, early).union(texts.where(F.col("n") <= SHORT).select("node")).distinct().join(early, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = c.stored(texts.join(open_, "node"), "rest")
     keyed = c.stored(filed(rest, rarity(rest), least), "keys")
     edges = first.unionByName(c.stored(verified(unjoined(keyed, least), rest, least), "links"))
