@@ -54,6 +54,8 @@ BINS = 512
 RARE_BITS = 17
 #: A text's least keys that go with its rows, so that a pair that shares several keys is made under the least of them.
 LEAST_KEYS = 48
+#: Cells of 64 bits in which nodes are marked, at most: 8 MB.
+CELLS = 1 << 20
 #: Edges that one task may hold, about 200 MB.
 TASK_EDGES = 1_000_000
 #: ASCII letters and digits, and all beyond ASCII, belong to words.
@@ -302,12 +304,12 @@ def gathered(made: DataFrame) -> DataFrame:
 
 def unmet(state: DataFrame, labels: DataFrame) -> DataFrame:
     """node of buckets in which texts of different labels have not met: each text has met its leader, and nothing else."""
-    known = labels.select("node", "label")
-    left = state.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = left.join(known.select(F.col("node").alias("leader"), F.col("label").alias("over")), "leader", "left").withColumn("over", F.coalesce("over", "leader"))
-    of = left.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("several"), (F.min("leader") < F.max("leader")).alias("deep"), F.max(F.col("label") != F.col("over")).alias("differ"))
-    open_ = left.join(of.where("several or deep and differ").select("bucket", "deep"), "bucket")
-    return open_.select("node").union(open_.where("deep").select("leader")).distinct()
+    of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
+    pairs = state.select("leader", "node").distinct().join(of("node", "label"), "node", "left").join(of("leader", "over"), "leader", "left")
+    left = state.join(pairs.withColumns({"label": F.coalesce("label", "node"), "over": F.coalesce("over", "leader")}), ["leader", "node"])
+    by = left.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("several"), (F.min("leader") < F.max("leader")).alias("deep"), F.max(F.col("label") != F.col("over")).alias("differ"))
+    ends = F.when(F.col("deep"), F.array("node", "leader")).otherwise(F.array("node"))
+    return state.join(by.where("several or deep and differ").select("bucket", "deep"), "bucket").select(F.explode(ends).alias("node")).distinct()
 
 
 def _with(pairs: DataFrame, texts: DataFrame, *what: str) -> DataFrame:
@@ -503,6 +505,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose node may be one of stored wanted ones, by a bitmap of 16 bits for each of these, or CELLS cells; so most others aren't shuffled."""
+    cells = min(CELLS, 1 << (max(1, wanted.count() // 4) - 1).bit_length())
+    cell, bit = F.shiftrightunsigned("node", 6) % cells, "cast(node & 63 as int)"
+    marks = wanted.groupBy(cell.alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("marks"))
+    return rows.join(F.broadcast(marks), cell == F.col("cell")).where(f"getbit(marks, {bit}) = 1").select(*rows.columns)
+
+
 def _begun(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored: the rows' nodes; bucket, node and leader of buckets of several nodes; the texts of these nodes and of short ones."""
     rows = c.stored(nodes(docs, id_col, text_col), "nodes")
@@ -510,7 +520,7 @@ def _begun(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     state = c.stored(gathered(made), "buckets")
     c.swept(docs.sparkSession)
     wanted = c.stored(state.select("node").union(state.select("leader")).union(made.where(F.col("n") <= SHORT).select("node")).distinct(), "wanted")
-    texts = c.stored(made.select("node", "n", "bins", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = c.stored(sieved(made.select("node", "n", "bins", "words"), wanted).join(wanted, "node").dropDuplicates(["node"]), "texts")
     ids = c.stored(rows.select("doc_id", "text_hash", "node"), "ids")
     c.dropped(rows, wanted)
     return ids, state, texts
