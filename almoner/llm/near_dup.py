@@ -309,7 +309,7 @@ def unmet(state: DataFrame, labels: DataFrame) -> DataFrame:
     left = state.join(pairs.withColumns({"label": F.coalesce("label", "node"), "over": F.coalesce("over", "leader")}), ["leader", "node"])
     by = left.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("several"), (F.min("leader") < F.max("leader")).alias("deep"), F.max(F.col("label") != F.col("over")).alias("differ"))
     ends = F.when(F.col("deep"), F.array("node", "leader")).otherwise(F.array("node"))
-    return state.join(by.where("several or deep and differ").select("bucket", "deep"), "bucket").select(F.explode(ends).alias("node")).distinct()
+    return state.join(by.where("several or deep and differ").select("bucket", "deep"), "bucket").select("node", "leader", "deep").distinct().select(F.explode(ends).alias("node")).distinct()
 
 
 def _with(pairs: DataFrame, texts: DataFrame, *what: str) -> DataFrame:
