@@ -504,16 +504,17 @@ def harmonised_frame(s: SparkSession, d: str) -> DataFrame:
     return rounded(geography.harmonise(values.withColumn("rate", F.col("cases") / 100), source, target, people, {"cases": True, "rate": False}))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(translate(lower(url), 'áéíóöőúüűñçèêàâ', 'aeiooouuuncecaa'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM pages WHERE regexp_full_match(url, '[ -~]*')")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(translate(lower(url), 'áéíóöőúüűñçèêàâ', 'aeiooouuuncecaa'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM pages")
 def name_normalise(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", text.plain_name("url").alias("name"))
 
 
-@query(f"WITH {b.VINTAGES}, c AS (SELECT settlement_id, district_id, CAST(c_nationkey AS VARCHAR) AS county_id FROM vint JOIN customer ON settlement_id = c_custkey WHERE vintage = 1999 AND settlement_id % 3 <> 0) SELECT 'district_in_several_counties' AS rule, district_id AS unit FROM c GROUP BY district_id HAVING count(DISTINCT county_id) > 1 UNION ALL SELECT 'county_count', CAST(count(DISTINCT county_id) AS VARCHAR) FROM c HAVING count(DISTINCT county_id) <> 20")
+@query(f"WITH {b.VINTAGES}, c AS (SELECT settlement_id, district_id, CAST(c_nationkey AS VARCHAR) AS county_id FROM vint LEFT JOIN customer ON settlement_id = c_custkey WHERE vintage = 1999) SELECT 'duplicate_settlement' AS rule, CAST(settlement_id AS VARCHAR) AS unit FROM c GROUP BY settlement_id HAVING count(*) > 1 UNION ALL SELECT 'district_in_several_counties', district_id FROM c GROUP BY district_id HAVING count(DISTINCT county_id) > 1 UNION ALL SELECT 'blank_district', CAST(settlement_id AS VARCHAR) FROM c WHERE district_id IS NULL OR lower(trim(district_id)) IN ('', 'nan', 'none', 'null') UNION ALL SELECT 'county_count', CAST(count(DISTINCT county_id) AS VARCHAR) FROM c HAVING count(DISTINCT county_id) <> 20")
 def consistency(s: SparkSession, d: str) -> DataFrame:
-    v = b.vintages(s, d).where("vintage = 1999 AND settlement_id % 3 <> 0").drop("vintage")
+    """The rules over a registry of one vintage, all its settlements."""
+    v = b.vintages(s, d).where("vintage = 1999").drop("vintage")
     c = table(s, d, "customer").select(F.col("c_custkey").alias("settlement_id"), F.col("c_nationkey").cast("string").alias("county_id"))
-    return geography.consistency(v.join(c, "settlement_id"), 20)
+    return geography.consistency(v.join(c, "settlement_id", "left"), 20)
 
 
 @query(f"WITH {b.VINTAGES}, c AS (SELECT settlement_id, vintage, district_id, CAST(c_nationkey AS VARCHAR) AS county_id FROM vint LEFT JOIN customer ON settlement_id = c_custkey) SELECT 'duplicate_settlement' AS rule, CAST(settlement_id AS VARCHAR) AS unit FROM c GROUP BY vintage, settlement_id HAVING count(*) > 1 UNION ALL SELECT 'district_in_several_counties', district_id FROM c GROUP BY vintage, district_id HAVING count(DISTINCT county_id) > 1 UNION ALL SELECT 'blank_district', CAST(settlement_id AS VARCHAR) FROM c WHERE district_id IS NULL OR lower(trim(district_id)) IN ('', 'nan', 'none', 'null') UNION ALL SELECT 'county_count', CAST(count(DISTINCT county_id) AS VARCHAR) FROM c GROUP BY vintage HAVING count(DISTINCT county_id) <> 20")
