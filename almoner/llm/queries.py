@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
-from . import decontam, langid, near_dup, packing, quality, secrets, sharding, tokenbin, topk, toxicity
+from . import bpe, decontam, langid, near_dup, packing, quality, resample, secrets, sharding, tokenbin, topk, toxicity, whiten
 
 
 SHARD_BYTES = 1 << 18
@@ -25,6 +25,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=13))
 
@@ -82,9 +88,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round", "n_bins", "bound")
 
 
+def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(_table(spark, sf_dir, "embeddings"), k=32, scale=64.0, shift=1_000_000)
+
+
+def op12_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = byte_tokenizer()
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), rules, keep=["doc_id"])
+    return bpe.digest(bpe.decode(coded, rules), rules, keep=["doc_id"])
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_language, op4_exact_top_k, op5_extendible_sharding, op6_toxicity, op7_token_binary, op8_line_quality, op9_order_minhash, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_language, op4_exact_top_k, op5_extendible_sharding, op6_toxicity, op7_token_binary, op8_line_quality, op9_order_minhash, op10_best_fit_packing, op11_lobpcg_whitening, op12_bpe_pair_index, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.oracle_sql(), "op4_exact_top_k": topk.ORACLE_SQL, "op5_extendible_sharding": sharding.oracle_sql(SHARD_BYTES)}
+    return {"op1_decontamination": decontam.oracle_sql(), "op4_exact_top_k": topk.ORACLE_SQL, "op5_extendible_sharding": sharding.oracle_sql(SHARD_BYTES), "op13_importance_resampling": resample.oracle_sql()}
