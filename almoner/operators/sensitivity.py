@@ -68,66 +68,3 @@ def dirichlet(spark: SparkSession, n: int, seed: int, weights: dict[str, float],
         return {k: x / s for k, x in g.items()}
 
     return draws(spark, n, seed, draw, list(weights))
-
-
-def top_frequency(df: DataFrame, weight_draws: DataFrame, names: list[str], part: float = 0.1, unit: str = "district_id", robust: float = 0.8) -> DataFrame:
-    """unit, frequency in the top part over draws of weights, robust: at least so often. Scores are linear in the weights.
-
-    names: dimensions, whose scores are columns score_<name>. Each draw's top is exactly floor(n * part) rows, at least one.
-    """
-    from .equity import top_rows
-
-    n, k = weight_draws.count(), max(1, int(df.count() * part))
-    w = weight_draws.withColumnsRenamed({x: f"w_{x}" for x in names})
-    scored = df.select(unit, *[f"score_{x}" for x in names]).crossJoin(F.broadcast(w)).select("draw_id", unit, sum(F.col(f"w_{x}") * F.col(f"score_{x}") for x in names).alias("s"))
-    hits = top_rows(scored, "s", ["draw_id"], k, unit).groupBy(unit).agg(F.count("*").alias("hits"))
-    return df.select(unit).join(hits, unit, "left").select(unit, (F.coalesce("hits", F.lit(0)) / n).alias("frequency")).withColumn("robust", F.col("frequency") >= robust)
-
-
-def psa(df: DataFrame, n: int, seed: int, budget: float, cv: float = 0.3, cost: str = "expected_cost", cases: str = "cases", unit: str = "district_id") -> DataFrame:
-    """unit, mean, low, high: aid under gamma costs and beta incidence, shared by cost * (1 + incidence) in each draw.
-
-    A task makes the draws of its own units, each from a generator of (seed, unit); a draw's total comes from a grouped sum.
-    """
-    top = df.agg(F.max(F.col(cases).cast("double")).alias("__top"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for u, mu, x, most in zip(f["u"], f["cost"], f["cases"], f["top"], strict=True):
-                rng = np.random.default_rng([seed, int(u)])
-                share = min(max(x / most if most else 0.0, 1e-6), 1 - 1e-6)
-                made = rng.gamma(1 / cv**2, max(mu, 0.0) * cv**2, n) * (1 + rng.beta(40 * share, 40 * (1 - share), n))
-                yield pd.DataFrame({"u": np.full(n, u, dtype="int64"), "draw_id": np.arange(n), "raw": made})
-
-    source = df.crossJoin(F.broadcast(top)).select(F.col(unit).cast("long").alias("u"), F.coalesce(F.col(cost).cast("double"), F.lit(0.0)).alias("cost"), F.coalesce(F.col(cases).cast("double"), F.lit(0.0)).alias("cases"), F.coalesce("__top", F.lit(0.0)).alias("top"))
-    made = source.mapInPandas(run, "u long, draw_id long, raw double")
-    sums = made.groupBy("draw_id").agg(F.sum("raw").alias("s"))
-    aid = made.join(F.broadcast(sums), "draw_id").withColumn("aid", nulls.ratio(budget * F.col("raw"), "s"))
-    return aid.groupBy(F.col("u").alias(unit)).agg(F.avg("aid").alias("mean"), F.percentile("aid", 0.025).alias("low"), F.percentile("aid", 0.975).alias("high"))
-
-
-def bootstrap_gini(df: DataFrame, value: str, group: str, reps: int, seed: int, unit: str = "district_id", alpha: float = 0.05) -> DataFrame:
-    """group, low, high: percentile interval of the Gini coefficient under Poisson resampling.
-
-    Each row gets a Poisson(1) count for each replicate, from a generator of (seed, unit): resampling without gathering rows.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for g, u, x in zip(f["g"], f["u"], f["x"], strict=True):
-                k = np.random.default_rng([seed, int(u)]).poisson(1.0, reps)
-                at = np.flatnonzero(k)
-                yield pd.DataFrame({"g": g, "u": np.full(len(at), u, dtype="int64"), "rep": at.astype("int64"), "x": float(x), "k": k[at].astype("int64")})
-
-    from pyspark.sql import Window as W
-
-    source = df.where(F.col(value).isNotNull()).select(F.col(group).cast("long").alias("g"), F.col(unit).cast("long").alias("u"), F.col(value).cast("double").alias("x"))
-    rows = source.mapInPandas(run, "g long, u long, rep long, x double, k long")
-    before = F.coalesce(F.sum("k").over(W.partitionBy("g", "rep").orderBy("x", "u").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # the k copies stand at before + 1 .. before + k
-    placed = rows.withColumn("at", F.col("k") * before + F.col("k") * (F.col("k") + 1) / 2)
-    n, s = F.sum("k"), F.sum(F.col("k") * F.col("x"))
-    g = placed.groupBy("g", "rep").agg(F.when(s > 0, 2 * F.sum(F.col("at") * F.col("x")) / F.nullif(n * s, F.lit(0.0)) - (n + 1) / n).alias("gini"))
-    return g.where(F.col("gini").isNotNull()).groupBy(F.col("g").alias(group)).agg(F.percentile("gini", alpha / 2).alias("low"), F.percentile("gini", 1 - alpha / 2).alias("high"))
-
-

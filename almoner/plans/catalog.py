@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import counter, dates, text
 from ..functions.lineage import cut
-from ..operators import allocation, costs, equity, geography, need, panel, sensitivity, validation
+from ..operators import allocation, costs, equity, geography, need, panel, probabilistic, sensitivity, validation
 from ..sources import collectors, html, tabular
 from ..sources.tabular import table
 from . import bindings as b
@@ -610,20 +610,127 @@ def two_way_grid(s: SparkSession, d: str) -> DataFrame:
     return rounded(sensitivity.grid(rows, s, [0.0, 0.5, 1.0, 2.0], [0.0, 0.1, 0.5], b.BUDGET))
 
 
-@query()
-def psa(s: SparkSession, d: str) -> DataFrame:
-    return sensitivity.psa(b.panel(s, d), DRAWS, 20260101, b.BUDGET)
+SEED = 20260101
 
 
-@query()
+def _gammas(out: str, parts: list[tuple[str, int, str, str]], keys: str = "unit, draw") -> str:
+    """Tables up to `out` (unit, draw, part, value). parts: source with unit and draw, stream, unit's number, shape."""
+    rows = " UNION ALL ".join(f"SELECT {keys}, {i} AS part, {shape} AS shape, state FROM {counter.sql_with(f'(SELECT * FROM {source})', counter.sql_at('state', SEED, stream, number, 'draw'))}" for i, (source, stream, number, shape) in enumerate(parts))
+    return f"{out}_src AS MATERIALIZED ({rows}), {counter.sql_gammas(out, f'{out}_src', ['unit', 'draw', 'part'])}"
+
+
+_DRAWN = f"range({DRAWS}) AS r(draw)"
+_PSA = f"""WITH {b.NEED}, pre AS (SELECT district_id AS unit, expected_cost AS cost, coalesce(discount, 0) AS x, max(coalesce(discount, 0)) OVER () AS most, y_socioeconomic AS y1, y_healthcare AS y2, y_fiscal_capacity AS y3, existing_local_funding AS local, {b.between('own_revenue', 'fiscal')} FROM need),
+u AS (SELECT *, least(greatest(x / most, 1e-6), 1 - 1e-6) AS f FROM pre), ud AS MATERIALIZED (SELECT unit, draw, f FROM u, {_DRAWN}),
+{_gammas('g', [('ud', probabilistic.COST, 'unit', '1 / 0.09'), ('ud', probabilistic.RISK_A, 'unit', '8 * f'), ('ud', probabilistic.RISK_B, 'unit', '2 * (1 - f)')])},
+d AS MATERIALIZED (SELECT unit, draw, max(value) FILTER (part = 0) AS gc, max(value) FILTER (part = 1) AS ga, max(value) FILTER (part = 2) AS gb FROM g GROUP BY 1, 2),
+i AS MATERIALIZED (SELECT draw, u.*, CASE WHEN cost > 0 THEN gc * cost * 0.09 ELSE 0 END AS c, CASE WHEN ga + gb > 0 THEN ga / (ga + gb) ELSE 0 END * most AS inc FROM d JOIN u USING (unit)),
+im AS (SELECT draw, avg(inc) AS m, stddev_pop(inc) AS s FROM i GROUP BY 1),
+n1 AS (SELECT i.*, 100 + 10 * (inc - m) / s AS y0 FROM i JOIN im USING (draw)), n2 AS (SELECT *, (y0 + y1 + y2 + y3) / 4 AS m FROM n1),
+n3 AS MATERIALIZED (SELECT *, m - ((y0 - m) * (y0 - m) + (y1 - m) * (y1 - m) + (y2 - m) * (y2 - m) + (y3 - m) * (y3 - m)) / 4 / m AS nd FROM n2),
+nm AS (SELECT draw, min(nd) AS lo, max(nd) AS hi FROM n3 GROUP BY 1),
+ra AS MATERIALIZED (SELECT unit, draw, greatest(c * (1 + 0.5 * (nd - lo) / (hi - lo)) * (1 - 0.3 * fiscal) - local, 0) AS raw FROM n3 JOIN nm USING (draw)),
+rs AS (SELECT draw, sum(raw) AS s FROM ra GROUP BY 1), aid AS (SELECT unit, {b.BUDGET} * raw / s AS aid FROM ra JOIN rs USING (draw))
+SELECT unit AS district_id, round(avg(aid), 2) AS mean, round(quantile_cont(aid, 0.025), 2) AS low, round(quantile_cont(aid, 0.975), 2) AS high FROM aid GROUP BY 1"""
+
+
+@query(_PSA)
+def psa(s: SparkSession, d: str) -> DataFrame:
+    """Aid of the full scenario under drawn costs and incidence: 2,000 draws over the whole panel, the index made anew in each."""
+    return rounded(probabilistic.psa(b.panel(s, d), DRAWS, SEED, b.BUDGET, b.index(), allocation.SCENARIOS[5], "discount"), 2)
+
+
+#: Parameters that are parts of one.
+RATIOS = ["hospitalisation_rate", "work_loss_probability", "vaccine_efficacy", "employer_contribution"]
+
+
+def _parameter_sql() -> str:
+    """par(draw, names): every parameter of every draw."""
+    parts, made = [], []
+    for i, (name, (base, low, high)) in enumerate(costs.ANALYSIS.items()):
+        if base <= 0:
+            made.append(f"{base!r}::DOUBLE AS {name}")
+            continue
+        first = lambda part, shape, i=i: parts.append((f"(SELECT {2 * i + part} AS unit, draw FROM {_DRAWN})", probabilistic.PARAMETER, "unit", f"{shape!r}::DOUBLE"))
+        pick = lambda part, i=i: f"max(value) FILTER (unit = {2 * i + part})"
+        if name in RATIOS:
+            first(0, max(base * 40, 1e-3))
+            first(1, max((1 - base) * 40, 1e-3))
+            made.append(f"least(greatest({pick(0)} / ({pick(0)} + {pick(1)}), {low * 0.5!r}::DOUBLE), {min(high * 1.2, 0.999)!r}::DOUBLE) AS {name}")
+        else:
+            k = 1 / max((high - low) / (3.92 * base), 0.05) ** 2
+            first(0, k)
+            made.append(f"{pick(0)} * {base / k!r}::DOUBLE AS {name}")
+    return f"{_gammas('pg', parts)}, par AS (SELECT draw, {', '.join(made)} FROM pg GROUP BY draw)"
+
+
+def _weights_sql() -> str:
+    """wt(draw, w0, w1, ...): the dimensions' weights of every draw."""
+    whole = sum(b.DIMS.values())
+    parts = [(f"(SELECT {i} AS unit, draw FROM {_DRAWN})", probabilistic.WEIGHT, "unit", f"{w / whole * 20.0!r}::DOUBLE") for i, w in enumerate(b.DIMS.values())]
+    return f"{_gammas('wg', parts)}, wt AS (SELECT draw, {', '.join(f'max(value) FILTER (unit = {i}) / sum(value) AS w{i}' for i in range(len(parts)))} FROM wg GROUP BY draw)"
+
+
+_CASE_COST = "hospitalisation_rate * hbcs_weight * hbcs_base_rate + (1 - hospitalisation_rate) * (outpatient_points * outpatient_point_value + gp_visit_cost) + work_loss_probability * least(workdays_lost, working_days_per_year) * daily_wage * 1.09 * (1 + employer_contribution)"
+_DOT = " + ".join(f"z{i} * w{i}" for i in range(len(b.DIMS)))
+_PSA_ANALYSIS = f"""WITH {b.NEED}, {_parameter_sql()}, {_weights_sql()},
+bu AS (SELECT draw, exp(0.2 * z) AS burden FROM {counter.sql_with(f'(SELECT draw FROM {_DRAWN})', [*counter.sql_at('state', SEED, probabilistic.BURDEN, '0', 'draw'), *counter.sql_normal('z', 'state')])}),
+et AS (SELECT draw, 0.2 + 0.8 * e AS eta FROM {counter.sql_with(f'(SELECT draw FROM {_DRAWN})', [*counter.sql_at('state', SEED, probabilistic.ETA, '0', 'draw'), *counter.sql_uniform('e', 'state')])}),
+pl AS (SELECT district_id AS unit, CAST(cases AS DOUBLE) AS cases, row_number() OVER (ORDER BY need_score, district_id) AS k, count(*) OVER () AS n, {', '.join(f'coalesce((need_{x} - avg(need_{x}) OVER ()) / nullif(stddev_samp(need_{x}) OVER (), 0), 0) AS z{i}' for i, x in enumerate(b.DIMS))} FROM need),
+no AS MATERIALIZED (SELECT unit, draw, x FROM {counter.sql_with(f'(SELECT unit, draw FROM pl, {_DRAWN})', [*counter.sql_at('state', SEED, probabilistic.NOISE, 'unit', 'draw'), *counter.sql_normal('x', 'state')])}),
+sc AS MATERIALIZED (SELECT unit, draw, cases, k, n, {_DOT} AS score FROM pl, wt), ends AS (SELECT draw, min(score) AS lo, max(score) AS hi FROM sc GROUP BY 1),
+ra AS (SELECT draw, k, n, greatest(cases * exp(0.35 * x) * (1 + eta * (score - lo) / (hi - lo)), 0) AS raw FROM sc JOIN ends USING (draw) JOIN et USING (draw) JOIN no USING (unit, draw)),
+su AS (SELECT draw, sum(raw) FILTER (greatest(ceil((k - 1) * 5.0 / (n - 1)), 1) - 1 = 4) / sum(raw) AS w, 2 * sum(raw * ((k - 0.5) / n - 0.5)) / sum(raw) AS ci FROM ra GROUP BY 1),
+co AS (SELECT draw, (SELECT sum(cases) FROM panel) * burden * underreporting * ({_CASE_COST}) / 1e9 AS cost FROM par JOIN bu USING (draw))
+SELECT draw AS draw_id, round(cost, 6) AS cost_bn, round(w, 6) AS worst_q_share, round(ci, 6) AS ci_need FROM su JOIN co USING (draw)"""
+
+
+@query(_PSA_ANALYSIS)
+def psa_analysis(s: SparkSession, d: str) -> DataFrame:
+    """Of each draw: the societal cost, and how a share by noisy burden and drawn need falls on the neediest."""
+    rows = cut(need.need_index(b.panel(s, d), b.index()))
+    drawn = probabilistic.sampled(s, DRAWS, SEED, costs.ANALYSIS, RATIOS).join(probabilistic.burden_multiplier(s, DRAWS, SEED), "draw_id")
+    whole = float(rows.agg(F.sum("cases")).first()[0] or 0)
+    cost = drawn.select("draw_id", (F.lit(whole) * F.col("burden") * F.col("underreporting") * costs.cost_per_case() / 1e9).alias("cost_bn"))
+    share = probabilistic.progressivity(rows.withColumnsRenamed({f"need_{x}": f"score_{x}" for x in b.DIMS}), DRAWS, SEED, b.DIMS, "cases")
+    return rounded(cost.join(share.drop("eta"), "draw_id"))
+
+
+_SPREAD = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(quantile_cont({c}, 0.025), 6) AS {c}_low, round(quantile_cont({c}, 0.975), 6) AS {c}_high" for c in ("cost_bn", "worst_q_share", "ci_need"))
+
+
+@query(f"SELECT count(*) AS n_draws, {_SPREAD} FROM ({_PSA_ANALYSIS})")
+def psa_analysis_summary(s: SparkSession, d: str) -> DataFrame:
+    """Mean and 95 % interval over the draws."""
+    draws = psa_analysis(s, d)
+    return draws.agg(F.count("*").alias("n_draws"), *[r6(f(c)).alias(f"{c}_{n}") for c in ("cost_bn", "worst_q_share", "ci_need") for n, f in (("mean", F.avg), ("low", lambda x: F.percentile(x, 0.025)), ("high", lambda x: F.percentile(x, 0.975)))])
+
+
+@query(f"WITH {b.SCORES}, {_weights_sql()}, pl AS (SELECT district_id, count(*) OVER () AS n, {', '.join(f'score_{x} AS z{i}' for i, x in enumerate(b.DIMS))} FROM scores), rk AS (SELECT district_id, n, row_number() OVER (PARTITION BY draw ORDER BY {_DOT} DESC, district_id) AS k FROM pl, wt) SELECT district_id, count(*) FILTER (k <= greatest(1, CAST(floor(n * 0.1) AS BIGINT))) / {float(DRAWS)} AS frequency, count(*) FILTER (k <= greatest(1, CAST(floor(n * 0.1) AS BIGINT))) / {float(DRAWS)} >= 0.8 AS robust FROM rk GROUP BY 1")
 def dirichlet_topdecile(s: SparkSession, d: str) -> DataFrame:
-    rows = need.scores(b.panel(s, d), b.index())
-    return sensitivity.top_frequency(rows, sensitivity.dirichlet(s, DRAWS, 20260101, b.DIMS), list(b.DIMS))
+    return probabilistic.top_frequency(need.scores(b.panel(s, d), b.index()), DRAWS, SEED, b.DIMS)
 
 
-@query()
+def _replicates_sql(value: str, by: str) -> str:
+    counted = counter.sql_with(f"(SELECT region_id, district_id AS unit, {value} AS y, {by} AS o, draw FROM {'need' if by == 'need_score' else 'panel'}, {_DRAWN})", [*counter.sql_at("state", SEED, probabilistic.REPLICATE, "unit", "draw"), *counter.sql_uniform("u", "state")])
+    return f"kk AS MATERIALIZED (SELECT region_id, draw, unit, y, o, {counter.sql_poisson_1('u')} AS k FROM {counted}), cc AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY region_id, draw ORDER BY o, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kk), st AS (SELECT region_id, draw, CAST(sum(k * y * (2 * before + k)) AS DOUBLE) / nullif(CAST(sum(k) AS DOUBLE) * sum(k * y), 0) - 1 AS x FROM cc GROUP BY 1, 2) SELECT region_id, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, count(x) AS n_used FROM st WHERE x IS NOT NULL GROUP BY 1"
+
+
+def _bootstrap(rows: DataFrame, value: str, by: str) -> DataFrame:
+    sums = probabilistic.replicated(rows, value, by, ["region_id"], DRAWS, SEED)
+    return rounded(probabilistic.interval(sums, probabilistic.concentration(), ["region_id"]))
+
+
+@query(f"WITH {b.PANEL}, {_replicates_sql('cases', 'cases')}")
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return sensitivity.bootstrap_gini(b.panel(s, d), "cases", "region_id", DRAWS, 20260101)
+    """The Gini coefficient of cases in each region, over 2,000 replicates."""
+    return _bootstrap(b.panel(s, d), "cases", "cases")
+
+
+@query(f"WITH {b.NEED}, {_replicates_sql('existing_local_funding', 'need_score')}")
+def bootstrap_concentration(s: SparkSession, d: str) -> DataFrame:
+    """The concentration of local funding along need in each region."""
+    return _bootstrap(need.need_index(b.panel(s, d), b.index()), "existing_local_funding", "need_score")
 
 
 # Texts and pages.
