@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lineage import cut
 
@@ -22,14 +23,14 @@ BUFFERED = 1 << 16
 BITS = 12
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ordered_bits(x: pd.Series) -> pd.Series:
     """A whole number for each double, in the same order; -0.0 is 0.0."""
     bits = (x.to_numpy(dtype="float64") + 0.0).view(np.int64)
     return pd.Series(np.where(bits < 0, np.int64(-0x8000000000000000) - bits, bits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def double_of(bits: pd.Series) -> pd.Series:
     b = bits.to_numpy(dtype="int64")
     return pd.Series(np.where(b < 0, np.int64(-0x8000000000000000) - b, b).view(np.float64))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nulls
@@ -70,28 +69,45 @@ def prepare(panel: DataFrame, group: list[str] | None = None) -> DataFrame:
     return unit_interval(panel.withColumns(terms), ["epidemiological", "fiscal"], group)
 
 
+def raw_share(s: Scenario) -> Column:
+    """What a scenario shares by, over the columns of `prepare`; negative only where a passed-through amount is."""
+    c = F.col
+    if s.passthrough:
+        return c("aux_local")
+    need = {"epidemiological": "epidemiological", "socioeconomic": "aux_socioeconomic", "healthcare": "aux_healthcare", "full": "aux_full"}.get(s.need)
+    term = F.greatest(F.coalesce(c(need), F.lit(0.0)), F.lit(0.0)) if need else F.lit(0.0)
+    factor = (c("aux_population") if s.base == "population" else F.lit(1.0)) * (c("aux_expected_cost") if s.cost == "expected_cost" else F.lit(1.0))
+    raw = factor * (1 + s.eta * F.pow(term, F.lit(float(s.alpha)))) * (1 - s.kappa * F.coalesce("fiscal", F.lit(0.0)))
+    raw = F.greatest(raw - (c("aux_local") if s.less_local else F.lit(0.0)) - s.phi * c("aux_revenue"), F.lit(float(s.floor)))
+    return F.when(c("aux_eligible"), raw).otherwise(0.0) if s.eligible_only else raw
+
+
 def allocate(panel: DataFrame, scenarios: DataFrame, budget: float, group: list[str] | None = None, check: bool = True) -> DataFrame:
     """A row for each scenario and district with aid_amount and delta_vs_baseline (against scenario 0; 0 where that has none).
 
     raw = base * cost * (1 + eta * need ** alpha) * (1 - kappa * F) - L - phi * FC, at least the floor, 0 if ineligible;
     normalised scenarios then share the budget by raw. check: an error if a normalised scenario has nothing to share by.
+    Scenarios are rows of parameters, taken to the driver; each is a column of the panel, their sums are one aggregation,
+    and a district's scenarios are dealt out at the end, so districts are not shuffled.
     """
-    group = group or []
-    c = F.col
-    rows = prepare(panel, group).crossJoin(F.broadcast(scenarios))  # scenarios are few
-    need = F.when(c("need") == "epidemiological", c("epidemiological")).when(c("need") == "socioeconomic", c("aux_socioeconomic")).when(c("need") == "healthcare", c("aux_healthcare")).when(c("need") == "full", c("aux_full")).otherwise(0.0)
-    factor = F.when(c("base") == "population", c("aux_population")).otherwise(1.0) * F.when(c("cost") == "expected_cost", c("aux_expected_cost")).otherwise(1.0)
-    raw = factor * (1 + c("eta") * F.pow(F.greatest(F.coalesce(need, F.lit(0.0)), F.lit(0.0)), c("alpha"))) * (1 - c("kappa") * F.coalesce("fiscal", F.lit(0.0)))
-    raw = raw - F.when(c("less_local"), c("aux_local")).otherwise(0.0) - c("phi") * c("aux_revenue")
-    raw = F.when(c("passthrough"), c("aux_local")).when(c("eligible_only") & ~c("aux_eligible"), 0.0).otherwise(F.greatest(raw, c("floor")))
-    rows = rows.withColumn("raw", raw)
-    sums = rows.groupBy(*group, "scenario_id").agg(F.sum("raw").alias("__sum"), F.max("normalise").alias("__n"))
-    if check and (bad := [r["scenario_id"] for r in sums.where("__n AND NOT coalesce(__sum, 0) > 0").select("scenario_id").collect()]):
-        raise AllocationError(f"nothing to share by in scenarios {sorted(bad)}")
-    out = rows.join(F.broadcast(sums.drop("__n")), [*group, "scenario_id"])
-    out = out.withColumn("aid_amount", F.when(c("normalise") & ~c("passthrough"), F.coalesce(nulls.ratio(budget * c("raw"), "__sum"), F.lit(0.0))).otherwise(c("raw")))
-    baseline = F.coalesce(F.max(F.when(c("scenario_id") == 0, c("aid_amount"))).over(W.partitionBy(*group, "district_id")), F.lit(0.0))
-    return out.withColumn("delta_vs_baseline", c("aid_amount") - baseline).drop(*[x for x in out.columns if x.startswith(("__", "aux_"))], *[x for x in scenarios.columns if x not in ("scenario_id", "scenario_name")], "raw", "epidemiological", "fiscal")
+    group, c = group or [], F.col
+    told = [Scenario(**r.asDict()) for r in scenarios.orderBy("scenario_id").collect()]  # a row for each scenario
+    rows = prepare(panel, group).withColumns({f"__raw_{i}": raw_share(s) for i, s in enumerate(told)})
+    shared = [i for i, s in enumerate(told) if s.normalise and not s.passthrough]
+    sums = rows.groupBy(*group).agg(*[F.sum(f"__raw_{i}").alias(f"__sum_{i}") for i in shared]) if shared else None
+    if check and shared:
+        bad = sums.agg(*[F.count_if(~(F.coalesce(f"__sum_{i}", F.lit(0.0)) > 0)).alias(str(i)) for i in shared]).first()
+        if lacking := [told[i].scenario_id for i in shared if bad[str(i)]]:
+            raise AllocationError(f"nothing to share by in scenarios {sorted(lacking)}")
+    if shared and group:
+        rows = rows.join(sums, group)
+    elif shared:
+        rows = rows.withColumns({f"__sum_{i}": F.lit(v).cast("double") for i, v in zip(shared, sums.first(), strict=True)})
+    aid = [F.coalesce(nulls.ratio(budget * c(f"__raw_{i}"), f"__sum_{i}"), F.lit(0.0)) if i in shared else c(f"__raw_{i}").cast("double") for i in range(len(told))]
+    rows = rows.withColumns({f"__aid_{i}": a for i, a in enumerate(aid)})
+    baseline = next((F.coalesce(c(f"__aid_{i}"), F.lit(0.0)) for i, s in enumerate(told) if s.scenario_id == 0), F.lit(0.0))
+    each = [F.struct(F.lit(s.scenario_id).cast("int").alias("scenario_id"), F.lit(s.scenario_name).alias("scenario_name"), c(f"__aid_{i}").alias("aid_amount"), (c(f"__aid_{i}") - baseline).alias("delta_vs_baseline")) for i, s in enumerate(told)]
+    return rows.withColumn("__each", F.explode(F.array(*each))).select(*panel.columns, "__each.*")
 
 
 def redistribution(allocated: DataFrame, county: str = "county_id", to: int = 2, than: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nulls, ranks
+from ..functions import nulls, order, ranks, selection
 
 
 def gini(df: DataFrame, value: str, group: list[str], tie: str = "district_id", slices: int = 1, zero: float | None = 0.0) -> DataFrame:
@@ -57,18 +57,20 @@ def lorenz(df: DataFrame, value: str, group: list[str], tie: str = "district_id"
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
-    """group, rho over rows where both are known; ties share their mean rank."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.select(*group, ranks.mean_rank(x, group).alias("__a"), ranks.mean_rank(y, group).alias("__b"))
+    """group, rho over rows where both are known; ties share their mean rank. Ranks are taken in slices of each group."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    ranked = order.with_ranks(rows, {"__a": "__x", "__b": "__y"}, group)
     return ranked.groupBy(*group).agg(nulls.correlation("__a", "__b").alias("rho"))
 
 
 def scenario_spearman(allocated: DataFrame, value: str = "aid_amount", unit: str = "district_id") -> DataFrame:
-    """scenario_a, scenario_b, rho of all pairs; ranks are taken once for each scenario."""
-    ranked = allocated.where(F.col(value).isNotNull()).select("scenario_id", unit, ranks.mean_rank(value, ["scenario_id"]).alias("r"))
-    a = ranked.select(unit, F.col("scenario_id").alias("scenario_a"), F.col("r").alias("ra"))
-    b = ranked.select(unit, F.col("scenario_id").alias("scenario_b"), F.col("r").alias("rb"))
-    return a.join(b, unit).groupBy("scenario_a", "scenario_b").agg(nulls.correlation("ra", "rb").alias("rho"))  # scenarios times scenarios rows for a unit
+    """scenario_a, scenario_b, rho of all pairs; ranks are taken once for each scenario, in slices."""
+    known = allocated.where(F.col(value).isNotNull()).select("scenario_id", unit, value)
+    ranked = order.with_ranks(known, {"r": value}, ["scenario_id"])
+    # the ranks of a unit in all scenarios are one row
+    wide = ranked.groupBy(unit).agg(F.collect_list(F.struct("scenario_id", "r")).alias("__all"))  # as many as scenarios
+    pairs = wide.select(F.explode("__all").alias("a"), "__all").select("a", F.explode("__all").alias("b"))
+    return pairs.groupBy(F.col("a.scenario_id").alias("scenario_a"), F.col("b.scenario_id").alias("scenario_b")).agg(nulls.correlation("a.r", "b.r").alias("rho"))
 
 
 def top_rows(df: DataFrame, value: str, group: list[str], k: int, tie: str = "district_id") -> DataFrame:
@@ -91,10 +93,18 @@ def jaccard_top(allocated: DataFrame, k: int, value: str = "aid_amount", unit: s
 
 def top_overlap(df: DataFrame, aid: str, need: str, group: list[str], q: float = 0.9) -> DataFrame:
     """group, overlap: the part of units at or above the need quantile that are at or above the aid quantile too."""
-    cuts = df.groupBy(*group).agg(F.percentile(aid, q).alias("__a"), F.percentile(need, q).alias("__n"))
-    rows = df.join(F.broadcast(cuts), group) if group else df.crossJoin(F.broadcast(cuts))
-    needy = F.col(need) >= F.col("__n")
-    return rows.groupBy(*group).agg(nulls.ratio(F.sum((needy & (F.col(aid) >= F.col("__a"))).cast("long")), F.sum(needy.cast("long"))).alias("overlap"))
+    rows = _with_cuts(df, aid, need, group, q)
+    needy = F.col(need) >= F.col("__cut_need")
+    return rows.groupBy(*group).agg(nulls.ratio(F.sum((needy & (F.col(aid) >= F.col("__cut_aid"))).cast("long")), F.sum(needy.cast("long"))).alias("overlap"))
+
+
+def _with_cuts(df: DataFrame, aid: str, need: str, group: list[str], q: float) -> DataFrame:
+    """Adds the quantiles of both columns, exact for groups of any size: a row for each group is joined, or two literals are added."""
+    cuts = selection.quantiles(df, group, {"__cut_aid": F.col(aid), "__cut_need": F.col(need)}, [q])
+    if not group:
+        found = {r["name"]: r["value"] for r in cuts.collect()}  # two rows
+        return df.withColumns({k: F.lit(v).cast("double") for k, v in found.items()})
+    return df.join(cuts.groupBy(*group).pivot("name", ["__cut_aid", "__cut_need"]).agg(F.max("value")), group)
 
 
 def worst_fifth_share(df: DataFrame, aid: str, need: str, group: list[str], tie: str = "district_id", slices: int = 1) -> DataFrame:
@@ -104,12 +114,26 @@ def worst_fifth_share(df: DataFrame, aid: str, need: str, group: list[str], tie:
     return placed.groupBy(*group).agg(nulls.ratio(F.sum(F.when(F.col("__bin") == 4, F.col("__y")).otherwise(0.0)), F.sum("__y")).alias("worst_fifth_share"))
 
 
-def summary(df: DataFrame, aid: str, need: str, by: str, group: list[str], tie: str = "district_id", slices: int = 1) -> DataFrame:
-    """All of these in a row for each group."""
-    out = kakwani(df, aid, need, group, tie, slices).withColumnRenamed("gini", "gini_need")
-    for other in (gini(df, aid, group, tie, slices), theil(df, aid, by, group), top_overlap(df, aid, need, group), worst_fifth_share(df, aid, need, group, tie, slices), spearman(df, aid, need, group)):
-        out = out.join(other, group)
-    return out
+def summary(df: DataFrame, aid: str, need: str, by: str, group: list[str], tie: str = "district_id") -> DataFrame:
+    """All of these in a row for each group, over rows where aid and need are known.
+
+    Rows are numbered along need once and along aid once, in slices; then all measures but Theil's parts are one aggregation.
+    """
+    x, r = nulls.known(F.col(aid).cast("double")), nulls.known(F.col(need).cast("double"))
+    known = df.where(x.isNotNull() & r.isNotNull()).select(*group, tie, by, x.alias("__x"), r.alias("__r"))
+    rows = _with_cuts(order.numbered(order.numbered(known, group, [F.col("__r"), F.col(tie)], "__k"), group, [F.col("__x"), F.col(tie)], "__i"), "__x", "__r", group, 0.9)
+    n, s, sr, c = F.count("*"), F.sum("__x"), F.sum("__r"), F.col
+    share = F.when(s == 0, F.lit(0.0))
+    needy = c("__r") >= c("__cut_need")
+    last = ranks.fifth(c("__k"), c("n")) == 4
+    out = rows.groupBy(*group).agg(
+        share.otherwise(2 * F.sum(c("__x") * ((c("__k") - 0.5) / c("n") - 0.5)) / F.nullif(s, F.lit(0.0))).alias("ci"),
+        F.when(sr == 0, F.lit(0.0)).otherwise(2 * F.sum(c("__k") * c("__r")) / F.nullif(n * sr, F.lit(0.0)) - (n + 1) / n).alias("gini_need"),
+        share.otherwise(2 * F.sum(c("__i") * c("__x")) / F.nullif(n * s, F.lit(0.0)) - (n + 1) / n).alias("gini"),
+        nulls.ratio(F.sum((needy & (c("__x") >= c("__cut_aid"))).cast("long")), F.sum(needy.cast("long"))).alias("overlap"),
+        nulls.ratio(F.sum(F.when(last, c("__x")).otherwise(0.0)), s).alias("worst_fifth_share"),
+    ).withColumn("kakwani", F.col("ci") - F.col("gini_need"))
+    return out.join(theil(known, "__x", by, group), group).join(spearman(known, "__x", "__r", group), group)
 
 
 def trend(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:

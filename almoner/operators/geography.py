@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import nulls, text
+from ..functions import nulls, order, text
 
 
 def consistency(registry: DataFrame, expected_counties: int | None = None) -> DataFrame:
@@ -79,8 +79,7 @@ def common_parts(rows: DataFrame, unit: str = "settlement_id", parent: str = "di
     filled = every.join(rows.select(unit, vintage, parent).dropDuplicates([unit, vintage]), [unit, vintage], "left")
     signed = filled.groupBy(unit).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(vintage, F.coalesce(F.col(parent).cast("string"), F.lit("NA")).alias("p"))))), 256).alias("__sig"))
     firsts = signed.groupBy("__sig").agg(F.min(unit).alias("__first"))
-    # one row for each part
-    names = firsts.withColumn("part", F.format_string("KTE%04d", F.row_number().over(W.orderBy("__first"))))
+    names = order.numbered(firsts, [], [F.col("__first")], "__k").withColumn("part", F.format_string("KTE%04d", F.col("__k")))
     return signed.join(names.select("__sig", "part"), "__sig").select(unit, "part")
 
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nulls, ranks
+from ..functions import nulls, order, selection
 
 TINY = 1e-9
 
@@ -51,7 +51,7 @@ def with_moments(df: DataFrame, columns: list[str], group: list[str], moments: C
     """
     made = [v.alias(f"__{k}_{c}") for c in columns for k, v in moments(c).items()]
     if group:
-        return df.join(F.broadcast(df.groupBy(*group).agg(*made)), group)  # a row for each group
+        return df.join(df.groupBy(*group).agg(*made), group)
     row = df.agg(*made).first()
     return df.withColumns({k: F.lit(v) if v is not None else F.lit(None).cast("double") for k, v in row.asDict().items()})
 
@@ -64,16 +64,25 @@ def impute(df: DataFrame, columns: list[str], how: str = "median", group: list[s
     """Unknown values become the median or the mean of the known; `none` leaves them."""
     if how == "none":
         return df
-    fill = {"median": lambda c: F.median(nulls.known(F.col(c).cast("double"))), "mean": lambda c: F.avg(nulls.known(F.col(c).cast("double")))}[how]
-    filled = with_moments(df, columns, group or [], lambda c: {"fill": fill(c)})
-    return without_moments(filled.withColumns({c: F.coalesce(nulls.known(F.col(c).cast("double")), f"__fill_{c}") for c in columns}))
+    own = {c: nulls.known(F.col(c).cast("double")) for c in columns}
+    if how == "mean":
+        filled = with_moments(df, columns, group or [], lambda c: {"fill": F.avg(own[c])})
+    elif not group:
+        fills = {r["name"]: r["value"] for r in selection.quantiles(df, [], own, [0.5]).collect()}  # a row for each column
+        filled = df.withColumns({f"__fill_{c}": F.lit(fills.get(c)).cast("double") for c in columns})
+    else:
+        fills = selection.quantiles(df, group, own, [0.5])
+        filled = df.join(fills.groupBy(*group).pivot("name", columns).agg(F.max("value")).withColumnsRenamed({c: f"__fill_{c}" for c in columns}), group)
+    return without_moments(filled.withColumns({c: F.coalesce(own[c], f"__fill_{c}") for c in columns}))
 
 
 def standardise(df: DataFrame, columns: list[str], how: str = "zscore", group: list[str] | None = None, ddof: int = 0, constant: float = 0.0) -> DataFrame:
     """Replaces columns by z-scores (0 without spread), their place from least to most (`constant` without spread), or mean percent ranks."""
     group = group or []
     if how == "rank":
-        return df.withColumns({c: ranks.percent_rank(F.col(c).cast("double"), group) for c in columns})
+        rows = df.withColumns({f"__of_{c}": F.col(c).cast("double") for c in columns})
+        ranked = order.with_ranks(rows, {f"__rank_{c}": f"__of_{c}" for c in columns}, group, "percent_rank")
+        return ranked.withColumns({c: F.col(f"__rank_{c}") for c in columns}).drop(*[f"__{k}_{c}" for c in columns for k in ("of", "rank")])
     if how == "zscore":
         sd = F.stddev_samp if ddof else F.stddev_pop
         rows = with_moments(df, columns, group, lambda c: {"m": F.avg(c), "s": sd(F.col(c).cast("double"))})
@@ -196,6 +205,11 @@ def need_index(df: DataFrame, index: Index, group: list[str] | None = None) -> D
     return unit_interval(rows.withColumnsRenamed(renamed), list(renamed.values()), group)
 
 
+def need_rank(df: DataFrame, score: str = "need_score", out: str = "need_rank") -> DataFrame:
+    """Adds the place of each row from the neediest: ties share their mean rank, cut to a whole number."""
+    return order.with_ranks(df, {out: score}, ascending=False).withColumn(out, F.floor(out).cast("long"))
+
+
 def robustness(specs: DataFrame, top: int, unit: str = "district_id") -> DataFrame:
     """unit, n_specs: in how many specifications (columns but the unit) it is among the `top` highest, ties to the least id."""
     from pyspark.sql import Window as W

@@ -17,11 +17,13 @@ SmallAreaModel = Callable[[DataFrame, DataFrame], DataFrame]
 def weekly_panel(rows: DataFrame, counties: DataFrame, variables: list[str]) -> DataFrame:
     """The wanted variables, one row for each unit, variable and week, with county ids looked up by name.
 
-    Ids come from the dimension table, never from the order of names. Of rows that repeat a key the least source file wins.
+    Ids come from the dimension table, never from the order of names; of a name that it repeats the last counts, in the
+    order of its column `ordinal` (of county_id, if it has none). Of rows that repeat a key the least source file wins.
     """
     first = F.row_number().over(W.partitionBy("geo_name", "variable", "period_start").orderBy(F.col("source_file").asc_nulls_last(), F.col("value").asc_nulls_last()))
     wanted = rows.where(F.col("variable").isin(variables)).withColumn("__first", first).where("__first = 1").drop("__first")
-    return wanted.join(F.broadcast(counties.select("geo_name", "county_id").dropDuplicates(["geo_name"])), "geo_name", "left").withColumn("quality_flag", F.coalesce("quality_flag", F.lit("ok")) if "quality_flag" in rows.columns else F.lit("ok"))
+    last = counties.groupBy("geo_name").agg(F.max_by("county_id", "ordinal" if "ordinal" in counties.columns else "county_id").alias("county_id"))
+    return wanted.join(last, "geo_name", "left").withColumn("quality_flag", F.coalesce("quality_flag", F.lit("ok")) if "quality_flag" in rows.columns else F.lit("ok"))
 
 
 def yearly(weekly: DataFrame, keys: list[str], value: str = "value", out: str = "cases") -> DataFrame:
@@ -29,11 +31,11 @@ def yearly(weekly: DataFrame, keys: list[str], value: str = "value", out: str =
     return weekly.dropna(subset=keys).groupBy(*keys).agg(nulls.total(nulls.number(value)).alias(out))
 
 
-def share_of(value: str, group: list[str]) -> Column:
-    """A row's part of its group's total; equal parts where the total is 0."""
-    w = W.partitionBy(*group)
-    whole = F.sum(F.coalesce(F.col(value), F.lit(0)).cast("double")).over(w)
-    return F.when(whole == 0, 1.0 / F.count("*").over(w)).otherwise(F.coalesce(F.col(value), F.lit(0)).cast("double") / whole)
+def with_share(df: DataFrame, value: str, group: list[str], out: str = "share") -> DataFrame:
+    """Adds a row's part of its group's total; equal parts where the total is 0. A row for each group is joined, no group is one task."""
+    own = F.coalesce(F.col(value), F.lit(0)).cast("double")
+    whole = df.groupBy(*group).agg(F.sum(own).alias("__whole"), F.count("*").alias("__n"))
+    return df.join(whole, group).withColumn(out, F.when(F.col("__whole") == 0, 1.0 / F.col("__n")).otherwise(own / F.col("__whole"))).drop("__whole", "__n")
 
 
 def population_share(cases: DataFrame, districts: DataFrame, county: str = "county_id", population: str = "population", spread: float = 0.5) -> DataFrame:
@@ -41,7 +43,7 @@ def population_share(cases: DataFrame, districts: DataFrame, county: str = "coun
 
     cases: county, year, cases. Adds what every estimate has to say of itself: it is modelled, not observed.
     """
-    shares = districts.withColumn("share", share_of(population, [county]))
+    shares = with_share(districts, population, [county])
     estimate = F.col("cases") * F.col("share")
     return cases.join(shares, county).select(
         "district_id", county, "year", "share", estimate.alias("cases_modelled"), F.greatest(F.lit(0.0), estimate * (1 - spread)).alias("cases_modelled_lo"), (estimate * (1 + spread)).alias("cases_modelled_hi"),
@@ -62,7 +64,7 @@ def conservation(estimates: DataFrame, cases: DataFrame, county: str = "county_i
 
 def district_panel(districts: DataFrame, estimates: DataFrame, names: DataFrame) -> DataFrame:
     """Districts with their estimates and their counties' names; districts without estimates stay."""
-    return districts.join(estimates.drop("share"), ["district_id", "county_id"], "left").join(F.broadcast(names), "county_id", "left").withColumns({"source_id": F.lit("modelled"), "quality_flag": F.lit("ok")})
+    return districts.join(estimates.drop("share"), ["district_id", "county_id"], "left").join(names, "county_id", "left").withColumns({"source_id": F.lit("modelled"), "quality_flag": F.lit("ok")})
 
 
 def check_columns(df: DataFrame, inventory: set[str]) -> None:

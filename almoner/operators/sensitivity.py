@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import nulls
+from ..functions import nulls, order
+from ..functions.lineage import cut
 
 
 def tornado(spark: SparkSession, base: dict[str, float], evaluate: Column, deltas: tuple[float, ...] = (0.1, 0.25)) -> DataFrame:
@@ -33,19 +34,23 @@ def bounds_tornado(spark: SparkSession, levels: dict[str, tuple[float, float, fl
     return frame.where("side <> 'base'").groupBy("parameter").agg(pick("low").alias("low"), pick("high").alias("high")).crossJoin(F.broadcast(at_base)).withColumn("spread", F.abs(F.col("high") - F.col("low")))
 
 
-def grid(df: DataFrame, spark: SparkSession, etas: list[float], rates: list[float], budget: float, population: str = "population", need: str = "need_score", cases: str = "cases", tie: str = "district_id") -> DataFrame:
+def grid(df: DataFrame, etas: list[float], rates: list[float], budget: float, population: str = "population", need: str = "need_score", cases: str = "cases", tie: str = "district_id") -> DataFrame:
     """eta, rate, reshuffled (half the summed change against shares by population, over the budget), ci.
 
-    Aid is shared by population * (1 + eta * need) plus rate times cases: one plan for all cells.
+    Aid is shared by population * (1 + eta * need) plus rate times cases. The order by need is that of all cells, so rows
+    are numbered once, in slices; a cell's total is made of three sums; then each row is met by the cells, which are few.
     """
-    from .equity import concentration
-
-    cells = spark.createDataFrame([(float(a), float(b)) for a in etas for b in rates], "eta double, rate double")
-    rows = df.crossJoin(F.broadcast(cells)).withColumn("raw", F.col(population) * (1 + F.col("eta") * F.col(need)) + F.col("rate") * F.col(cases))
-    sums = rows.groupBy("eta", "rate").agg(F.sum("raw").alias("s"), F.sum(population).alias("p"))
-    aid = rows.join(F.broadcast(sums), ["eta", "rate"]).withColumns({"aid": nulls.ratio(budget * F.col("raw"), "s"), "flat": nulls.ratio(budget * F.col(population), "p")})
-    moved = aid.groupBy("eta", "rate").agg((F.sum(F.abs(F.col("aid") - F.col("flat"))) / 2 / budget).alias("reshuffled"))
-    return moved.join(concentration(aid, "aid", need, ["eta", "rate"], tie), ["eta", "rate"])
+    rows = df.select(F.col(population).cast("double").alias("p"), F.col(need).cast("double").alias("x"), F.col(cases).cast("double").alias("c"), tie).where(nulls.known("x").isNotNull())
+    placed = cut(order.numbered(rows, [], [F.col("x"), F.col(tie)], "k"))
+    p, px, c = placed.agg(F.sum("p"), F.sum(F.col("p") * F.col("x")), F.sum("c")).first()
+    if p is None:
+        return df.sparkSession.createDataFrame([], "eta double, rate double, reshuffled double, ci double")
+    cells = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("eta"), F.lit(float(r)).alias("rate"), F.lit(float(p + e * px + r * c)).alias("whole")) for e in etas for r in rates]))
+    met = placed.select("p", "x", "c", ((F.col("k") - 0.5) / F.col("n") - 0.5).alias("off"), cells.alias("cell")).select("p", "x", "c", "off", "cell.*")
+    share = nulls.ratio(F.col("p") * (1 + F.col("eta") * F.col("x")) + F.col("rate") * F.col("c"), "whole")
+    aid = budget * share
+    moved = F.sum(F.abs(aid - budget * nulls.ratio(F.col("p"), F.lit(float(p))))) / 2 / budget
+    return met.groupBy("eta", "rate").agg(moved.alias("reshuffled"), nulls.ratio(2 * F.sum(aid * F.col("off")), F.sum(aid)).alias("ci"))
 
 
 def draws(spark: SparkSession, n: int, seed: int, draw: Callable[[np.random.Generator], dict[str, float]], columns: list[str], parts: int = 8) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import dates, nulls
+from ..functions import dates, nulls, selection
 
 FINDING = "rule string, severity string, message string, n_rows long, sample array<string>"
 
@@ -56,7 +56,7 @@ def duplicates(df: DataFrame) -> DataFrame:
 def missing_units(df: DataFrame, expected: DataFrame, unit: str, period: str) -> DataFrame:
     """unit, period: expected units without a row in a period that has rows. Periods are broadcast: they are weeks or years."""
     periods = df.select(period).where(F.col(period).isNotNull()).distinct()
-    return expected.select(unit).distinct().crossJoin(F.broadcast(periods)).join(df.select(unit, period).distinct(), [unit, period], "left_anti")
+    return expected.select(unit).distinct().crossJoin(periods).join(df.select(unit, period).distinct(), [unit, period], "left_anti")
 
 
 def unknown_ids(df: DataFrame, known: DataFrame, unit: str) -> DataFrame:
@@ -79,7 +79,7 @@ def out_of_range(df: DataFrame, bounds: DataFrame, variable: str = "variable", v
     """Rows outside their variable's bounds (0 and up where it has none). bounds: variable, low, high: a small table."""
     b = bounds.select(F.col("variable").alias(variable), "low", "high")
     x = nulls.number(value)
-    rows = df.join(F.broadcast(b), variable, "left")
+    rows = df.join(b, variable, "left")
     return rows.where(x.isNotNull() & ((x < F.coalesce("low", F.lit(0.0))) | (x > F.coalesce("high", F.lit(float("inf")))))).drop("low", "high")
 
 
@@ -92,23 +92,29 @@ def columns_out_of_range(df: DataFrame, bounds: dict[str, tuple[float, float]])
     return df.agg(*bad).unpivot([], list(own), "column", "n_rows").where("n_rows > 0")
 
 
-def sum_disagreement(df: DataFrame, tolerance: float = 0.5, keys: tuple[str, ...] = ("variable", "period_start")) -> DataFrame:
-    """keys, counties, country: periods whose county values don't add up to the country's."""
+def sum_disagreement(df: DataFrame, tolerance: float = 0.5, keys: tuple[str, ...] = ("variable", "period_start"), place: str | None = None) -> DataFrame:
+    """keys, counties, country: periods whose county values don't add up to the country's.
+
+    Of several values of the country the first counts, in the order of the column `place` (such as a row number); rows of
+    a table have no order of their own, so without it the least.
+    """
     x = nulls.number("value")
-    sums = df.groupBy(*keys).agg(nulls.total(F.when(F.col("geo_level") == "county", x)).alias("counties"), F.min(F.when(F.col("geo_level") == "country", x)).alias("country"), F.count_if(F.col("geo_level") == "county").alias("__n"))
+    country = F.when(F.col("geo_level") == "country", x)
+    first = F.min_by(country, F.when(country.isNotNull(), F.col(place))) if place else F.min(country)
+    sums = df.groupBy(*keys).agg(nulls.total(F.when(F.col("geo_level") == "county", x)).alias("counties"), first.alias("country"), F.count_if(F.col("geo_level") == "county").alias("__n"))
     return sums.where(F.col("country").isNotNull() & (F.col("__n") > 0) & (F.abs(F.col("counties") - F.col("country")) > tolerance)).drop("__n")
 
 
 def outliers(df: DataFrame, value: str, group: list[str], most: float = 5.0, flag: str = "quality_flag") -> DataFrame:
     """Adds robust_z, |0.6745 (x - median) / MAD|, and marks rows above `most` whose flag is blank. No row goes.
 
-    Median and MAD are exact, each one grouped aggregation, joined back as a row for each group.
+    Median and MAD are exact (functions.selection) for groups of any size, and joined back as a row for each group.
     """
     x = nulls.number(value)
-    middle = df.groupBy(*group).agg(F.median(x).alias("__med"))
-    with_middle = df.join(F.broadcast(middle), group)
-    mad = with_middle.groupBy(*group).agg(F.median(F.abs(x - F.col("__med"))).alias("__mad"))
-    rows = with_middle.join(F.broadcast(mad), group).withColumn("robust_z", F.when(F.col("__mad") > 0, F.abs(0.6745 * (x - F.col("__med")) / F.nullif("__mad", F.lit(0.0)))))
+    middle = lambda rows, column, name: selection.quantiles(rows, group, {name: column}, [0.5]).select(*group, F.col("value").alias(name))
+    with_middle = df.join(middle(df, x, "__med"), group)
+    mad = middle(with_middle, F.abs(x - F.col("__med")), "__mad")
+    rows = with_middle.join(mad, group).withColumn("robust_z", F.when(F.col("__mad") > 0, F.abs(0.6745 * (x - F.col("__med")) / F.nullif("__mad", F.lit(0.0)))))
     old = F.col(flag) if flag in df.columns else F.lit(None).cast("string")
     return rows.withColumn(flag, F.when((F.col("robust_z") > most) & nulls.blank(old), F.lit("outlier")).otherwise(old)).drop("__med", "__mad")
 
@@ -138,9 +144,13 @@ def more_children_than_people(df: DataFrame, children: str = "population_0_4", p
     return df.where(F.col(children) > F.col(people))
 
 
-def county_totals_off(df: DataFrame, people: str, declared: str, keys: list[str], tolerance: float = 0.005) -> DataFrame:
-    """keys, summed, declared: where districts add up to something else than what is declared for their county."""
-    sums = df.groupBy(*keys).agg(nulls.total(people).alias("summed"), F.min(declared).alias("declared"))
+def county_totals_off(df: DataFrame, people: str, declared: str, keys: list[str], tolerance: float = 0.005, place: str | None = None) -> DataFrame:
+    """keys, summed, declared: where districts add up to something else than what is declared for their county.
+
+    Of several declared values the first counts, in the order of the column `place`; without it the least.
+    """
+    first = F.min_by(declared, F.when(F.col(declared).isNotNull(), F.col(place))) if place else F.min(declared)
+    sums = df.groupBy(*keys).agg(nulls.total(people).alias("summed"), first.alias("declared"))
     return sums.where(F.abs(F.col("summed") - F.col("declared")) > tolerance * F.abs(F.col("declared")))
 
 
@@ -195,10 +205,10 @@ def failures(df: DataFrame, spec: dict[str, Column]) -> DataFrame:
     return long.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.substring("c", 2, 9).cast("int") + 1).alias("check"), "n_rows").where("n_rows > 0")
 
 
-def modelled_against_observed(modelled: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """n, mae and coverage of the interval. modelled: estimate, lo, hi; observed: value."""
+def modelled_against_observed(modelled: DataFrame, observed: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """by, n, mae and coverage of the interval. modelled: estimate, lo, hi; observed: value."""
     both = modelled.join(observed, keys)
-    return both.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("estimate") - F.col("value"))).alias("mae"), F.avg(F.col("value").between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage"))
+    return both.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("estimate") - F.col("value"))).alias("mae"), F.avg(F.col("value").between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -125,10 +125,10 @@ def week_calendar(s: SparkSession, d: str) -> DataFrame:
 # Joins.
 
 
-@query(f"WITH {b.PANEL}, {b.COUNTY_YEARS}, sh AS (SELECT district_id, county_id, county_name, CASE WHEN sum(population) OVER (PARTITION BY county_id) = 0 THEN 1.0 / count(*) OVER (PARTITION BY county_id) ELSE population / sum(population) OVER (PARTITION BY county_id) END AS share FROM panel) SELECT p.district_id, p.county_id, p.county_name, cy.year, round(cy.cases * sh.share, 6) AS cases_modelled FROM panel p JOIN sh USING (district_id) LEFT JOIN cy ON cy.county_id = p.county_id AND cy.year = 1997")
+@query(f"WITH {b.PANEL}, {b.COUNTY_YEARS}, sh AS (SELECT district_id, county_id, county_name, CASE WHEN sum(population) OVER (PARTITION BY county_id) = 0 THEN 1.0 / count(*) OVER (PARTITION BY county_id) ELSE population / sum(population) OVER (PARTITION BY county_id) END AS share FROM panel) SELECT p.district_id, p.county_id, p.county_name, cy.year, round(cy.cases * sh.share, 6) AS cases_modelled FROM panel p JOIN sh USING (district_id) LEFT JOIN cy ON cy.county_id = p.county_id")
 def left_dim_chain(s: SparkSession, d: str) -> DataFrame:
     p = b.panel(s, d)
-    estimates = panel.population_share(b.county_years(s, d).where("year = 1997"), p.select("district_id", "county_id", "population"))
+    estimates = panel.population_share(b.county_years(s, d), p.select("district_id", "county_id", "population"))
     names = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("county_id"), F.col("n_name").alias("county_name"))
     return panel.district_panel(p.select("district_id", "county_id"), estimates, names).select("district_id", "county_id", "county_name", "year", r6("cases_modelled").alias("cases_modelled"))
 
@@ -189,7 +189,7 @@ def small_area_share(s: SparkSession, d: str) -> DataFrame:
     return rounded(est.select("district_id", "county_id", "year", "cases_modelled", "cases_modelled_lo", "cases_modelled_hi", "incidence"))
 
 
-@query(_SHARES + " SELECT county_id, year, cy.cases, round(sum(e), 4) AS apportioned, true AS conserved FROM est JOIN cy USING (county_id, year) GROUP BY ALL")
+@query(_SHARES + " SELECT county_id, year, cy.cases, round(sum(e), 4) AS apportioned, abs(any_value(cy.cases) - sum(e)) <= 1e-6 AS conserved FROM est JOIN cy USING (county_id, year) GROUP BY ALL")
 def conservation_audit(s: SparkSession, d: str) -> DataFrame:
     cases = b.county_years(s, d)
     est = panel.population_share(cases, b.panel(s, d).select("district_id", "county_id", "population"))
@@ -277,6 +277,19 @@ def std_rank(s: SparkSession, d: str) -> DataFrame:
     return rounded(need.standardise(b.panel(s, d).select("district_id", "county_id", "population"), ["population"], "rank", ["county_id"]))
 
 
+@query(f"WITH {b.PANEL} SELECT district_id, round((rank() OVER (ORDER BY population) + (count(*) OVER (PARTITION BY population) - 1) / 2.0) / count(*) OVER (), 6) AS population, round((rank() OVER (ORDER BY own_revenue) + (count(*) OVER (PARTITION BY own_revenue) - 1) / 2.0) / count(*) OVER (), 6) AS own_revenue FROM panel")
+def std_rank_whole(s: SparkSession, d: str) -> DataFrame:
+    """Percent ranks over the whole table, in slices; few populations, each of which many districts share."""
+    return rounded(need.standardise(b.panel(s, d).select("district_id", "population", "own_revenue"), ["population", "own_revenue"], "rank"))
+
+
+@query(f"WITH {b.NEED}, r AS (SELECT district_id, round(need_score, 1) AS need_score FROM need) SELECT district_id, need_score, CAST(floor(rank() OVER (ORDER BY need_score DESC) + (count(*) OVER (PARTITION BY need_score) - 1) / 2.0) AS BIGINT) AS need_rank FROM r")
+def need_rank(s: SparkSession, d: str) -> DataFrame:
+    """Places from the neediest, ties cut to whole numbers; scores of one digit, so that there are ties."""
+    rows = need.need_index(b.panel(s, d), b.index()).select("district_id", F.round("need_score", 1).alias("need_score"))
+    return need.need_rank(rows)
+
+
 def _need_columns(df: DataFrame) -> DataFrame:
     return rounded(df.select("district_id", "need_score", *[f"need_{x}" for x in b.DIMS]))
 
@@ -436,10 +449,13 @@ def worst_quintile_share(s: SparkSession, d: str) -> DataFrame:
     return rounded(equity.worst_fifth_share(allocated(s, d), "aid_amount", "need_score", ["scenario_id"], slices=SLICES))
 
 
-@query(f"{_POS}, {_THEIL}, {_OVER}, e AS (SELECT scenario_id, {_CI} AS ci, {_GINI_NEED} AS gini_need, {_GINI} AS gini, sum(CASE WHEN greatest(ceil((k - 1) * 5.0 / (n - 1)), 1) - 1 = 4 THEN x ELSE 0 END) / sum(x) AS w FROM g GROUP BY 1) SELECT scenario_id, round(ci, 4) AS ci, round(gini_need, 4) AS gini_need, round(ci - gini_need, 4) AS kakwani, round(gini, 4) AS gini, round(theil, 4) AS theil, round(overlap, 4) AS overlap, round(w, 4) AS worst_fifth_share FROM e JOIN th USING (scenario_id) JOIN ov USING (scenario_id)")
+_MEAN_RANKS = "mr AS (SELECT scenario_id, rank() OVER (PARTITION BY scenario_id ORDER BY round(aid_amount, 2)) + (count(*) OVER (PARTITION BY scenario_id, round(aid_amount, 2)) - 1) / 2.0 AS a, rank() OVER (PARTITION BY scenario_id ORDER BY round(need_score, 6)) + (count(*) OVER (PARTITION BY scenario_id, round(need_score, 6)) - 1) / 2.0 AS b FROM alloc), sp AS (SELECT scenario_id, corr(a, b) AS rho FROM mr GROUP BY 1)"
+
+
+@query(f"{_POS}, {_THEIL}, {_OVER}, {_MEAN_RANKS}, e AS (SELECT scenario_id, {_CI} AS ci, {_GINI_NEED} AS gini_need, {_GINI} AS gini, sum(CASE WHEN greatest(ceil((k - 1) * 5.0 / (n - 1)), 1) - 1 = 4 THEN x ELSE 0 END) / sum(x) AS w FROM g GROUP BY 1) SELECT scenario_id, round(ci, 4) AS ci, round(gini_need, 4) AS gini_need, round(ci - gini_need, 4) AS kakwani, round(gini, 4) AS gini, round(theil, 4) AS theil, round(theil - within, 4) AS \"between\", round(within, 4) AS within, round(overlap, 4) AS overlap, round(w, 4) AS worst_fifth_share, round(rho, 4) AS rho FROM e JOIN th USING (scenario_id) JOIN ov USING (scenario_id) JOIN sp USING (scenario_id)")
 def equity_summary(s: SparkSession, d: str) -> DataFrame:
     out = equity.summary(_coarse(s, d), "aid_amount", "need_score", "region_id", ["scenario_id"])
-    return rounded(out.select("scenario_id", "ci", "gini_need", "kakwani", "gini", "theil", "overlap", "worst_fifth_share"), 4)
+    return rounded(out.select("scenario_id", "ci", "gini_need", "kakwani", "gini", "theil", "between", "within", "overlap", "worst_fifth_share", "rho"), 4)
 
 
 _YEAR_GINI = f"WITH {b.COUNTY_YEARS}, g AS (SELECT year, cases, row_number() OVER (PARTITION BY year ORDER BY cases, county_id) AS i, count(*) OVER (PARTITION BY year) AS n FROM cy), yg AS (SELECT year, 2.0 * sum(i * cases) / (max(n) * sum(cases)) - (max(n) + 1.0) / max(n) AS gini FROM g GROUP BY 1)"
@@ -451,9 +467,9 @@ def gini_trend_ols(s: SparkSession, d: str) -> DataFrame:
     return equity.trend(g, "year", "gini").select(F.round("slope", 8).alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), F.col("n").cast("long").alias("n"))
 
 
-@query(f"WITH {b.COUNTY_YEARS} SELECT year, CAST(sum(cases) AS DOUBLE) AS total, round(avg(cases), 6) AS mean, round(stddev_samp(cases), 6) AS sd, CAST(min(cases) AS DOUBLE) AS least, CAST(max(cases) AS DOUBLE) AS most, round(max(cases) / min(cases), 6) AS spread, round(stddev_samp(cases) / avg(cases), 6) AS cv FROM cy GROUP BY 1")
+@query(f"{_YEAR_GINI} SELECT year, CAST(sum(cases) AS DOUBLE) AS total, round(avg(cases), 6) AS mean, round(stddev_samp(cases), 6) AS sd, CAST(min(cases) AS DOUBLE) AS least, CAST(max(cases) AS DOUBLE) AS most, round(max(cases) / min(cases), 6) AS spread, round(stddev_samp(cases) / avg(cases), 6) AS cv, round(max(gini), 6) AS gini FROM cy JOIN yg USING (year) GROUP BY 1")
 def county_inequality(s: SparkSession, d: str) -> DataFrame:
-    return rounded(equity.describe(b.county_years(s, d), "cases", ["year"], "county_id").drop("gini"))
+    return rounded(equity.describe(b.county_years(s, d), "cases", ["year"], "county_id"))
 
 
 # Geography.
@@ -580,12 +596,12 @@ def v_population(s: SparkSession, d: str) -> DataFrame:
     return validation.county_totals_off(p.join(F.broadcast(whole), "county_id"), "population", "declared", ["county_id"]).select("county_id", F.col("summed").cast("double").alias("summed"), "declared")
 
 
-@query(f"WITH {_SHARES[5:]} SELECT count(*) AS n, round(avg(abs(e - p.cases)), 6) AS mae, round(avg(CASE WHEN p.cases BETWEEN greatest(0, e * 0.5) AND e * 1.5 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM est JOIN panel p USING (district_id) WHERE year = 1998")
+@query(f"WITH {_SHARES[5:]} SELECT year, count(*) AS n, round(avg(abs(e - p.cases)), 6) AS mae, round(avg(CASE WHEN p.cases BETWEEN greatest(0, e * 0.5) AND e * 1.5 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM est JOIN panel p USING (district_id) GROUP BY year")
 def modelled_against_observed(s: SparkSession, d: str) -> DataFrame:
     p = b.panel(s, d)
-    est = panel.population_share(b.county_years(s, d).where("year = 1998"), p.select("district_id", "county_id", "population"))
-    m = est.select("district_id", F.col("cases_modelled").alias("estimate"), F.col("cases_modelled_lo").alias("lo"), F.col("cases_modelled_hi").alias("hi"))
-    return rounded(validation.modelled_against_observed(m, p.select("district_id", F.col("cases").alias("value")), ["district_id"]))
+    est = panel.population_share(b.county_years(s, d), p.select("district_id", "county_id", "population"))
+    m = est.select("district_id", "year", F.col("cases_modelled").alias("estimate"), F.col("cases_modelled_lo").alias("lo"), F.col("cases_modelled_hi").alias("hi"))
+    return rounded(validation.modelled_against_observed(m, p.select("district_id", F.col("cases").alias("value")), ["district_id"], by=["year"]))
 
 
 # Sensitivity.
@@ -607,7 +623,7 @@ def tornado_costs(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {b.NEED}, cell AS (SELECT eta, rate FROM (VALUES (0.0), (0.5), (1.0), (2.0)) a(eta), (VALUES (0.0), (0.1), (0.5)) c(rate)), x AS (SELECT eta, rate, district_id, need_score, population, population * (1 + eta * need_score) + rate * cases AS raw FROM need, cell), y AS (SELECT *, {b.BUDGET} * raw / sum(raw) OVER p AS aid, {b.BUDGET} * population / sum(population) OVER p AS flat, row_number() OVER (PARTITION BY eta, rate ORDER BY need_score, district_id) AS k, count(*) OVER p AS n FROM x WINDOW p AS (PARTITION BY eta, rate)) SELECT CAST(eta AS DOUBLE) AS eta, CAST(rate AS DOUBLE) AS rate, round(sum(abs(aid - flat)) / 2 / {b.BUDGET}, 6) AS reshuffled, round(2 * sum(aid * ((k - 0.5) / n - 0.5)) / sum(aid), 6) AS ci FROM y GROUP BY 1, 2")
 def two_way_grid(s: SparkSession, d: str) -> DataFrame:
     rows = need.need_index(b.panel(s, d), b.index())
-    return rounded(sensitivity.grid(rows, s, [0.0, 0.5, 1.0, 2.0], [0.0, 0.1, 0.5], b.BUDGET))
+    return rounded(sensitivity.grid(rows, [0.0, 0.5, 1.0, 2.0], [0.0, 0.1, 0.5], b.BUDGET))
 
 
 SEED = 20260101
