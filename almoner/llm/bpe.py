@@ -37,9 +37,9 @@ CHUNK = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Texts of these characters alone are cut by CHUNK; others by the library, as letters of late Unicode versions differ.
 SETTLED = regex.compile(r"[\x00-ԯ -⁯　-鿿가-힣]*")
 #: Characters of texts whose chunks are taken at a time.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Chunks that a worker remembers, and the length of the longest.
-KNOWN = 500_000
+KNOWN = 200_000
 KNOWN_LENGTH = 64
 
 
@@ -129,7 +129,7 @@ class ByteBPE:
     """A file's rules: texts to ids and back."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
@@ -140,7 +140,7 @@ class ByteBPE:
         added = told.get("added_tokens") or []
         if any(a.get(k) for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path} has added tokens that look at their neighbours")
-        self.library = Tokenizer.from_file(path).pre_tokenizer
+        self.library = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.index = PairIndex(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
         self.added = {a["content"]: a["id"] for a in added}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
@@ -191,10 +191,12 @@ class ByteBPE:
             raw = b"".join(table[i] for i in ids if i is not None and 0 <= i < n)
         return raw.decode("utf-8", "replace")
 
-    def listed(self, ids: np.ndarray) -> Iterator[bytes]:
-        """The ids as decimal numbers with commas, in parts."""
+    def listed_sha256(self, ids: np.ndarray) -> str:
+        """Of the ids as decimal numbers with commas, taken in parts."""
+        sha = hashlib.sha256()
         for k in range(0, len(ids), 1 << 16):
-            yield (("," if k else "") + ",".join(map(self.decimal.__getitem__, ids[k : k + (1 << 16)].tolist()))).encode()
+            sha.update((("," if k else "") + ",".join(map(self.decimal.__getitem__, ids[k : k + (1 << 16)].tolist()))).encode())
+        return sha.hexdigest()
 
 
 RULES: dict[str, ByteBPE] = {}
@@ -219,17 +221,41 @@ def _blocks(array: pa.Array) -> Iterator[list[str]]:
     yield held
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """docs with the ids of each text, as array<int>."""
+#: What `encode` can tell of a text: its ids, what they are decoded to, their number, and digests of both.
+OUTPUTS = {
+    "ids": T.ArrayType(T.IntegerType()),
+    "decoded": T.StringType(),
+    "n_tokens": T.LongType(),
+    "ids_sha256": T.StringType(),
+    "decoded_sha256": T.StringType(),
+}
+
+
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), keep: list[str] | None = None) -> DataFrame:
+    """docs with columns of OUTPUTS. Decoded texts come from the ids; only what is asked for is held longer than a block of texts."""
+
+    def told(bpe: ByteBPE, ids: np.ndarray) -> dict:
+        decoded = bpe.decode(ids.tolist()) if "decoded" in outputs or "decoded_sha256" in outputs else None
+        tell = {
+            "ids": lambda: ids, "decoded": lambda: decoded, "n_tokens": lambda: len(ids), "ids_sha256": lambda: bpe.listed_sha256(ids),
+            "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest(),
+        }
+        return {x: tell[x]() for x in outputs}
 
     def fn(batches):
         bpe = rules(tokenizer)
         for (texts,) in batches:
-            ids = [x for block in _blocks(texts) for x in bpe.encode(block)]
-            ends = np.cumsum([0, *map(len, ids)])
-            yield [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))]
+            made = [told(bpe, ids) for block in _blocks(texts) for ids in bpe.encode(block)]
+            columns = []
+            for x in outputs:
+                values = [m[x] for m in made]
+                if x == "ids":
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values), pa.int32())))
+                else:
+                    columns.append(pa.array(values, pa.int64() if x == "n_tokens" else pa.string()))
+            yield columns
 
-    return c.map_batches(docs, [text_col], fn, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], keep)
+    return c.map_batches(docs, [text_col], fn, [T.StructField(x, OUTPUTS[x]) for x in outputs], keep)
 
 
 def decode(coded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -241,24 +267,3 @@ def decode(coded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str
             yield [pa.array([bpe.decode(x.as_py() or []) for x in ids], pa.string())]
 
     return c.map_batches(coded, [ids_col], fn, [T.StructField(text_col, T.StringType())], keep)
-
-
-def digest(coded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """n_tokens, and the SHA-256 of the ids as decimal numbers with commas and of the text."""
-
-    def fn(batches):
-        bpe = rules(tokenizer)
-        for ids, texts in batches:
-            n, of_ids, of_texts = [], [], []
-            for x, text in zip(ids, texts, strict=True):
-                x = np.asarray(x.values if x.is_valid else [], np.int64)
-                sha = hashlib.sha256()
-                for part in bpe.listed(x):
-                    sha.update(part)
-                n.append(len(x))
-                of_ids.append(sha.hexdigest())
-                of_texts.append(hashlib.sha256((text.as_py() or "").encode()).hexdigest())
-            yield [pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_texts)]
-
-    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return c.map_batches(coded, [ids_col, text_col], fn, new, keep)

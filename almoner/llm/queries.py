@@ -93,9 +93,7 @@ def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = byte_tokenizer()
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), rules, keep=["doc_id"])
-    return bpe.digest(bpe.decode(coded, rules), rules, keep=["doc_id"])
+    return bpe.encode(_table(spark, sf_dir, "documents"), byte_tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,10 +87,11 @@ def test_bpe_of_odd_rows(spark, odd, none, library, monkeypatch):
     rows = coded.collect()
     assert len(rows) == 7 and all(r["decoded"] == (r["text"] or "") for r in rows)
     assert sorted(len(r["ids"]) for r in rows) == sorted(len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows)
-    assert bpe.encode(none, path).isEmpty() and bpe.digest(bpe.decode(bpe.encode(none, path), path), path).isEmpty()
+    assert bpe.encode(none, path).isEmpty() and bpe.encode(none, path, outputs=tuple(bpe.OUTPUTS)).isEmpty()
     lists = spark.createDataFrame([(1, None), (2, []), (3, [104, None, 99999, -1, 72]), (4, [50256])], "k int, ids array<int>")
     assert {r["k"]: r["decoded"] for r in bpe.decode(lists, path).collect()} == {1: "", 2: "", 3: library.decode([104, 72]), 4: "<|endoftext|>"}
-    assert bpe.digest(bpe.decode(lists.where("k = 1"), path), path).first()["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+    told = bpe.encode(odd.select("doc_id", "text"), path, outputs=tuple(bpe.OUTPUTS)).collect()
+    assert all(r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest() and r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest() for r in told)
 
 
 def _whole(vectors, scale=64, shift=1_000_000):
