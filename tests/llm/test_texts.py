@@ -337,6 +337,45 @@ def test_five_whole_words():
     assert len(set(again.tolist())) == 11  # the second occurrence of a k-mer is another
 
 
+def _edited(rng, n, kind):
+    """A text of n words and one with up to a fifth of them changed."""
+    new = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    a = new(n)
+    b = a.copy()
+    if isinstance(kind, int):
+        at = np.arange(rng.integers(0, kind), n, kind)
+    elif kind == "random":
+        at = rng.choice(n, n // 5, replace=False)
+    elif kind == "cluster":
+        at = rng.integers(0, n - n // 5 + 1) + np.arange(n // 5)
+    else:
+        at = np.flatnonzero(np.isin(np.arange(n) % 10, (0, 3)))
+    b[at] = new(len(at))
+    return a, b
+
+
+@pytest.mark.parametrize("kind", [5, 6, 7, "random", "cluster", "uneven"])
+@pytest.mark.parametrize("n", [51, 100, 400])
+def test_sketches_find_pairs_wherever_edits_stand(kind, n):
+    rng, hits = np.random.default_rng(n), 0
+    for _ in range(150):
+        x = near_dup.buckets(np.stack([near_dup.sketched(w) for w in _edited(rng, n, kind)]))
+        hits += (x[0] == x[1]).any()
+    assert hits / 150 >= 0.9
+
+
+def test_evenly_spread_edits(spark):
+    """Lone pairs with every fifth, sixth or seventh word changed, as filled-in forms have, against all pairs."""
+    rng, rows = random.Random(3), []
+    for g in range(120):
+        n, q = rng.choice([51, 60, 100, 400]), 5 + g % 3
+        base, at = [f"g{g}w{i}" for i in range(n)], rng.randrange(q)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(f"e{g}x{i}" if i % q == at else w for i, w in enumerate(base)))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    true = [g for g in range(120) if near_dup.similar(near_dup.hashed(rows[2 * g][1]), near_dup.hashed(rows[2 * g + 1][1]), 0.8)]
+    assert len(true) > 100 and sum(got[2 * g + 1] == 2 * g for g in true) / len(true) >= 0.9 and all(got[i] in (i, i - 1) for i in got)
+
+
 def test_word_hashes(monkeypatch):
     text = "Ab ab, ÀB  é-e\n" + "x" * 3000 + " z"
     whole = near_dup.hashed(text)
