@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import nulls
+from ..functions import nulls, selection
 from .need import unit_interval
 
 
@@ -135,7 +135,61 @@ def shares_by_score(df: DataFrame, budget: float, weight: str, score: str) -> Da
     return rows.crossJoin(F.broadcast(whole)).withColumn("aid_amount", F.when(F.col("__sum") > 0, budget * F.col("__raw") / F.nullif("__sum", F.lit(0.0))).otherwise(0.0)).drop("__low", "__raw", "__sum")
 
 
+def wide(df: DataFrame, budget: float, eta: float, people: str = "population", cases: str = "cases", cost: str = "expected_cost", local: str = "existing_local_funding", need: str = "need_score", socio: str = "score_socioeconomic", care: str = "score_healthcare", eligible: str | None = None) -> DataFrame:
+    """df with the analysis' eight allocations as columns s0 to s7, and eligible_units, their number.
+
+    s0 is what municipalities give, an amount for each case, at least one; s1 to s5 and s7 share the budget by people, cases,
+    people times scores above the least (plus 0.01), cost times need, and people of eligible units; s6 is what cost leaves
+    beyond s0, not shared. Without a column of eligible units these are the ones whose socioeconomic score reaches its
+    two-thirds quantile. What is negative counts 0; where there is nothing to share by, all get 0.
+    """
+    c = F.col
+    known = lambda x: F.coalesce(nulls.known(c(x).cast("double")), F.lit(0.0))
+    low = df.agg(F.min(socio).alias("socio"), F.min(care).alias("care")).first()
+    if eligible:
+        may = F.coalesce(c(eligible).cast("boolean"), F.lit(False))
+    else:
+        cut_at = selection.quantiles(df, [], {"q": c(socio)}, [2 / 3]).first()
+        may = F.coalesce(c(socio) >= F.lit(cut_at["value"] if cut_at else None).cast("double"), F.lit(False))
+    envelope = known(local) * F.greatest(known(cases), F.lit(1.0))
+    raw = {
+        "s1": known(people), "s2": known(cases), "s3": known(people) * (c(socio) - F.lit(low["socio"]).cast("double") + 0.01), "s4": known(people) * (c(care) - F.lit(low["care"]).cast("double") + 0.01),
+        "s5": known(cost) * (1 + eta * known(need)), "s7": F.when(may, known(people)).otherwise(0.0),
+    }
+    raw = {k: F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)) for k, v in raw.items()}
+    sums = df.agg(*[F.sum(v).alias(k) for k, v in raw.items()], F.count_if(may).alias("n")).first()
+    shared = {k: (F.lit(0.0) if not sums[k] else budget * v / F.lit(float(sums[k]))) for k, v in raw.items()}
+    made = {"s0": envelope, "s6": F.greatest(known(cost) - envelope, F.lit(0.0))} | shared
+    return df.withColumns({k: made[k] for k in sorted(made)} | {"eligible_units": F.lit(sums["n"]).cast("long")})
+
+
+def _runs(x: Column, size: int) -> Column:
+    """The runs of so many letters of a text, in order; a shorter text has none."""
+    return F.when(F.length(x) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def found_keys(names: DataFrame, keys: DataFrame, run: int = 3) -> DataFrame:
+    """name, key: which keys stand in which distinct names, whatever their case; any number of either.
+
+    A key is filed under the rarest of its runs of letters (counted over the names' runs), so a name meets only keys whose
+    rarest run it has; keys shorter than a run are their own run. An empty or missing key stands in no name.
+    """
+    n = names.select(F.col("name"), F.lower("name").alias("__n")).where(F.col("name").isNotNull()).distinct()
+    k = keys.select(F.col("key"), F.lower("key").alias("__k")).where(F.length("key") > 0).distinct()
+    runs = n.select("name", "__n", F.explode(F.array_distinct(F.flatten(F.array(*[_runs(F.col("__n"), i) for i in range(1, run + 1)])))).alias("__g"))
+    often = runs.groupBy("__g").agg(F.count("*").alias("__often"))
+    own = F.when(F.length("__k") < run, F.array("__k")).otherwise(_runs(F.col("__k"), run))
+    # a run that no name has rules its key out, so inner joins lose nothing once all of a key's runs are there
+    spread = k.select("key", "__k", F.explode(F.array_distinct(own)).alias("__g")).join(often, "__g", "left")
+    filed = spread.groupBy("key", "__k").agg(F.min(F.struct(F.coalesce("__often", F.lit(0)).alias("often"), F.col("__g").alias("g"))).alias("r")).where("r.often > 0").select("key", "__k", F.col("r.g").alias("__g"))
+    return runs.join(filed, "__g").where(F.contains("__n", F.col("__k"))).select("name", "key").distinct()
+
+
 def municipal_funding(supports: DataFrame, bridge: DataFrame) -> DataFrame:
-    """district_id and envelope: an amount for each case, at least one; municipalities are found by a key in their names."""
-    found = supports.join(F.broadcast(bridge), F.contains(F.lower("municipality"), F.lower("key")))
-    return found.groupBy("district_id").agg(F.sum(F.col("amount") * F.greatest(F.col("cases"), F.lit(1.0))).alias("envelope"))
+    """district_id and envelope: an amount for each case, at least one; municipalities are found by a key in their names.
+
+    A municipality that holds several keys of a district counts once for each, as rows of the bridge do.
+    """
+    found = found_keys(supports.select(F.col("municipality").alias("name")), bridge.select("key"))
+    met = supports.join(found, F.col("municipality") == F.col("name")).join(bridge, "key")
+    return met.groupBy("district_id").agg(F.sum(F.col("amount") * F.greatest(F.col("cases"), F.lit(1.0))).alias("envelope"))

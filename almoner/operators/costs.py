@@ -104,6 +104,15 @@ def expected_cost(df: DataFrame, p: dict[str, float], medical_factor: float = 1.
     )
 
 
+def with_provenance(df: DataFrame, price_year: int, deflator_ids: dict[str, str], source: str) -> DataFrame:
+    """What a cost panel has to say of its numbers: the deflator of each pair of nominal and real sums, the price year, and that they are estimated.
+
+    deflator_ids: medical and earnings, the deflators by which expected_cost made its real sums.
+    """
+    by = {"medical": deflator_ids["medical"], "cost_per_notified_case": deflator_ids["medical"], "productivity": deflator_ids["earnings"]}
+    return df.withColumns({f"{k}_deflator_id": F.lit(v) for k, v in by.items()} | {"price_year": F.lit(price_year).cast("long"), "deflator_source": F.lit(source), "cost_evidence_class": F.lit("estimated")})
+
+
 # Base, low and high of the analysis' cost parameters.
 ANALYSIS = {
     "hbcs_base_rate": (300000.0, 264000.0, 360000.0),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nulls, order, ranks, selection
+from ..functions import nulls, order, ranks, selection, tails
 
 
 def gini(df: DataFrame, value: str, group: list[str], tie: str = "district_id", slices: int = 1, zero: float | None = 0.0) -> DataFrame:
@@ -137,11 +137,21 @@ def summary(df: DataFrame, aid: str, need: str, by: str, group: list[str], tie:
 
 
 def trend(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
-    """group, slope, intercept, r, n, t of a least-squares line; t_two_sided in functions.tails makes t a p-value."""
+    """group, slope, intercept, r, n, t and the two-sided p of a least-squares line."""
     cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
     r = nulls.correlation(cx, cy)
     out = df.groupBy(*(group or [])).agg(F.regr_slope(cy, cx).alias("slope"), F.regr_intercept(cy, cx).alias("intercept"), r.alias("r"), F.regr_count(cy, cx).alias("n"))
-    return out.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2.0), F.sqrt(F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)))))
+    t = F.try_divide(F.col("r") * F.sqrt(F.when(F.col("n") > 2, F.col("n") - 2.0)), F.sqrt(F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0))))
+    return out.withColumn("t", t).withColumn("p", tails.t_two_sided_column(F.col("t"), F.col("n") - 2))
+
+
+def association(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
+    """group, n, pearson, pearson_p, spearman, spearman_p over rows where both are known; ranks are taken in slices."""
+    group = group or []
+    rows = df.where(nulls.known(F.col(x).cast("double")).isNotNull() & nulls.known(F.col(y).cast("double")).isNotNull()).select(*group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    ranked = order.with_ranks(rows, {"__a": "__x", "__b": "__y"}, group)
+    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), nulls.correlation("__x", "__y").alias("pearson"), nulls.correlation("__a", "__b").alias("spearman"))
+    return out.withColumns({f"{c}_p": tails.correlation_p(F.col(c), F.col("n")) for c in ("pearson", "spearman")})
 
 
 def describe(df: DataFrame, value: str, group: list[str], tie: str) -> DataFrame:

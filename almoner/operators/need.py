@@ -210,14 +210,42 @@ def need_rank(df: DataFrame, score: str = "need_score", out: str = "need_rank")
     return order.with_ranks(df, {out: score}, ascending=False).withColumn(out, F.floor(out).cast("long"))
 
 
-def robustness(specs: DataFrame, top: int, unit: str = "district_id") -> DataFrame:
-    """unit, n_specs: in how many specifications (columns but the unit) it is among the `top` highest, ties to the least id."""
-    from pyspark.sql import Window as W
+def variants(df: DataFrame, index: Index, official: str | None = None) -> DataFrame:
+    """The analysis' forms of the index, each from least to most, as columns of df (which has score_<dimension>).
+
+    mpi: the penalised weighted mean of z-scores; wsum: the weighted sum of scores put between least and most; rank_ws: of
+    their mean ranks; drop_<dimension>: mpi without it; swap: mpi with `official` (more of it is less need) in place of the
+    socioeconomic scores. Standard deviations divide by n - 1.
+    """
+    dims, c = list(index.weights), F.col
+    rows = df.withColumns({f"{k}_{d}": c(f"score_{d}") for d in dims for k in "zm"} | ({"z_official": -c(official).cast("double")} if official else {}))
+    rows = standardise(rows, [f"z_{d}" for d in [*dims, *(["official"] if official else [])]], "zscore", ddof=1)
+    rows = standardise(rows, [f"m_{d}" for d in dims], "minmax")
+    rows = order.with_ranks(rows, {f"r_{d}": f"score_{d}" for d in dims})
+
+    def penalised(parts: dict[str, str]) -> Column:
+        whole = sum(index.weights[d] for d in parts)
+        w = {d: index.weights[d] / whole for d in parts}
+        y = {d: 100 + 10 * c(z) for d, z in parts.items()}
+        mean = sum(w[d] * y[d] for d in parts)
+        variance = sum(w[d] * (y[d] - mean) * (y[d] - mean) for d in parts)
+        return mean - variance / mean
+
+    z = {d: f"z_{d}" for d in dims}
+    made = {"mpi": penalised({d: f"score_{d}" for d in dims}), "wsum": sum(index.weights[d] * c(f"m_{d}") for d in dims), "rank_ws": sum(index.weights[d] * c(f"r_{d}") for d in dims)}
+    made |= {f"drop_{d}": penalised({x: v for x, v in z.items() if x != d}) for d in dims}
+    if official:
+        made["swap"] = penalised(z | {"socioeconomic": "z_official"})
+    out = rows.withColumns(made)
+    return unit_interval(out, list(made)).select(*df.columns, *made)
 
+
+def robustness(specs: DataFrame, top: int, unit: str = "district_id") -> DataFrame:
+    """unit, n_specs: in how many specifications (columns but the unit) it is among the `top` highest, ties to the least id; a specification is numbered in slices."""
     columns = [c for c in specs.columns if c != unit]
     long = specs.unpivot([unit], columns, "spec", "score")
-    best = F.row_number().over(W.partitionBy("spec").orderBy(F.desc_nulls_last("score"), unit))
-    return long.withColumn("k", best).groupBy(unit).agg(F.sum((F.col("k") <= top).cast("long")).alias("n_specs"))
+    placed = order.numbered(long, ["spec"], [F.desc_nulls_last("score"), F.col(unit)], "k")
+    return placed.groupBy(unit).agg(F.sum((F.col("k") <= top).cast("long")).alias("n_specs"))
 
 
 def composition(df: DataFrame, index: Index, top: int = 30, unit: str = "district_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import nulls
+from ..functions import nulls, selection
 
 #: A model takes (cases, districts) and returns estimates by district and year.
 SmallAreaModel = Callable[[DataFrame, DataFrame], DataFrame]
@@ -120,3 +120,29 @@ def latest_or_proxy(rows: DataFrame, dims: DataFrame, keys: list[str], year: str
     last = dims.groupBy(*keys).agg(F.max_by(value, year).alias("__last"))
     exact = dims.select(*keys, year, F.col(value).alias("__exact"))
     return rows.join(exact, [*keys, year], "left").join(last, keys, "left").withColumn(value, F.coalesce("__exact", "__last", proxy)).drop("__exact", "__last")
+
+
+def burden(districts: DataFrame, people: DataFrame, cases: DataFrame, children: DataFrame | None = None, half: float = 0.5, under_five: float = 0.34) -> DataFrame:
+    """The analysis' burden of each district: cases of its county by its part of the people, with an interval and rates.
+
+    districts: district_id, county_id; people: district_id, people, jobseekers; cases: county_id, cases; children:
+    county_id, children. Districts without people get the median of their county's, and those without a rate of jobseekers
+    the median of all. With children of every county, rates are by these, apportioned alike (a fixed part is under five);
+    else by people, as denominator_is says.
+    """
+    c = F.col
+    rows = districts.join(people, "district_id", "left").withColumn("jobseeker_rate", nulls.ratio("jobseekers", "people")).drop("jobseekers")
+    middle = selection.quantiles(rows, ["county_id"], {"m": c("people")}, [0.5]).select("county_id", c("value").alias("__m"))
+    rate = selection.quantiles(rows, [], {"m": c("jobseeker_rate")}, [0.5]).first()
+    rows = rows.join(middle, "county_id", "left").withColumns({"people": F.coalesce(c("people").cast("double"), "__m"), "jobseeker_rate": F.coalesce("jobseeker_rate", F.lit(rate["value"] if rate else None).cast("double"))}).drop("__m")
+    whole = rows.groupBy("county_id").agg(F.sum("people").alias("__whole"))
+    rows = rows.join(whole, "county_id", "left").withColumn("share", nulls.ratio("people", "__whole")).drop("__whole").join(cases.select("county_id", c("cases").alias("__cases")), "county_id", "left")
+    rows = rows.withColumn("burden", c("__cases") * c("share")).withColumns({"burden_lo": c("burden") * (1 - half), "burden_hi": c("burden") * (1 + half)}).drop("__cases")
+    told = False
+    if children is not None:
+        rows = rows.join(children.select("county_id", c("children").alias("__children")), "county_id", "left").withColumn("children", c("__children") * c("share")).drop("__children")
+        told = rows.where("children IS NULL").isEmpty()
+    below, five = (c("children"), c("children") * under_five) if told else (c("people"), c("people"))
+    rows = rows.withColumns({"children": below, "under_five": five})
+    per = nulls.ratio("burden", "children") * 1e5
+    return rows.withColumns({"burden_rate": per, "burden_rate_u5": nulls.ratio("burden", "under_five") * 1e3 if told else per, "denominator_is": F.lit("children" if told else "people"), "evidence_class": F.lit("estimated"), "confidence": F.lit("low")})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import counter, dates, text
+from ..functions import counter, dates, tails, text
 from ..functions.lineage import cut
 from ..operators import allocation, costs, equity, geography, need, panel, probabilistic, sensitivity, validation
 from ..sources import collectors, html, tabular
@@ -196,6 +196,37 @@ def conservation_audit(s: SparkSession, d: str) -> DataFrame:
     return rounded(panel.conservation(est, cases), 4)
 
 
+def _burden_sql(below: str, five: str, is_: str) -> str:
+    return f"""WITH {b.PANEL}, d0 AS (SELECT district_id, county_id, CASE WHEN population > 0 THEN CAST(population AS DOUBLE) END AS people, CASE WHEN population > 0 THEN cases / CAST(population AS DOUBLE) END AS rate FROM panel),
+cm AS (SELECT county_id, median(people) AS m FROM d0 GROUP BY 1), d1 AS (SELECT district_id, county_id, coalesce(people, m) AS people, coalesce(rate, (SELECT median(rate) FROM d0)) AS rate FROM d0 LEFT JOIN cm USING (county_id)),
+cc AS (SELECT county_id, sum(cases) AS cases FROM panel GROUP BY 1), ch AS (SELECT CAST(c_nationkey AS BIGINT) AS county_id, 10.0 * count(*) AS children FROM customer GROUP BY 1),
+d2 AS (SELECT *, people / sum(people) OVER (PARTITION BY county_id) AS share FROM d1), d3 AS (SELECT district_id, people, rate, cc.cases * share AS burden, ch.children * share AS children FROM d2 LEFT JOIN cc USING (county_id) LEFT JOIN ch USING (county_id))
+SELECT district_id, round(people, 4) AS people, round(rate, 6) AS jobseeker_rate, round(burden, 6) AS burden, round(burden * 0.5, 6) AS burden_lo, round(burden * 1.5, 6) AS burden_hi, round({below}, 6) AS children, round({five}, 6) AS under_five,
+round(burden / nullif({below}, 0) * 100000, 4) AS burden_rate, {f"round(burden / nullif({five}, 0) * 1000, 4)" if below != five else f"round(burden / nullif({below}, 0) * 100000, 4)"} AS burden_rate_u5, '{is_}' AS denominator_is FROM d3"""
+
+
+def _burden(s: SparkSession, d: str, children: bool) -> DataFrame:
+    p = b.panel(s, d)
+    people = p.where("population > 0").select("district_id", F.col("population").cast("double").alias("people"), F.col("cases").cast("double").alias("jobseekers"))
+    cases = p.groupBy("county_id").agg(F.sum("cases").cast("double").alias("cases"))
+    young = table(s, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("county_id")).agg((F.count("*") * 10.0).alias("children"))
+    out = panel.burden(p.select("district_id", "county_id"), people, cases, young if children else None)
+    keep = ["district_id", "people", "jobseeker_rate", "burden", "burden_lo", "burden_hi", "children", "under_five", "burden_rate", "burden_rate_u5", "denominator_is"]
+    return out.select(*[F.round(c, 4).alias(c) if c in ("people", "burden_rate", "burden_rate_u5") else r6(c).alias(c) if c not in ("district_id", "denominator_is") else F.col(c) for c in keep])
+
+
+@query(_burden_sql("children", "(children * 0.34)", "children"))
+def district_burden(s: SparkSession, d: str) -> DataFrame:
+    """Cases by part of the county's people, and rates by its children."""
+    return _burden(s, d, True)
+
+
+@query(_burden_sql("people", "people", "people"))
+def district_burden_proxy(s: SparkSession, d: str) -> DataFrame:
+    """The same where no table of children is at hand."""
+    return _burden(s, d, False)
+
+
 _RISK = f"WITH {b.PANEL}, ex AS (SELECT district_id, county_id, cases, population * (SELECT sum(cases) / sum(population) FROM panel) AS expected FROM panel), rr AS (SELECT *, CASE WHEN expected > 0 THEN cases / expected END AS rr FROM ex), mv AS (SELECT avg(rr) AS m, var_pop(rr) AS v FROM rr)"
 
 
@@ -241,10 +272,10 @@ def chained_index(s: SparkSession, d: str) -> DataFrame:
 _COST = {"hbcs_weight": 0.65, "base_rate": 300000.0, "outpatient_points": 1200.0, "point_value": 2.5, "gp_visit_cost": 4000.0, "work_loss_probability": 0.75, "workdays_lost": 3.0, "working_days_per_year": 253.0, "daily_wage": 30000.0, "employer_contribution": 0.13, "underreporting": 5.0, "hospitalisation_rate": 0.45, "vaccine_price": 30000.0, "administration_cost": 2000.0}
 
 
-@query(f"WITH {b.PANEL}, t AS (SELECT district_id, cases, CAST(cases * 5.0 AS DOUBLE) AS n, CAST(population AS DOUBLE) AS population FROM panel) SELECT district_id, round(n * 0.45 * 195000 + n * 0.55 * 7000, 4) AS medical_nominal, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4, 4) AS medical_real, round(n * 0.75 * 3 * 30000 * 1.13, 4) AS productivity_nominal, round(population * 32000.0, 4) AS vaccination_nominal, round(CASE WHEN cases > 0 THEN (n * 0.45 * 195000 + n * 0.55 * 7000) / cases ELSE 0 END, 4) AS cost_per_notified_case, CAST(195000 AS DOUBLE) AS cost_per_hospitalisation, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4 + n * 0.75 * 3 * 30000 * 1.13 * 1.75, 4) AS total_real FROM t")
+@query(f"WITH {b.PANEL}, t AS (SELECT district_id, cases, CAST(cases * 5.0 AS DOUBLE) AS n, CAST(population AS DOUBLE) AS population FROM panel) SELECT district_id, round(n * 0.45 * 195000 + n * 0.55 * 7000, 4) AS medical_nominal, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4, 4) AS medical_real, round(n * 0.75 * 3 * 30000 * 1.13, 4) AS productivity_nominal, round(population * 32000.0, 4) AS vaccination_nominal, round(CASE WHEN cases > 0 THEN (n * 0.45 * 195000 + n * 0.55 * 7000) / cases ELSE 0 END, 4) AS cost_per_notified_case, CAST(195000 AS DOUBLE) AS cost_per_hospitalisation, CAST(2024 AS BIGINT) AS price_year, 'estimated' AS cost_evidence_class, 'prices of lines' AS deflator_source, 'cpi' AS medical_deflator_id, 'cpi' AS cost_per_notified_case_deflator_id, 'wages' AS productivity_deflator_id, round((n * 0.45 * 195000 + n * 0.55 * 7000) * 1.4 + n * 0.75 * 3 * 30000 * 1.13 * 1.75, 4) AS total_real FROM t")
 def expected_cost_panel(s: SparkSession, d: str) -> DataFrame:
-    out = costs.expected_cost(b.panel(s, d), _COST, 1.4, 1.75, births="population")
-    return rounded(out.select("district_id", "medical_nominal", "medical_real", "productivity_nominal", "vaccination_nominal", "cost_per_notified_case", "cost_per_hospitalisation", "total_real"), 4)
+    out = costs.with_provenance(costs.expected_cost(b.panel(s, d), _COST, 1.4, 1.75, births="population"), 2024, {"medical": "cpi", "earnings": "wages"}, "prices of lines")
+    return rounded(out.select("price_year", "cost_evidence_class", "deflator_source", "medical_deflator_id", "cost_per_notified_case_deflator_id", "productivity_deflator_id", "district_id", "medical_nominal", "medical_real", "productivity_nominal", "vaccination_nominal", "cost_per_notified_case", "cost_per_hospitalisation", "total_real"), 4)
 
 
 @query("SELECT level, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('base', 159919.75), ('low', 51549.375), ('high', 396410.125)) t(level, cost)")
@@ -342,6 +373,60 @@ def spec_robustness(s: SparkSession, d: str) -> DataFrame:
     return need.robustness(_specs(s, d), 50)
 
 
+_DIMS = list(b.DIMS)
+
+
+def _penalised(parts: dict[str, str], out: str) -> str:
+    """The penalised mean of z-scores (by dimension), as SQL."""
+    whole = sum(b.DIMS[d] for d in parts)
+    mean = "(" + " + ".join(f"{b.DIMS[d] / whole!r} * (100 + 10 * {z})" for d, z in parts.items()) + ")"
+    variance = "(" + " + ".join(f"{b.DIMS[d] / whole!r} * (100 + 10 * {z} - {mean}) * (100 + 10 * {z} - {mean})" for d, z in parts.items()) + ")"
+    return f"{mean} - {variance} / {mean} AS {out}"
+
+
+_VARIANTS = ["mpi", "wsum", "rank_ws", *[f"drop_{d}" for d in _DIMS], "swap"]
+_VARIANT_SQL = (
+    b.SCORES.replace("stddev_pop", "stddev_samp")
+    + ", vz AS (SELECT district_id, existing_local_funding, "
+    + ", ".join(f"score_{d}, (score_{d} - avg(score_{d}) OVER ()) / stddev_samp(score_{d}) OVER () AS z_{d}, (score_{d} - min(score_{d}) OVER ()) / (max(score_{d}) OVER () - min(score_{d}) OVER ()) AS m_{d}, rank() OVER (ORDER BY score_{d}) + (count(*) OVER (PARTITION BY score_{d}) - 1) / 2.0 AS r_{d}" for d in _DIMS)
+    + ", -(existing_local_funding - avg(existing_local_funding) OVER ()) / stddev_samp(existing_local_funding) OVER () AS z_official FROM scores), vv AS (SELECT district_id, existing_local_funding, "
+    + ", ".join([_penalised({d: f"score_{d}" for d in _DIMS}, "mpi"), " + ".join(f"{b.DIMS[d]} * m_{d}" for d in _DIMS) + " AS wsum", " + ".join(f"{b.DIMS[d]} * r_{d}" for d in _DIMS) + " AS rank_ws", *[_penalised({x: f"z_{x}" for x in _DIMS if x != d}, f"drop_{d}") for d in _DIMS], _penalised({d: "z_official" if d == "socioeconomic" else f"z_{d}" for d in _DIMS}, "swap")])
+    + " FROM vz), variants AS (SELECT district_id, existing_local_funding, "
+    + ", ".join(f"round((v.{x} - min(v.{x}) OVER ()) / (max(v.{x}) OVER () - min(v.{x}) OVER ()), 6) AS {x}" for x in _VARIANTS)
+    + " FROM vv v)"
+)
+
+
+def _variants(s: SparkSession, d: str) -> DataFrame:
+    i = b.index(ddof=1)
+    made = need.variants(need.scores(b.panel(s, d), i), i, official="existing_local_funding")
+    return made.select("district_id", "existing_local_funding", *[r6(x).alias(x) for x in _VARIANTS])
+
+
+@query(f"WITH {_VARIANT_SQL} SELECT * EXCLUDE (existing_local_funding) FROM variants")
+def need_variants(s: SparkSession, d: str) -> DataFrame:
+    """Three methods, each dimension left out, and the official indicator in place of the socioeconomic scores."""
+    return _variants(s, d).drop("existing_local_funding")
+
+
+@query(f"WITH {_VARIANT_SQL}, rk AS (SELECT district_id, " + ", ".join(f"row_number() OVER (ORDER BY {x} DESC, district_id) AS k_{x}" for x in _VARIANTS) + ", greatest(1, CAST(round(count(*) OVER () * 0.1) AS BIGINT)) AS top FROM variants) SELECT district_id, CAST(" + " + ".join(f"(k_{x} <= top)::INT" for x in _VARIANTS) + f" AS BIGINT) AS n_specs, {len(_VARIANTS)} AS of_specs FROM rk")
+def spec_robustness_all(s: SparkSession, d: str) -> DataFrame:
+    """In how many of all variants a district is among the neediest tenth."""
+    rows = cut(_variants(s, d).drop("existing_local_funding"))
+    return need.robustness(rows, max(1, round(rows.count() * 0.1))).withColumn("of_specs", F.lit(len(_VARIANTS)).cast("long"))
+
+
+def _mean_rank_sql(x: str) -> str:
+    return f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0"
+
+
+@query(f"WITH {_VARIANT_SQL}, ra AS (SELECT mpi AS x, -existing_local_funding AS y, {_mean_rank_sql('mpi')} AS a, {_mean_rank_sql('-existing_local_funding')} AS c FROM variants), co AS (SELECT count(*) AS n, corr(x, y) AS pearson, corr(a, c) AS spearman FROM ra), tt AS (SELECT *, pearson * sqrt(n - 2) / sqrt(1 - pearson * pearson) AS t1, spearman * sqrt(n - 2) / sqrt(1 - spearman * spearman) AS t2 FROM co) SELECT n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round({tails.sql_t_two_sided('t1', '(n - 2)')}, 6) AS pearson_p, round({tails.sql_t_two_sided('t2', '(n - 2)')}, 6) AS spearman_p FROM tt")
+def external_validation(s: SparkSession, d: str) -> DataFrame:
+    """The index against an indicator that is not part of it, with p-values."""
+    rows = _variants(s, d).select("mpi", (-F.col("existing_local_funding")).alias("deprivation"))
+    return rounded(equity.association(rows, "mpi", "deprivation"))
+
+
 @query(f"WITH {b.NEED}, t AS (SELECT district_id, need_score, " + ", ".join(f"(need_{k} - min(need_{k}) OVER ()) * {w} AS part_{k}" for k, w in b.DIMS.items()) + " FROM need) SELECT district_id, round(need_score, 6) AS need_score, " + ", ".join(f"round(part_{k}, 6) AS part_{k}" for k in b.DIMS) + " FROM t ORDER BY t.need_score DESC, district_id LIMIT 30")
 def need_composition(s: SparkSession, d: str) -> DataFrame:
     i = b.index()
@@ -384,6 +469,45 @@ def alloc_shares(s: SparkSession, d: str) -> DataFrame:
     return rounded(allocation.shares_by_score(rows, b.BUDGET, "population", "need_score").select("district_id", "aid_amount"), 2)
 
 
+def _wide_sql(eligible: str) -> str:
+    share = lambda raw, out: f"{b.BUDGET} * ({raw}) / sum({raw}) OVER () AS {out}"
+    return (
+        f"WITH {b.NEED}, el AS (SELECT need.*, {eligible} AS may, existing_local_funding * greatest(cases, 1) AS l, need_socioeconomic - min(need_socioeconomic) OVER () + 0.01 AS so, need_healthcare - min(need_healthcare) OVER () + 0.01 AS he FROM need), wd AS (SELECT district_id, count(*) FILTER (may) OVER () AS eligible_units, l AS s0, greatest(expected_cost - l, 0) AS s6, "
+        + ", ".join([share("population", "s1"), share("cases", "s2"), share("population * so", "s3"), share("population * he", "s4"), share("expected_cost * (1 + 0.5 * need_score)", "s5"), share("CASE WHEN may THEN population ELSE 0 END", "s7")])
+        + " FROM el) SELECT district_id, eligible_units, " + ", ".join(f"round(s{i}, 2) AS s{i}" for i in range(8)) + " FROM wd"
+    )
+
+
+def _wide(s: SparkSession, d: str, eligible: str | None) -> DataFrame:
+    rows = need.need_index(b.panel(s, d), b.index())
+    out = allocation.wide(rows, b.BUDGET, 0.5, socio="need_socioeconomic", care="need_healthcare", eligible=eligible)
+    return rounded(out.select("district_id", "eligible_units", *[f"s{i}" for i in range(8)]), 2)
+
+
+@query(_wide_sql("round(need_socioeconomic, 9) >= round((SELECT quantile_cont(need_socioeconomic, 2 / 3.0) FROM need), 9)"))
+def alloc_wide(s: SparkSession, d: str) -> DataFrame:
+    """Eight allocations a district; the last goes to the most deprived third."""
+    return _wide(s, d, None)
+
+
+@query(_wide_sql("eligible"))
+def alloc_wide_statutory(s: SparkSession, d: str) -> DataFrame:
+    """The same where it is known which districts are eligible."""
+    return _wide(s, d, "eligible")
+
+
+_HOST = r"://(?:www\.|m\.)?([^./?#]+)"
+
+
+@query(f"WITH su AS (SELECT url AS municipality, CAST(page_id % 1000 AS DOUBLE) AS amount, CAST(length(html) % 5 AS DOUBLE) AS cases FROM pages), br AS (SELECT key, min(page_id) AS district_id FROM (SELECT regexp_extract(url, '{_HOST}', 1) AS key, page_id FROM pages) WHERE key <> '' GROUP BY 1) SELECT district_id, sum(amount * greatest(cases, 1)) AS envelope FROM su JOIN br ON contains(lower(municipality), lower(key)) GROUP BY 1")
+def municipal_support(s: SparkSession, d: str) -> DataFrame:
+    """Addresses as municipalities, found by the names of all hosts, wherever they stand in an address."""
+    p = table(s, d, "pages")
+    supports = p.select(F.col("url").alias("municipality"), (F.col("page_id") % 1000).cast("double").alias("amount"), (F.length("html") % 5).cast("double").alias("cases"))
+    bridge = p.select(F.regexp_extract("url", _HOST, 1).alias("key"), "page_id").where("key <> ''").groupBy("key").agg(F.min("page_id").alias("district_id"))
+    return allocation.municipal_funding(supports, bridge)
+
+
 # Equity.
 
 _POS = f"WITH {b.ALLOCATED}, g AS (SELECT scenario_id, district_id, region_id, aid_amount AS x, need_score AS r, row_number() OVER (PARTITION BY scenario_id ORDER BY aid_amount, district_id) AS i, row_number() OVER (PARTITION BY scenario_id ORDER BY need_score, district_id) AS k, count(*) OVER (PARTITION BY scenario_id) AS n FROM alloc)"
@@ -461,10 +585,10 @@ def equity_summary(s: SparkSession, d: str) -> DataFrame:
 _YEAR_GINI = f"WITH {b.COUNTY_YEARS}, g AS (SELECT year, cases, row_number() OVER (PARTITION BY year ORDER BY cases, county_id) AS i, count(*) OVER (PARTITION BY year) AS n FROM cy), yg AS (SELECT year, 2.0 * sum(i * cases) / (max(n) * sum(cases)) - (max(n) + 1.0) / max(n) AS gini FROM g GROUP BY 1)"
 
 
-@query(_YEAR_GINI + " SELECT round(regr_slope(gini, year), 8) AS slope, round(regr_intercept(gini, year), 4) AS intercept, round(corr(gini, year), 6) AS r, count(*) AS n FROM yg")
+@query(_YEAR_GINI + ", rr AS (SELECT corr(gini, year) AS r, count(*) AS n FROM yg), tt AS (SELECT n, r * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM rr) SELECT round(regr_slope(gini, year), 8) AS slope, round(regr_intercept(gini, year), 4) AS intercept, round(corr(gini, year), 6) AS r, count(*) AS n, round(" + tails.sql_t_two_sided("max(t)", "(max(n) - 2)") + ", 6) AS p FROM yg, tt")
 def gini_trend_ols(s: SparkSession, d: str) -> DataFrame:
     g = equity.gini(b.county_years(s, d), "cases", ["year"], "county_id")
-    return equity.trend(g, "year", "gini").select(F.round("slope", 8).alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), F.col("n").cast("long").alias("n"))
+    return equity.trend(g, "year", "gini").select(F.round("slope", 8).alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), F.col("n").cast("long").alias("n"), r6("p").alias("p"))
 
 
 @query(f"{_YEAR_GINI} SELECT year, CAST(sum(cases) AS DOUBLE) AS total, round(avg(cases), 6) AS mean, round(stddev_samp(cases), 6) AS sd, CAST(min(cases) AS DOUBLE) AS least, CAST(max(cases) AS DOUBLE) AS most, round(max(cases) / min(cases), 6) AS spread, round(stddev_samp(cases) / avg(cases), 6) AS cv, round(max(gini), 6) AS gini FROM cy JOIN yg USING (year) GROUP BY 1")
