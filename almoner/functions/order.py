@@ -67,3 +67,21 @@ def with_ranks(df: DataFrame, values: dict[str, str], group: list[str] | None =
             on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
         out = out.join(ranks, on, "left").drop("__v", *[f"__g_{g}" for g in group])
     return out.withColumns({name: F.col(f"__made_{name}") for name in values}).drop(*[f"__made_{name}" for name in values])
+
+
+def filled_forward(df: DataFrame, column: str, group: list[str], order: list[Column], out: str | None = None, slices: int | None = None) -> DataFrame:
+    """Fills NULLs of a column with what last stood before them in the order (ascending columns) of their group, which may be the whole table.
+
+    The last known value of each slice is handed on over the slices that follow; within a slice a window fills the rest.
+    """
+    rows = sliced(df, group, order, slices)
+    key = F.struct(*[F.struct(F.lit(i).alias("i"), F.col(f"__o{i}").alias("v")) for i in range(len(order))])
+    parts = rows.withColumns({f"__o{i}": o for i, o in enumerate(order)}).groupBy(*group, "__slice").agg(F.max_by(F.col(column), F.when(F.col(column).isNotNull(), key)).alias("__last"))
+    ahead = W.partitionBy(*group).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__slice").alias("__at"), F.last("__last", ignorenulls=True).over(ahead).alias("__carried"))
+    on = F.col("__slice") == F.col("__at")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    here = W.partitionBy(*group, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    met = rows.join(parts, on)
+    return met.withColumn(out or column, F.coalesce(F.last(column, ignorenulls=True).over(here), "__carried")).drop("__slice", "__at", "__carried", *[f"__g_{g}" for g in group])

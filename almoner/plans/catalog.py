@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import counter, dates, tails, text
+from ..functions import counter, dates, order, tails, text
 from ..functions.lineage import cut
-from ..operators import allocation, costs, equity, geography, need, panel, probabilistic, sensitivity, validation
+from ..operators import allocation, costs, equity, geography, need, panel, probabilistic, rules, sensitivity, validation
 from ..sources import collectors, html, tabular
 from ..sources.tabular import table
 from . import bindings as b
@@ -728,6 +728,57 @@ def modelled_against_observed(s: SparkSession, d: str) -> DataFrame:
     return rounded(validation.modelled_against_observed(m, p.select("district_id", F.col("cases").alias("value")), ["district_id"], by=["year"]))
 
 
+_RULES = [
+    rules.RowRule("few", "value >= 60", message="fewer than 60 events"),
+    rules.RowRule("many", "value <= 90", "warning", "more than 90 events"),
+    rules.RowRule("first_weeks", "iso_week > 2", "flag", "of the first two weeks"),
+    rules.RowRule("never", "iso_week <= 53"),
+    rules.RowRule("fails", "CAST(geo_name AS INT) > 0"),
+]
+_BROKEN = [("few", "error", "fewer than 60 events", "value < 60"), ("many", "warning", "more than 90 events", "value > 90"), ("first_weeks", "flag", "of the first two weeks", "iso_week <= 2")]
+
+
+@query(f"WITH {b.SURVEILLANCE}, j AS (SELECT *, to_json({{'geo_name': geo_name, 'variable': variable, 'iso_week': iso_week, 'value': value}})::VARCHAR AS j FROM sv) " + " UNION ALL ".join(f"SELECT '{n}' AS rule, '{v}' AS severity, '{m}' AS message, count(*) AS n_rows, array_to_string(list_slice(list(j ORDER BY j), 1, 5), '|') AS sample FROM j WHERE {c} HAVING count(*) > 0" for n, v, m, c in _BROKEN) + " UNION ALL SELECT 'fails', 'warning', 'the rule failed: CAST_INVALID_INPUT', 0, ''")
+def rules_one_scan(s: SparkSession, d: str) -> DataFrame:
+    """Five rules over the weekly reports in one scan, one of which fails while it runs."""
+    rows = b.surveillance(s, d).select("geo_name", "variable", "iso_week", "value")
+    return rules.evaluate(rows, _RULES).withColumn("sample", F.array_join("sample", "|"))
+
+
+_SCHEMA_SQL = f"""WITH {b.SURVEILLANCE}, {b.PANEL} SELECT 'county_weekly_epi' AS "schema", 'evidence_class:among' AS rule, count(*) AS n_rows FROM sv WHERE evidence_class NOT IN ('observed', 'estimated', 'assumed') HAVING count(*) > 0
+UNION ALL SELECT 'cost_parameters_resolved', 'evidence_class:among', count(*) FROM part WHERE p_type NOT IN ('observed', 'estimated', 'assumed') HAVING count(*) > 0
+UNION ALL SELECT 'cost_parameters_resolved', 'price_year:type', count(*) FROM part WHERE p_retailprice <> floor(p_retailprice) HAVING count(*) > 0
+UNION ALL SELECT 'geo_districts', 'district_id:pattern', count(*) FROM part WHERE NOT regexp_full_match(p_name, '\\S+') HAVING count(*) > 0
+UNION ALL SELECT 'district_panel', 'year:column', 0
+UNION ALL SELECT 'district_panel', 'rotavirus_cases_district_modelled:known', 0 WHERE false
+UNION ALL SELECT 'district_panel', 'rotavirus_cases_district_modelled:least', count(*) FROM panel WHERE own_revenue < 0 HAVING count(*) > 0"""
+
+
+@query(_SCHEMA_SQL)
+def schema_findings(s: SparkSession, d: str) -> DataFrame:
+    """The four schemas over what stands for their tables: a scan each."""
+    part = table(s, d, "part")
+    none = F.lit(None).cast("string")
+    tables = {
+        "county_weekly_epi": b.surveillance(s, d),
+        "cost_parameters_resolved": part.select(F.col("p_brand").alias("parameter_id"), F.col("p_retailprice").alias("value"), F.col("p_retailprice").alias("price_year"), F.col("p_type").alias("evidence_class"), none.alias("confidence"), none.alias("source_url")),
+        "geo_districts": part.select(F.col("p_name").alias("district_id"), F.col("p_brand").alias("district_name"), F.col("p_size").cast("string").alias("county_id"), none.alias("valid_from"), none.alias("valid_to")),
+        "district_panel": b.panel(s, d).select(F.col("district_id").cast("string").alias("district_id"), F.lit("estimated").alias("evidence_class"), F.col("own_revenue").alias("rotavirus_cases_district_modelled")),
+    }
+    out = [rules.check_schema(rows, rules.SCHEMAS[name]).select(F.lit(name).alias("schema"), "rule", "n_rows") for name, rows in tables.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents), h AS (SELECT doc_id, p, CASE WHEN length(trim(line)) BETWEEN 1 AND 40 THEN trim(line) END AS heading FROM l), f AS (SELECT doc_id, p, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM h) SELECT doc_id, section, count(*) AS n_lines, CAST(min(p) - 1 AS BIGINT) AS first_line FROM f GROUP BY 1, 2")
+def line_sections(s: SparkSession, d: str) -> DataFrame:
+    """The short line under which each line of each document stands; a line above all of them has none."""
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    heading = F.trim("line")
+    marked = lines.select("doc_id", "p", F.when(F.length(heading).between(1, 40), heading).alias("section"))
+    filled = order.filled_forward(marked, "section", ["doc_id"], [F.col("p")])
+    return filled.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.min("p").cast("long").alias("first_line"))
+
+
 # Sensitivity.
 
 #: Draws and replicates of the surveyed runs.

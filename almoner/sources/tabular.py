@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import nulls
+from ..functions import nulls, order
 
 # The canonical columns of a registry.
 REGISTRY = ["settlement_id", "settlement_name", "postal_codes", "district_id", "district_name", "county_id", "county_name", "nuts3_code", "nuts2_code"]
@@ -88,10 +88,32 @@ def renamed_by(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(out)
 
 
-def filled_down(df: DataFrame, column: str, order: str, group: list[str]) -> DataFrame:
-    """Blank cells take what last stood above them."""
-    w = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(F.when(~nulls.blank(column), F.col(column)), ignorenulls=True).over(w))
+def filled_down(df: DataFrame, column: str, line: str, group: list[str]) -> DataFrame:
+    """Blank cells take what last stood above them; a file may be of any length (order.filled_forward)."""
+    return order.filled_forward(df.withColumn(column, F.when(~nulls.blank(column), F.col(column))), column, group, [F.col(line)])
+
+
+def sections(df: DataFrame, first: str, cells: list[str], line: str, group: list[str], out: str = "section") -> DataFrame:
+    """Rows with the heading they stand under: a row that has a first cell and no other is the heading of what follows, and goes."""
+    alone = reduce(lambda a, b: a & b, [nulls.blank(F.col(f"`{c}`")) for c in cells])
+    heading = alone & ~nulls.blank(first)
+    marked = df.withColumns({out: F.when(heading, F.trim(first)), "__heading": heading})
+    return order.filled_forward(marked, out, group, [F.col(line)]).where("NOT __heading").drop("__heading")
+
+
+def sectioned_years(df: DataFrame, first: str, line: str, group: list[str], value: str = "value") -> DataFrame:
+    """group, section, first, year, value of a table whose columns are years and whose rows stand under headings."""
+    years = [c for c in df.columns if re.fullmatch(r"(?:19|20)\d\d", c)]
+    rows = sections(df, first, years, line, group)
+    return years_long(rows, [*group, "section", first], value)
+
+
+def months_long(df: DataFrame, year: str, line: str, months: dict[str, int], group: list[str], value: str = "value") -> DataFrame:
+    """group, year, month, value of a table with a column for each month whose year stands in its first row only."""
+    rows = filled_down(df, year, line, group).withColumn(year, F.regexp_extract(F.col(year).cast("string"), r"(\d{4})", 1).try_cast("int"))
+    long = rows.select(*group, year, *[nulls.number(F.col(f"`{c}`")).alias(c) for c in months]).unpivot([*group, year], list(months), "month", value)
+    number = reduce(lambda a, m: F.when(F.col("month") == m, F.lit(months[m])).otherwise(a), months, F.lit(None).cast("int"))
+    return long.withColumn("month", number).where(F.col(year).isNotNull() & F.col(value).isNotNull())
 
 
 def years_long(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
