@@ -142,3 +142,63 @@ def test_schemas(spark):
     assert got == {f"{c}:column": 0 for c in ("district_id", "district_name", "county_id", "valid_from", "valid_to")}
     good = spark.createDataFrame([("d 1", "n", "c", None, None)], "district_id string, district_name string, county_id string, valid_from string, valid_to string")
     assert [r["rule"] for r in rules.check_schema(good, rules.SCHEMAS["geo_districts"]).collect()] == ["district_id:pattern"]
+
+
+def _tables(spark, store):
+    from almoner.streaming import collect
+
+    shown = {}
+    for name, columns in {"rows": ["url", "line", "row"], "registry": ["url", "status", "n_rows", "columns"], "errors": ["url", "error"], "drift": ["url", "added", "removed"]}.items():
+        shown[name] = sorted(str([r["url"].rsplit("/", 2)[1:], *[r[c] for c in columns[1:]]]) for r in collect.read(spark, store, name).collect())
+    return shown
+
+
+def test_collection(spark, tmp_path):
+    """Two broken files among good ones; run twice, and once more from nothing but the store, it gives the same tables; a new column is told of once."""
+    import os
+    import time
+
+    from almoner.streaming import collect
+
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    put = lambda name, text, at: ((folder / name).write_bytes(text), os.utime(folder / name, (at, at)))
+    now = time.time() - 1000
+    put("a.json", b'{"x": 1, "y": "p"}\n{"x": 2, "y": "q"}\n', now)
+    put("b.json", b'{"x": ', now + 1)
+    put("c.json", b"\xff\xfe broken", now + 2)
+    put("d.json", b'{"x": 3, "y": null}\n', now + 3)
+    put("e.json", b"\n", now + 4)
+    run = lambda: collect.collect(spark, str(folder), store, collect.json_lines, files_each=2)
+    run()
+    first = _tables(spark, store)
+    assert len(first["rows"]) == 3 and len(first["errors"]) == 2 and len(first["registry"]) == 5 and not first["drift"]
+    assert any("JSONDecodeError" in x for x in first["errors"]) and any("UnicodeDecodeError" in x for x in first["errors"])
+    run()
+    assert _tables(spark, store) == first
+    # the same files again, to a stream that has forgotten them
+    os.rename(f"{store}/checkpoint", f"{store}/forgotten")
+    spark.read.format("binaryFile").load(str(folder)).count()
+    again = spark.read.format("binaryFile").load(str(folder)).select(F.col("path").alias("url"), "content", "modificationTime")
+    collect.keep(again, 1000, store, collect.json_lines, F.lit("in"))
+    assert _tables(spark, store) == first
+    os.rename(f"{store}/forgotten", f"{store}/checkpoint")
+    # a source whose columns change, and a file that was mended
+    put("f.json", b'{"x": 4, "z": "new"}\n', now + 5)
+    put("g.json", b'{"x": 5, "z": "new"}\n', now + 6)
+    run()
+    more = _tables(spark, store)
+    assert len(more["rows"]) == 5 and more["drift"] == ["[['in', 'f.json'], ['z'], ['y']]"] and len(more["registry"]) == 7
+    run()
+    assert _tables(spark, store) == more and collect.latest(spark, store).count() == 7
+
+
+def test_a_batch_that_runs_again(spark, tmp_path):
+    from almoner.streaming import collect
+
+    files = spark.createDataFrame([("s/a", b'{"x": 1}', 0), ("s/a", b'{"x": 1}', 0), ("s/b", b"{", 1)], "url string, content binary, t int").withColumn("modificationTime", F.timestamp_seconds("t")).drop("t")
+    for _ in range(2):
+        collect.keep(files, 0, str(tmp_path), collect.json_lines, F.lit("s"))
+    assert collect.read(spark, str(tmp_path), "rows").count() == 1 and collect.read(spark, str(tmp_path), "errors").count() == 1 and collect.read(spark, str(tmp_path), "registry").count() == 2
+    collect.keep(files.where("false"), 1, str(tmp_path), collect.json_lines, F.lit("s"))
+    assert collect.read(spark, str(tmp_path), "registry").count() == 2
