@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import counter, dates, order, tails, text
+from ..functions import counter, dates, nulls, order, tails, text
 from ..functions.lineage import cut
 from ..operators import allocation, costs, equity, geography, need, panel, probabilistic, rules, sensitivity, validation
 from ..sources import collectors, html, tabular
@@ -117,9 +117,13 @@ def json_props_agg(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").groupBy((k % 10).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT CAST(isoyear(x) AS BIGINT) AS iso_year, CAST(week(x) AS BIGINT) AS iso_week, CAST(x AS DATE) AS period_start, CAST(x + INTERVAL 6 DAY AS DATE) AS period_end FROM (SELECT unnest(generate_series(TIMESTAMP '2019-12-30', TIMESTAMP '2022-01-31', INTERVAL 7 DAY)) AS x)")
+@query("SELECT CAST(isoyear(x) AS BIGINT) AS iso_year, CAST(week(x) AS BIGINT) AS iso_week, CAST(x AS DATE) AS period_start, CAST(x + INTERVAL 6 DAY AS DATE) AS period_end, coalesce(n, 0) AS n_events FROM (SELECT unnest(generate_series(date_trunc('week', min(ts)), max(ts), INTERVAL 7 DAY)) AS x FROM events) LEFT JOIN (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM events GROUP BY 1) ON w = x")
 def week_calendar(s: SparkSession, d: str) -> DataFrame:
-    return rounded(dates.week_calendar(s, "2020-01-01", "2022-01-31"))
+    """Every week from the first event to the last, and how many events it has."""
+    e = table(s, d, "events").select(_days("ts").alias("day"))
+    first, last = e.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    counts = e.groupBy(F.date_trunc("week", "day").cast("date").alias("period_start")).agg(F.count("*").alias("n_events"))
+    return rounded(dates.week_calendar(s, first, last).join(counts, "period_start", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long"))))
 
 
 # Joins.
@@ -145,13 +149,21 @@ def missing_units(s: SparkSession, d: str) -> DataFrame:
     return validation.missing_units(e, e.select("user_id"), "user_id", "day").groupBy("day").agg(F.count("*").alias("n_missing"))
 
 
-_PARAMETERS = [("a", 1995, 1.0, 1), ("a", 1998, 2.0, 2), ("a", 1998, 2.5, 3), ("b", 2000, 5.0, 1), ("b", 1996, 4.0, 2)]
-_WANTED = [(k, y) for k in "abc" for y in (1990, 1996, 1998, 1999, 2005, None)]
+_ASKED_YEARS = (1980, 1994, 1996, 1998, 2000, 2010, None)
 
 
-@query(f"WITH v(k, year, value, ordinal) AS (VALUES {', '.join(map(repr, _PARAMETERS))}), w(k, asked) AS (VALUES {', '.join(f'({k!r}, {y if y else "NULL"})' for k, y in _WANTED)}) SELECT k, CAST(asked AS BIGINT) AS year, CAST(CASE WHEN asked IS NULL THEN (SELECT arg_max(value, ordinal) FROM v WHERE v.k = w.k) ELSE coalesce((SELECT arg_max(value, ordinal) FROM v WHERE v.k = w.k AND v.year = asked), (SELECT arg_max(value, year * 1000 + ordinal) FROM v WHERE v.k = w.k AND v.year <= asked), (SELECT arg_min(value, ordinal) FROM v WHERE v.k = w.k)) END AS DOUBLE) AS value FROM w")
+@query(f"""WITH y AS (SELECT o_orderpriority AS k, CAST(year(o_orderdate) AS BIGINT) AS year, round(min(o_totalprice), 2) AS lo, round(max(o_totalprice), 2) AS hi FROM orders WHERE year(o_orderdate) % 2 = 0 OR o_orderpriority < '3' GROUP BY 1, 2), v AS (SELECT k, year, lo AS value, (2100 - year) * 10 + 1 AS ordinal FROM y UNION ALL SELECT k, year, hi, (2100 - year) * 10 + 2 FROM y),
+w AS (SELECT k, CAST(a AS BIGINT) AS asked FROM (SELECT DISTINCT o_orderpriority AS k FROM orders UNION ALL SELECT 'unknown'), (VALUES {', '.join(f'({y if y else "NULL"})' for y in _ASKED_YEARS)}) t(a))
+SELECT k, asked AS year, CASE WHEN asked IS NULL THEN (SELECT arg_max(value, ordinal) FROM v WHERE v.k = w.k) ELSE coalesce((SELECT arg_max(value, ordinal) FROM v WHERE v.k = w.k AND v.year = asked), (SELECT arg_max(value, year * 100000 + ordinal) FROM v WHERE v.k = w.k AND v.year <= asked), (SELECT arg_min(value, ordinal) FROM v WHERE v.k = w.k)) END AS value FROM w""")
 def asof_parameter(s: SparkSession, d: str) -> DataFrame:
-    return costs.as_of(s.createDataFrame(_PARAMETERS, "k string, year long, value double, ordinal int"), s.createDataFrame(_WANTED, "k string, year long"), ["k"])
+    """Least and greatest order of a priority and year as two listings of a parameter, the latest year listed first; some years are missing."""
+    year = F.year("o_orderdate").cast("long")
+    o = table(s, d, "orders")
+    by = o.where((year % 2 == 0) | (F.col("o_orderpriority") < "3")).groupBy(F.col("o_orderpriority").alias("k"), year.alias("year")).agg(F.round(F.min("o_totalprice"), 2).alias("lo"), F.round(F.max("o_totalprice"), 2).alias("hi"))
+    listed = by.select("k", "year", F.posexplode(F.array("lo", "hi")).alias("i", "value")).select("k", "year", "value", ((2100 - F.col("year")) * 10 + F.col("i") + 1).alias("ordinal"))
+    names = o.select(F.col("o_orderpriority").alias("k")).distinct().union(s.createDataFrame([("unknown",)], "k string"))
+    wanted = names.select("k", F.explode(F.array(*[F.lit(y).cast("long") for y in _ASKED_YEARS])).alias("year"))
+    return costs.as_of(listed, wanted, ["k"])
 
 
 @query(f"WITH {b.COUNTY_YEARS}, dims AS (SELECT * FROM cy WHERE NOT (county_id % 5 = 0 AND year > 1998) AND county_id <> 7), want AS (SELECT n_nationkey AS county_id, y AS year FROM nation, (VALUES (1997), (2000)) t(y)) SELECT CAST(w.county_id AS BIGINT) AS county_id, CAST(w.year AS BIGINT) AS year, coalesce((SELECT cases FROM dims WHERE dims.county_id = w.county_id AND dims.year = w.year), (SELECT arg_max(cases, year) FROM dims WHERE dims.county_id = w.county_id), -1) AS cases FROM want w")
@@ -166,15 +178,21 @@ def unambiguous_bridge(s: SparkSession, d: str) -> DataFrame:
     return geography.unambiguous(table(s, d, "part"), ["p_brand", "p_size"], "p_type").withColumn("p_size", F.col("p_size").cast("long"))
 
 
-_PLACES = [("Miskolc", "3525;3529", "0511", 1), ("Felsőzsolca", "3561", "0511", 2), ("Onga", "3562", "0512", 3), ("Encs", "3860", "0512", 4), ("Forró község", "3849", "0512", 5)]
-_ASKED = [("Miskolc",), ("3860",), ("Nincs Ilyen Település",), ("Miskolcz",), ("forró",), ("Onga",), ("Encs",)]
-
-
-@query("SELECT * FROM (VALUES ('Miskolc', '0511', 'exact_name', 'confirmed'), ('3860', '0512', 'postal', 'confirmed'), ('Nincs Ilyen Település', NULL, 'none', 'pending'), ('Miskolcz', NULL, 'fuzzy', 'pending'), ('forró', '0512', 'exact_name', 'confirmed'), ('Onga', '0512', 'manual', 'confirmed'), ('Encs', NULL, 'none', 'rejected')) t(name, district_id, method, status)")
+@query("""WITH pl AS (SELECT p_name, min(p_brand) AS district_id, CAST(1000 + row_number() OVER (ORDER BY p_name) AS VARCHAR) AS code FROM part GROUP BY 1),
+a AS (SELECT DISTINCT p_name, p_partkey % 6 AS how FROM part), q AS (SELECT *, CASE how WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || 'x' WHEN 2 THEN code WHEN 3 THEN 'qqqq ' || substr(p_name, 1, 1) || ' wwww' ELSE 'hand ' || how || ' ' || p_name END AS name FROM a JOIN pl USING (p_name))
+SELECT DISTINCT name, CASE WHEN how IN (0, 2, 4) THEN district_id END AS district_id, CASE how WHEN 0 THEN 'exact_name' WHEN 1 THEN 'fuzzy' WHEN 2 THEN 'postal' WHEN 4 THEN 'manual' ELSE 'none' END AS method, CASE WHEN how IN (0, 2, 4) THEN 'confirmed' WHEN how = 5 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN how = 1 THEN round(200.0 * length(p_name) / (2 * length(p_name) + 1), 6) END AS score FROM q""")
 def fuzzy_residual(s: SparkSession, d: str) -> DataFrame:
-    places = s.createDataFrame(_PLACES, "settlement_name string, postal_codes string, district_id string, ordinal int")
-    by_hand = s.createDataFrame([("onga", "0512", True), ("encs", None, False)], "name string, district_id string, confirmed boolean")
-    return geography.crosswalk(s.createDataFrame(_ASKED, "name string"), places, by_hand).drop("score")
+    """Names of parts, asked for in capitals, with a letter too many, by code, by hand, or not to be found."""
+    part = table(s, d, "part")
+    places = order.numbered(part.groupBy("p_name").agg(F.min("p_brand").alias("district_id")), [], [F.col("p_name")], "ordinal")
+    places = places.select("p_name", F.col("p_name").alias("settlement_name"), (1000 + F.col("ordinal")).cast("string").alias("postal_codes"), "district_id", "ordinal")
+    how, c = F.col("p_partkey") % 6, F.col
+    asked = part.select("p_name", how.alias("how")).distinct().join(places, "p_name")
+    by_hand = F.concat(F.lit("hand "), c("how").cast("string"), F.lit(" "), c("p_name"))
+    name = F.when(c("how") == 0, F.upper("p_name")).when(c("how") == 1, F.concat("p_name", F.lit("x"))).when(c("how") == 2, c("postal_codes")).when(c("how") == 3, F.concat(F.lit("qqqq "), F.substring("p_name", 1, 1), F.lit(" wwww"))).otherwise(by_hand)
+    asked = cut(asked.withColumn("name", name))
+    hand = asked.where("how > 3").select("name", F.when(c("how") == 4, c("district_id")).alias("district_id"), (c("how") == 4).alias("confirmed"))
+    return rounded(geography.crosswalk(asked.select("name"), places.drop("p_name"), hand))
 
 
 # Small areas, smoothing.
@@ -278,9 +296,19 @@ def expected_cost_panel(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("price_year", "cost_evidence_class", "deflator_source", "medical_deflator_id", "cost_per_notified_case_deflator_id", "productivity_deflator_id", "district_id", "medical_nominal", "medical_real", "productivity_nominal", "vaccination_nominal", "cost_per_notified_case", "cost_per_hospitalisation", "total_real"), 4)
 
 
-@query("SELECT level, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('base', 159919.75), ('low', 51549.375), ('high', 396410.125)) t(level, cost)")
+_CASE_COST = "hospitalisation_rate * hbcs_weight * hbcs_base_rate + (1 - hospitalisation_rate) * (outpatient_points * outpatient_point_value + gp_visit_cost) + work_loss_probability * least(workdays_lost, working_days_per_year) * daily_wage * 1.09 * (1 + employer_contribution)"
+_LEVELS = " UNION ALL ".join(f"SELECT '{level}' AS level, " + ", ".join(f"{v[i]!r}::DOUBLE AS {k}" for k, v in costs.ANALYSIS.items()) for i, level in enumerate(("base", "low", "high")))
+
+
+@query(f"WITH {b.PANEL}, c AS (SELECT county_id, avg(late_share) AS late, avg(price) AS visit FROM panel GROUP BY 1), l AS ({_LEVELS}), x AS (SELECT county_id, level, l.* EXCLUDE (level) REPLACE (late * hospitalisation_rate AS hospitalisation_rate, visit AS gp_visit_cost) FROM l, c) SELECT county_id, level, round({_CASE_COST}, 4) AS cost FROM x")
 def cost_per_case(s: SparkSession, d: str) -> DataFrame:
-    return costs.analysis_parameters(s).select("level", F.round(costs.cost_per_case(), 4).alias("cost"))
+    """At each level of the parameters, by county: its hospitals take the part that is late, and a visit costs its mean price."""
+    by = b.panel(s, d).groupBy("county_id").agg(F.avg("late_share").alias("late"), F.avg("price").alias("visit"))
+    levels = [r.asDict() for r in costs.analysis_parameters(s).collect()]  # a row for each level
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in level.items()]) for level in levels]))
+    rows = by.select("county_id", "late", "visit", each.alias("p")).select("county_id", "late", "visit", "p.*")
+    rows = rows.withColumns({"hospitalisation_rate": F.col("late") * F.col("hospitalisation_rate"), "gp_visit_cost": F.col("visit")})
+    return rows.select("county_id", "level", F.round(costs.cost_per_case(), 4).alias("cost"))
 
 
 @query(f"WITH {b.PANEL}, t AS (SELECT district_id, cases, population * 100.0 / 15 AS cohort, greatest(existing_local_funding * 1000, 1.0) AS aid FROM panel), u AS (SELECT *, cases * 5.0 * 159919.75 * least(1.0, coalesce(aid / nullif(cohort * 41000.0, 0), 0)) * 0.85 AS averted FROM t) SELECT district_id, round(cohort, 4) AS cohort, round(averted, 4) AS averted, round(averted - aid, 4) AS net, round(averted / aid, 4) AS benefit_cost_ratio FROM u")
@@ -785,14 +813,28 @@ def line_sections(s: SparkSession, d: str) -> DataFrame:
 DRAWS = 2000
 
 
-@query("SELECT parameter, CAST(delta AS DOUBLE) AS delta, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CAST(swing AS DOUBLE) AS swing FROM (VALUES ('a', 0.1, 28.0, 32.0, 4.0), ('a', 0.5, 20.0, 40.0, 20.0), ('b', 0.1, 29.0, 31.0, 2.0), ('b', 0.5, 25.0, 35.0, 10.0)) t(parameter, delta, low, high, swing)")
+_TORNADO = ("people", "cases", "mean_cost")
+
+
+@query(f"WITH {b.PANEL}, base AS (SELECT CAST(sum(population) AS DOUBLE) AS people, CAST(sum(cases) AS DOUBLE) AS cases, round(avg(expected_cost), 2) AS mean_cost FROM panel), p AS (SELECT parameter, delta FROM (VALUES {', '.join(f"('{x}')" for x in _TORNADO)}) a(parameter), (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) b(delta)), s AS (SELECT parameter, delta, sign, " + ", ".join(f"{x} * (CASE WHEN parameter = '{x}' THEN 1 + sign * delta ELSE 1 END) AS {x}" for x in _TORNADO) + " FROM base, p, (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) c(sign)), v AS (SELECT parameter, delta, sign, cases * mean_cost / people AS v FROM s) SELECT parameter, delta, round(max(v) FILTER (sign < 0), 4) AS low, round(max(v) FILTER (sign > 0), 4) AS high, round(abs(max(v) FILTER (sign > 0) - max(v) FILTER (sign < 0)), 4) AS swing FROM v GROUP BY 1, 2")
 def tornado(s: SparkSession, d: str) -> DataFrame:
-    return rounded(sensitivity.tornado(s, {"a": 10.0, "b": 100.0}, 2 * F.col("a") + 0.1 * F.col("b"), (0.1, 0.5)))
+    """Cost of cases a head, with each of the panel's sums alone made less and more."""
+    base = b.panel(s, d).agg(F.sum("population").cast("double").alias("people"), F.sum("cases").cast("double").alias("cases"), F.round(F.avg("expected_cost"), 2).alias("mean_cost")).first().asDict()
+    return rounded(sensitivity.tornado(s, base, nulls.ratio(F.col("cases") * F.col("mean_cost"), "people"), (0.1, 0.5)), 4)
 
 
-@query()
+def _tornado_sql() -> str:
+    one = lambda values: "(SELECT sum(cases) FROM panel) * underreporting * (" + _CASE_COST + ") FROM (SELECT " + ", ".join(f"{v!r}::DOUBLE AS {k}" for k, v in values.items()) + ")"
+    base = {k: v[0] for k, v in costs.ANALYSIS.items()}
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS parameter, (SELECT {one(base | {k: v[1]})}) AS low, (SELECT {one(base | {k: v[2]})}) AS high" for k, v in costs.ANALYSIS.items())
+    return f"WITH {b.PANEL}, base AS (SELECT {one(base)} AS t(base)), r AS ({rows}) SELECT parameter, round(base, 2) AS base, round(low, 2) AS low, round(high, 2) AS high, round(abs(high - low), 2) AS spread FROM r, (SELECT {one(base)} ) AS b2(base)"
+
+
+@query(_tornado_sql())
 def tornado_costs(s: SparkSession, d: str) -> DataFrame:
-    return sensitivity.bounds_tornado(s, costs.ANALYSIS, 3381 * F.col("underreporting") * costs.cost_per_case())
+    """The societal cost of all cases, with each parameter alone at its low and its high level."""
+    cases = float(b.panel(s, d).agg(F.sum("cases")).first()[0] or 0)
+    return rounded(sensitivity.bounds_tornado(s, costs.ANALYSIS, F.lit(cases) * F.col("underreporting") * costs.cost_per_case()), 2)
 
 
 @query(f"WITH {b.NEED}, cell AS (SELECT eta, rate FROM (VALUES (0.0), (0.5), (1.0), (2.0)) a(eta), (VALUES (0.0), (0.1), (0.5)) c(rate)), x AS (SELECT eta, rate, district_id, need_score, population, population * (1 + eta * need_score) + rate * cases AS raw FROM need, cell), y AS (SELECT *, {b.BUDGET} * raw / sum(raw) OVER p AS aid, {b.BUDGET} * population / sum(population) OVER p AS flat, row_number() OVER (PARTITION BY eta, rate ORDER BY need_score, district_id) AS k, count(*) OVER p AS n FROM x WINDOW p AS (PARTITION BY eta, rate)) SELECT CAST(eta AS DOUBLE) AS eta, CAST(rate AS DOUBLE) AS rate, round(sum(abs(aid - flat)) / 2 / {b.BUDGET}, 6) AS reshuffled, round(2 * sum(aid * ((k - 0.5) / n - 0.5)) / sum(aid), 6) AS ci FROM y GROUP BY 1, 2")
@@ -862,7 +904,6 @@ def _weights_sql() -> str:
     return f"{_gammas('wg', parts)}, wt AS (SELECT draw, {', '.join(f'max(value) FILTER (unit = {i}) / sum(value) AS w{i}' for i in range(len(parts)))} FROM wg GROUP BY draw)"
 
 
-_CASE_COST = "hospitalisation_rate * hbcs_weight * hbcs_base_rate + (1 - hospitalisation_rate) * (outpatient_points * outpatient_point_value + gp_visit_cost) + work_loss_probability * least(workdays_lost, working_days_per_year) * daily_wage * 1.09 * (1 + employer_contribution)"
 _DOT = " + ".join(f"z{i} * w{i}" for i in range(len(b.DIMS)))
 _PSA_ANALYSIS = f"""WITH {b.NEED}, {_parameter_sql()}, {_weights_sql()},
 bu AS (SELECT draw, exp(0.2 * z) AS burden FROM {counter.sql_with(f'(SELECT draw FROM {_DRAWN})', [*counter.sql_at('state', SEED, probabilistic.BURDEN, '0', 'draw'), *counter.sql_normal('z', 'state')])}),
@@ -932,29 +973,42 @@ def extract_links(s: SparkSession, d: str) -> DataFrame:
     return rounded(html.links(table(s, d, "pages")))
 
 
-_TEXTS = [(1, "A támogatás 12 000 Ft, legfeljebb 150.000 Ft; a díj 500 Ft."), (2, "nincs összeg"), (3, "Háziorvosi vizit 4500 Ft és\nMiskolci járás: 12,5\nEncsi járás 7,25 pont"), (4, None)]
+def _brand_bodies(s: SparkSession, d: str, line: Column) -> DataFrame:
+    """A text for each brand: a line for each of its parts, in their order."""
+    part = table(s, d, "part").select(F.col("p_brand").alias("id"), F.struct("p_partkey", line.alias("line")).alias("x"))
+    return part.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
 
 
-@query("SELECT 1 AS id, [CAST(12000 AS BIGINT), 150000] AS candidates, CAST(150000 AS BIGINT) AS most UNION ALL SELECT 2, [], NULL UNION ALL SELECT 3, [4500], 4500 UNION ALL SELECT 4, NULL, NULL")
+@query("WITH a AS (SELECT p_brand AS id, CASE WHEN p_partkey % 7 = 0 THEN p_size ELSE CAST(p_size AS BIGINT) * 1000 END AS n FROM part WHERE p_partkey % 5 > 0) SELECT id, array_to_string(list_sort(list(DISTINCT n) FILTER (n BETWEEN 1000 AND 200000)), ' ') AS candidates, CAST(max(n) FILTER (n BETWEEN 1000 AND 200000) AS BIGINT) AS most FROM (SELECT p_brand AS id FROM part GROUP BY 1) LEFT JOIN a USING (id) GROUP BY 1")
 def amount_extraction(s: SparkSession, d: str) -> DataFrame:
-    return collectors.amounts(s.createDataFrame(_TEXTS, "id int, body string"), "id", "body")
+    """Amounts in texts of parts, written in four ways; some are too small, some lines have none."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    amount = F.when(k % 5 == 0, "ingyen").when(k % 7 == 0, F.concat(size, F.lit(" Ft"))).when(k % 3 == 0, F.concat(size, F.lit(" 000 Ft"))).when(k % 3 == 1, F.concat(size, F.lit(".000 forint"))).otherwise(F.concat(size, F.lit("000 HUF")))
+    bodies = _brand_bodies(s, d, F.concat("p_name", F.lit(": "), amount, F.lit(";")))
+    return collectors.amounts(bodies, "id", "body").select("id", F.coalesce(F.nullif(F.array_join("candidates", " "), F.lit("")), F.lit(None).cast("string")).alias("candidates"), "most")
 
 
-@query("SELECT id, district_name, CAST(value AS DOUBLE) AS value FROM (VALUES (3, 'Miskolci járás', 12.5), (3, 'Encsi járás', 7.25)) t(id, district_name, value)")
+@query("SELECT p_brand AS id, p_name || ' járás' AS district_name, CAST(p_retailprice AS DOUBLE) AS value, count(*) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY ALL")
 def decree_lines(s: SparkSession, d: str) -> DataFrame:
-    return collectors.decree_lines(s.createDataFrame(_TEXTS, "id int, body string"), "id", "body")
+    """District lines with numbers of decimal comma in texts of parts; other lines have no district."""
+    line = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("összesen "), F.col("p_size").cast("string"))).otherwise(F.concat("p_name", F.lit(" járás: "), F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(",")), F.lit(" pont")))
+    return collectors.decree_lines(_brand_bodies(s, d, line), "id", "body").groupBy("id", "district_name", "value").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('-', CAST(0 AS BIGINT)), ('–', 0), ('', NULL), ('●', NULL), ('12', 12), ('1 233', 1233), (' 8 ', 8), ('n.a.', NULL)) t(cell, value)")
+@query("SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN '-' WHEN 1 THEN CAST(c_custkey AS VARCHAR) WHEN 2 THEN (c_custkey // 1000) || ' ' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') WHEN 3 THEN ' ' || c_nationkey || ' ' WHEN 4 THEN c_mktsegment WHEN 5 THEN '●' WHEN 6 THEN '–' END AS cell, CAST(CASE c_custkey % 8 WHEN 0 THEN 0 WHEN 1 THEN c_custkey WHEN 2 THEN c_custkey WHEN 3 THEN c_nationkey WHEN 6 THEN 0 END AS BIGINT) AS value FROM customer")
 def parse_cell(s: SparkSession, d: str) -> DataFrame:
-    cells = s.createDataFrame([("-",), ("–",), ("",), ("●",), ("12",), ("1 233",), (" 8 ",), ("n.a.",)], "cell string")
-    return cells.select("cell", text.cell_number("cell").alias("value"))
+    """Cells of all customers: dashes, numbers with and without blanks, texts, marks, none."""
+    k = F.col("c_custkey")
+    made = [F.lit("-"), k.cast("string"), F.concat(F.floor(k / 1000).cast("string"), F.lit(" "), F.lpad((k % 1000).cast("string"), 3, "0")), F.concat(F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(" ")), F.col("c_mktsegment"), F.lit("●"), F.lit("–"), F.lit(None).cast("string")]
+    cells = table(s, d, "customer").select("c_custkey", F.get(F.array(*made), (k % 8).cast("int")).alias("cell"))
+    return cells.select("c_custkey", "cell", text.cell_number("cell").alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2), ('b', 0)) t(sheet, line)")
+@query("WITH l AS (SELECT p_brand AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS line, lower(p_name || ' ' || p_type) AS t FROM part) SELECT sheet, min(line) AS line FROM l WHERE line < 15 AND contains(t, 'red') AND contains(t, 'o') AND contains(t, 'e') GROUP BY 1")
 def header_detect(s: SparkSession, d: str) -> DataFrame:
-    rows = [("a", 0, "Kimutatás", ""), ("a", 1, "", "x"), ("a", 2, "Település NEVE", "Járás kódja"), ("a", 3, "település", "járás"), ("b", 0, "JÁRÁS", "Település"), ("c", 0, "más", "oszlop")]
-    return tabular.header_row(s.createDataFrame(rows, "sheet string, line int, c1 string, c2 string"), ["település", "járás"])
+    """Parts of a brand as lines of a sheet: the first that holds all tokens, if it is among the first fifteen."""
+    lines = order.numbered(table(s, d, "part"), ["p_brand"], [F.col("p_partkey")], "line").select(F.col("p_brand").alias("sheet"), (F.col("line") - 1).alias("line"), "p_name", "p_type")
+    return tabular.header_row(lines, ["RED", "o", "E"])
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS node, CAST(o_orderkey % (SELECT count(*) FROM customer) AS BIGINT) AS target FROM orders), w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT e.target, level + 1 FROM w JOIN e USING (node) WHERE level < 3) SELECT node, CAST(min(level) AS BIGINT) AS level FROM w GROUP BY 1")
