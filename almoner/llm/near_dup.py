@@ -55,9 +55,9 @@ SHORT = 50
 #: Members of a block of one rare word; bins in which a text's words are counted; cells of the counts by which words are rare.
 BLOCK = 512
 BINS = 512
-RARE_BITS = 17
+RARE_BITS = 20
 #: A text's least keys that go with its rows, so that a pair that shares several keys is made under the least of them.
-LEAST_KEYS = 48
+LEAST_KEYS = 8
 #: Cells of 64 bits in which nodes are marked, at most: 8 MB.
 CELLS = 1 << 20
 #: Edges that one task may hold, about 200 MB.
