@@ -54,6 +54,29 @@ def resolve(parameters: DataFrame, strict: bool = True) -> DataFrame:
     return out
 
 
+class ParameterBook:
+    """Resolved parameters by name; one that is unknown or has no value is an error where it is asked for."""
+
+    def __init__(self, resolved: DataFrame):
+        have = resolved.columns
+        self.rows = {r["parameter_id"]: r.asDict() for r in resolved.select("parameter_id", "value", *[c for c in ("source_url", "price_year") if c in have]).collect()}  # a parameter book
+
+    def get(self, name: str) -> float:
+        if name not in self.rows:
+            raise MissingParameterError(f"no parameter {name}")
+        if self.rows[name]["value"] is None:
+            raise MissingParameterError(f"{name} has no value; see {self.rows[name].get('source_url') or 'the parameter file'}")
+        return self.rows[name]["value"]
+
+    def get_optional(self, name: str, default: float | None = None) -> float | None:
+        value = self.rows.get(name, {}).get("value")
+        return default if value is None else value
+
+    def price_year(self, name: str) -> int | None:
+        year = self.rows.get(name, {}).get("price_year")
+        return None if year is None else int(year)
+
+
 def deflators(index: DataFrame, base: int, keys: list[str] | None = None) -> DataFrame:
     """keys, year, factor: the index in the base year over that of the year; an error if the base year is missing."""
     keys = keys or []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,6 +52,44 @@ def registry(per_year: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settlements, districts.withColumn("is_budapest_district", F.col("county_id") == "01")
 
 
+def write_registry(per_year: DataFrame, path: str) -> dict[str, int]:
+    """Settlements, districts and boundary changes as tables under a folder; how many rows each has."""
+    settlements, districts = registry(per_year)
+    changes = boundary_changes(per_year.select("settlement_id", "district_id", "vintage"))
+    out = {}
+    for name, df in {"geo_settlements": settlements, "geo_districts": districts, "boundary_changes": changes}.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+        out[name] = per_year.sparkSession.read.parquet(f"{path}/{name}.parquet").count()
+    return out
+
+
+# Columns of the file of matches that are settled by hand.
+REVIEW = ["source_id", "raw_value", "raw_kind", "candidate_district_id", "candidate_district_name", "score", "status", "reviewer", "created_at", "note"]
+
+
+def manual_reviews(spark: SparkSession, path: str, kind: str = "name") -> DataFrame:
+    """name (lower case), district_id, confirmed of what is settled by hand, for `crosswalk`; a pending row settles nothing.
+
+    Lines that begin with # are remarks; rows without a value go; a row without a kind is of a name; of several rows of a
+    value the last counts, by when it was written. A confirmed row without a district settles nothing.
+    """
+    raw = spark.read.options(header="true", comment="#", ignoreLeadingWhiteSpace="true", inferSchema="false").csv(path)
+    have = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in REVIEW])
+    rows = have.where(~nulls.blank("raw_value") & (F.coalesce("raw_kind", F.lit("name")) == kind))
+    last = rows.groupBy(F.lower(F.trim("raw_value")).alias("name")).agg(F.max_by(F.struct("candidate_district_id", "status"), F.struct("created_at", "status", "candidate_district_id")).alias("r"))
+    settled = last.where((F.col("r.status") == "rejected") | ((F.col("r.status") == "confirmed") & ~nulls.blank("r.candidate_district_id")))
+    confirmed = F.col("r.status") == "confirmed"
+    return settled.select("name", F.when(confirmed, F.col("r.candidate_district_id")).alias("district_id"), confirmed.alias("confirmed"))
+
+
+def pending_reviews(found: DataFrame, source_id: str, note: str = "") -> DataFrame:
+    """What `crosswalk` has left pending, as rows of the review file."""
+    rows = found.where("status = 'pending'")
+    none = F.lit("")
+    made = {"source_id": F.lit(source_id), "raw_value": F.col("name"), "raw_kind": F.lit("name"), "candidate_district_id": F.coalesce("district_id", none), "candidate_district_name": none, "score": F.coalesce(F.format_number("score", 1), F.lit("0.0")), "status": F.lit("pending"), "reviewer": none, "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "note": F.lit(note)}
+    return rows.select(*[made[c].alias(c) for c in REVIEW])
+
+
 def boundary_changes(rows: DataFrame, unit: str = "settlement_id", parent: str = "district_id", vintage: str = "vintage") -> DataFrame:
     """change, unit, before, after, vintage: units that changed their parent, parents that appeared or went, between neighbouring vintages."""
     order = rows.select(vintage).distinct().select(F.col(vintage).alias("__v"), F.lead(vintage).over(W.orderBy(vintage)).alias("__next"), F.lag(vintage).over(W.orderBy(vintage)).alias("__prev"))
@@ -128,8 +166,8 @@ def _grams(x: Column) -> Column:
     return F.when(F.length(x) < 2, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
 
 
-def closest(names: DataFrame, candidates: DataFrame, least: float = 90.0) -> DataFrame:
-    """name, candidate_id, score: the most similar candidate by sorted tokens, the first of equals; null if none reaches `least`.
+def closest(names: DataFrame, candidates: DataFrame, least: float = 90.0, by_tokens: bool = True) -> DataFrame:
+    """name, candidate_id, score: the most similar candidate, by sorted tokens or as it stands, the first of equals; null if none reaches `least`.
 
     names are what no exact match has settled. Only pairs that share a two-letter run are compared, and nothing is lost by
     that: at a similarity of r, at most 2 (1 - r) / r letters of a name's length are added or dropped, each breaks two runs
@@ -137,9 +175,10 @@ def closest(names: DataFrame, candidates: DataFrame, least: float = 90.0) -> Dat
     """
     if least < 85:
         raise ValueError("below 85 similar names may share no two letters in a row")
+    form = text.sorted_tokens if by_tokens else F.col
     edits = F.floor(F.length("__n") * (2 * (100 - least) / least) + 1e-9)
-    c = candidates.select("candidate_id", "ordinal", text.sorted_tokens("candidate").alias("__c"))
-    n = names.select("name").distinct().withColumn("__n", text.sorted_tokens("name"))
+    c = candidates.select("candidate_id", "ordinal", form("candidate").alias("__c"))
+    n = names.select("name").distinct().withColumn("__n", form("name"))
     asked = n.select("name", "__n", F.explode(F.array_distinct(F.slice(_grams(F.col("__n")), 1, (2 * edits + 1).cast("int")))).alias("__g"))
     filed = c.select("candidate_id", "ordinal", "__c", F.explode(F.array_distinct(_grams(F.col("__c")))).alias("__g"))
     long, short = F.greatest(F.length("__n"), F.length("__c")), F.least(F.length("__n"), F.length("__c"))

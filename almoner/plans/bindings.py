@@ -108,6 +108,14 @@ def vintages(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.col("o_custkey").alias("settlement_id"), F.year("o_orderdate").cast("long").alias("vintage")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("district_id"))
 
 
+def registry_years(spark: SparkSession, d: str) -> DataFrame:
+    """The vintages as yearly registries: names, counties and regions of customers, whose districts are priorities within a county."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    rows = vintages(spark, d).join(c, F.col("settlement_id") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    district = F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("-"), F.col("district_id"))
+    return rows.select("settlement_id", "vintage", F.col("c_name").alias("settlement_name"), F.lit("").alias("postal_codes"), district.alias("district_id"), F.col("district_id").alias("district_name"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("county_id"), F.col("n_name").alias("county_name"), F.col("n_name").alias("nuts3_code"), F.col("n_regionkey").cast("string").alias("nuts2_code"))
+
+
 VINTAGES = "vint AS (SELECT o_custkey AS settlement_id, CAST(year(o_orderdate) AS BIGINT) AS vintage, arg_max(o_orderpriority, o_orderkey) AS district_id FROM orders GROUP BY 1, 2)"
 
 

@@ -712,12 +712,12 @@ def v_gaps(s: SparkSession, d: str) -> DataFrame:
     return rounded(validation.week_gaps(o, ["o_custkey"]))
 
 
-_BOUNDS = [("click", 10.0, 300.0), ("error", 0.0, 100.0), ("view", None, 400.0)]
+BOUNDS = [("click", 10.0, 300.0), ("error", 0.0, 100.0), ("view", None, 400.0)]
 
 
 @query("SELECT event_id, event_type FROM events LEFT JOIN (VALUES ('click', 10.0, 300.0), ('error', 0.0, 100.0), ('view', NULL, 400.0)) t(v, lo, hi) ON v = event_type WHERE value < coalesce(lo, 0) OR value > coalesce(hi, 'Infinity'::DOUBLE)")
 def v_ranges(s: SparkSession, d: str) -> DataFrame:
-    bounds = s.createDataFrame(_BOUNDS, "variable string, low double, high double")
+    bounds = s.createDataFrame(BOUNDS, "variable string, low double, high double")
     return validation.out_of_range(table(s, d, "events"), bounds, "event_type").select("event_id", "event_type")
 
 

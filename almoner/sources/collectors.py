@@ -99,14 +99,14 @@ def amounts(df: DataFrame, key: str, column: str, low: int = 1000, high: int = 2
     return df.select(key, F.array_sort(F.array_distinct(found)).alias("candidates")).withColumn("most", F.when(F.size("candidates") > 0, F.array_max("candidates")))
 
 
-def amount_contexts(df: DataFrame, key: str, column: str, keywords: dict[str, str], window: int = 80) -> DataFrame:
-    """key, parameter_id, amount: amounts with a keyword within `window` characters before or behind.
+def amount_contexts(df: DataFrame, key: str, column: str, keywords: dict[str, str], before: int = 120, behind: int = 40) -> DataFrame:
+    """key, parameter_id, amount: amounts with a keyword within so many characters before or behind.
 
     The text is split at amounts; a piece's end is what stands before, the next one's beginning what stands behind.
     """
     x = df.select(key, F.split(F.col(column), AMOUNT).alias("__parts"), F.regexp_extract_all(F.col(column), F.lit(AMOUNT), F.lit(1)).alias("__a"))
     at = x.select(key, "__parts", F.posexplode("__a").alias("i", "__amount"))
-    near = F.lower(F.concat_ws(" ", F.right(F.get("__parts", F.col("i")), F.lit(window)), F.left(F.get("__parts", F.col("i") + 1), F.lit(window))))
+    near = F.lower(F.concat_ws(" ", F.right(F.get("__parts", F.col("i")), F.lit(before)), F.left(F.get("__parts", F.col("i") + 1), F.lit(behind))))
     which = F.lit(None).cast("string")
     for k, v in reversed(keywords.items()):
         which = F.when(F.contains(near, F.lit(k.lower())), F.lit(v)).otherwise(which)

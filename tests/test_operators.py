@@ -227,6 +227,95 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--data", DATA, "allocate", "--scenario", "99"]) == 2
     assert cli.main(["--data", DATA, "--out", f"{tmp_path}/found", "validate", "--strict"]) == 1
     assert cli.main(["--data", DATA, "--out", f"{tmp_path}/words", "dictionary"]) == 0
+    assert cli.main(["--data", DATA, "--out", f"{tmp_path}/geo", "geography"]) == 0
+    changes = spark.read.parquet(f"{tmp_path}/geo/boundary_changes.parquet")
+    assert changes.count() > 0 and spark.read.parquet(f"{tmp_path}/geo/geo_districts.parquet").where("valid_to IS NULL").count() > 0
+    assert cli.main(["--data", DATA, "--out", f"{tmp_path}/year", "allocate", "--year", "1997", "--scenario", "2"]) == 0
+    assert abs(spark.read.parquet(f"{tmp_path}/year.parquet").agg({"aid_amount": "sum"}).first()[0] / 2.5e9 - 1) < 1e-9
+    assert cli.main(["--data", DATA, "--out", f"{tmp_path}/asof", "costs", "--year", "1998", "--strict"]) == 1  # one parameter has no listing
+    assert cli.main(["--data", DATA, "--out", f"{tmp_path}/weeks", "panel", "--resolution", "weekly"]) == 0
+    assert cli.main(["--data", DATA, "--out", f"{tmp_path}/have", "availability"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/have.parquet").first()["n_files"] == 1
+
+
+def test_reviews_by_hand(spark, tmp_path):
+    head = ",".join(geography.REVIEW)
+    lines = ["# settled in spring", head, "s,Onga,name,0511,x,91.0,confirmed,a,2024-01-01,", "s,Onga,name,0512,x,91.0,confirmed,a,2024-02-01,", "s, encs ,,,,0.0,rejected,a,2024-01-01,", "s,Forró,name,0512,x,90.0,pending,,2024-01-01,", "s,3525,postal,0511,x,100.0,confirmed,a,2024-01-01,", ",,name,1,x,1,confirmed,a,2024-01-01,", "s,Ózd,name,,x,1,confirmed,a,2024-01-01,"]
+    (tmp_path / "review.csv").write_text("\n".join(lines), encoding="utf-8")
+    got = {tuple(r) for r in geography.manual_reviews(spark, str(tmp_path / "review.csv")).collect()}
+    assert got == {("onga", "0512", True), ("encs", None, False)}
+    assert {tuple(r) for r in geography.manual_reviews(spark, str(tmp_path / "review.csv"), "postal").collect()} == {("3525", "0511", True)}
+    found = spark.createDataFrame([("Felsőzsolca", None, "fuzzy", "pending", 91.234), ("Onga", "0512", "manual", "confirmed", None), ("x", None, "none", "pending", None)], "name string, district_id string, method string, status string, score double")
+    out = {r["raw_value"]: (r["score"], r["status"]) for r in geography.pending_reviews(found, "s").collect()}
+    assert out == {"Felsőzsolca": ("91.2", "pending"), "x": ("0.0", "pending")}
+
+
+def test_parameter_book(spark):
+    rows = spark.createDataFrame([("a", 1.5, "u", 2024), ("b", None, "see", None)], "parameter_id string, value double, source_url string, price_year int")
+    book = costs.ParameterBook(rows)
+    assert book.get("a") == 1.5 and book.price_year("a") == 2024 and book.get_optional("b", 7.0) == 7.0 and book.get_optional("c") is None
+    for name, said in (("b", "see"), ("c", "no parameter")):
+        with pytest.raises(costs.MissingParameterError, match=said):
+            book.get(name)
+
+
+def test_closest_as_it_stands(spark):
+    """Without sorting words, and from 88 on."""
+    left = spark.createDataFrame([("janoshalmi jaras",), ("jaras janoshalmai",)], "name string")
+    right = spark.createDataFrame([(1, 1, "janoshalmai jaras"), (2, 2, "kiskunhalasi jaras")], "candidate_id long, ordinal long, candidate string")
+    got = {r["name"]: r["candidate_id"] for r in geography.closest(left, right, 88.0, by_tokens=False).collect()}
+    assert got == {"janoshalmi jaras": 1, "jaras janoshalmai": None}
+
+
+def test_keys_in_names(spark):
+    """Against looking for every key in every name."""
+    import random
+
+    from almoner.operators import allocation
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcÁ ") for _ in range(rng.randint(0, 12))) for _ in range(80)] + [None]
+    keys = ["".join(rng.choice("abcá") for _ in range(rng.randint(0, 5))) for _ in range(60)] + [None]
+    got = {(r["name"], r["key"]) for r in allocation.found_keys(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
+    assert got == {(n, k) for n in names for k in keys if n is not None and k and k.lower() in n.lower()} and len(got) > 100
+    supports = spark.createDataFrame([("Budapest 05", 10.0, 0.0), ("Ózd", 1.0, 3.0), (None, 5.0, 5.0)], "municipality string, amount double, cases double")
+    bridge = spark.createDataFrame([("budapest", 1), ("PEST", 1), ("ózd", 2), ("zz", 3)], "key string, district_id int")
+    assert {tuple(r) for r in allocation.municipal_funding(supports, bridge).collect()} == {(1, 20.0), (2, 3.0)}
+
+
+def test_p_values_as_columns(spark):
+    """Against the helper on the driver, over all sizes of t and degrees of freedom."""
+    from almoner.functions import tails
+
+    rows = [(t, n) for t in (0.0, 0.1, -1.0, 2.5, -7.0, 40.0, 1e4) for n in (1, 2, 3, 10, 100, 5000)] + [(1.0, 0), (None, 5), (float("nan"), 5)]
+    df = spark.createDataFrame(rows, "t double, n int")
+    for r in df.withColumn("p", tails.t_two_sided_column(F.col("t"), F.col("n"))).collect():
+        want = tails.t_two_sided(r["t"], r["n"])
+        assert (r["p"] is None and want is None) or abs(r["p"] - want) < 1e-9
+    r = spark.createDataFrame([(1.0, 5), (0.5, 5), (0.5, 2)], "r double, n int").withColumn("p", tails.correlation_p(F.col("r"), F.col("n"))).collect()
+    assert r[0]["p"] == 0.0 and abs(r[1]["p"] - tails.t_two_sided(0.5 * 3**0.5 / 0.75**0.5, 3)) < 1e-12 and r[2]["p"] is None
+
+
+def test_eligible_third_and_burden_without_children(spark):
+    rows = [(i, 10.0 * i, float(i), 100.0 * i, 5.0, i / 10, float(i % 4), float(-i), i % 2 == 0) for i in range(1, 10)]
+    df = spark.createDataFrame(rows, "district_id int, population double, cases double, expected_cost double, existing_local_funding double, need_score double, score_socioeconomic double, score_healthcare double, eligible boolean")
+    from almoner.operators import allocation
+
+    out = {r["district_id"]: r for r in allocation.wide(df, 900.0, 0.5).collect()}
+    third = [i for i in range(1, 10) if i % 4 >= 2]  # two-thirds quantile of 1,2,3,0,1,2,3,0,1 is 2
+    assert {i for i in out if out[i]["s7"] > 0} == set(third) and out[1]["eligible_units"] == len(third)
+    assert all(abs(sum(r[f"s{k}"] for r in out.values()) - 900.0) < 1e-9 for k in (1, 2, 3, 4, 5, 7)) and out[3]["s0"] == 15.0 and out[3]["s6"] == 285.0
+    given = {r["district_id"] for r in allocation.wide(df, 900.0, 0.5, eligible="eligible").where("s7 > 0").collect()}
+    assert given == {2, 4, 6, 8}
+    none = allocation.wide(df.withColumn("cases", F.lit(0.0)), 900.0, 0.5).first()
+    assert none["s2"] == 0.0
+    districts = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "district_id int, county_id int")
+    people = spark.createDataFrame([(1, 100.0, 10.0), (3, 50.0, 5.0)], "district_id int, people double, jobseekers double")
+    cases = spark.createDataFrame([(1, 30.0), (2, 4.0)], "county_id int, cases double")
+    got = {r["district_id"]: r for r in panel.burden(districts, people, cases, spark.createDataFrame([(1, 60.0)], "county_id int, children double")).collect()}
+    assert got[2]["people"] == 100.0 and got[1]["burden"] == 15.0 and got[1]["burden_hi"] == 22.5 and got[3]["denominator_is"] == "people" and got[3]["burden_rate"] == got[3]["burden_rate_u5"] == 8000.0
+    full = {r["district_id"]: r for r in panel.burden(districts, people, cases, spark.createDataFrame([(1, 60.0), (2, 8.0)], "county_id int, children double")).collect()}
+    assert full[1]["children"] == 30.0 and abs(full[1]["burden_rate_u5"] - 15.0 / (30.0 * 0.34) * 1000) < 1e-9
 
 
 def test_closest_loses_no_similar_name(spark):

@@ -202,3 +202,47 @@ def test_a_batch_that_runs_again(spark, tmp_path):
     assert collect.read(spark, str(tmp_path), "rows").count() == 1 and collect.read(spark, str(tmp_path), "errors").count() == 1 and collect.read(spark, str(tmp_path), "registry").count() == 2
     collect.keep(files.where("false"), 1, str(tmp_path), collect.json_lines, F.lit("s"))
     assert collect.read(spark, str(tmp_path), "registry").count() == 2
+
+
+def _sheet(spark, tables):
+    rows = [(p, s, i, [None if c is None else str(c) for c in r]) for (p, s), table in tables.items() for i, r in enumerate(table)]
+    return spark.createDataFrame(rows, "path string, sheet string, line int, cells array<string>").repartition(3)
+
+
+def test_national_diseases(spark):
+    from almoner.sources import annual
+
+    rows = _sheet(spark, {("k.xlsx", "a"): [["Cím"], ["Év", "Bárányhimlő", "Rotavírus fertőzés", "Más"], ["2019", "30 412", "1 204", "7"], ["2020.", "–", "", "1"], ["Megjegyzés 12", "1", "2"], ["2021", None, "5"]]})
+    got = {(r["year"], r["disease"], r["cases"]) for r in annual.national(rows).collect()}
+    assert got == {(2019, "varicella", 30412), (2019, "rotavirus", 1204), (2021, "rotavirus", 5)}
+
+
+def test_counties_of_yearly_reports(spark):
+    from almoner.sources import annual
+
+    names = spark.createDataFrame([("Pest", "13"), ("Pest vármegye", "13"), ("Győr-Moson-Sopron", "08"), ("Budapest", "01"), ("Főváros Budapest", "01")], "name string, county_id string")
+    rows = _sheet(spark, {
+        ("x/osap_2018.pdf", "9"): [["Terület", "Lyme", "Rotavírus"], ["PEST MEGYE", 1, "1 200"], ["győr-moson-sopron", 2, "–"], ["Budapest", 3, "n.a."], ["Összesen", 6, 1200]],
+        ("x/osap_2019.pdf", "9"): [["Terület", "Lyme"], ["Pest", 1], ["Budapest", 2], ["Győr Moson Sopron", 3]],
+        ("x/osap_2020.pdf", "9"): [["Terület", "Rotavirus"], ["Pest", 1]],
+    })
+    good, queued = annual.counties(rows, names, least=3)
+    assert {(r["county_id"], r["year"], r["cases"]) for r in good.collect()} == {("13", 2018, 1200), ("08", 2018, 0)}
+    assert {(r["path"], r["reason"]) for r in queued.collect()} == {("x/osap_2019.pdf", "no column of rotavirus"), ("x/osap_2020.pdf", "rows of counties: 1")}
+    said = annual.observed(good, spark.createDataFrame([("13", "Pest"), ("08", "GYMS")], "county_id string, geo_name string")).collect()
+    assert {(r["geo_name"], r["value"], str(r["period_end"]), r["source_file"]) for r in said} == {("Pest", 1200.0, "2018-12-31", "osap_2018.pdf"), ("GYMS", 0.0, "2018-12-31", "osap_2018.pdf")}
+    weekly = spark.createDataFrame([("13", 2018, 700.0), ("13", 2018, 500.4), ("08", 2018, 3.0), ("01", 2018, 1.0)], "county_id string, iso_year int, value double")
+    checked = {r["county_id"]: (r["weekly"], r["annual"], r["agrees"]) for r in annual.cross_check(weekly, good).collect()}
+    assert checked["13"][2] and not checked["08"][2] and checked["01"] == (1.0, None, False)
+
+
+def test_decree_annex(spark):
+    from almoner.sources import annual
+
+    head = ["Sorszám", "Régió", "Vármegye", "Járás", "Népesség", "Komplex", "Rang", "Kedv.", "Fejl.", "Program"]
+    rows = _sheet(spark, {("d.html", "0"): [["a", "b"], ["c", "d"], ["e", "f"], ["g", "h"], ["i", "j"], ["k", "l"]], ("d.html", "1"): [head, ["1.", "É", "B", "Encsi", "20 123", "−8,37", "1.", "1", "1", "1"], ["2.", "É", "B", "Ongai", "1 000", "46,68", "2", "", "x", "3"], [None, None, None, "Összesen", "9"], [None]]})
+    got = {r["district_name"]: r for r in annual.annex(rows).collect()}
+    assert set(got) == {"Encsi", "Ongai"} and got["Ongai"]["development"] == 46.68 and got["Encsi"]["population"] == 20123
+    assert [got["Encsi"][c] for c in annual.ANNEX[7:]] == [1, 1, 1] and [got["Ongai"][c] for c in annual.ANNEX[7:]] == [0, 0, 1]
+    good, rest = annual.annex_of(annual.annex(rows), spark.createDataFrame([("Encsi", "7"), ("Ongai", None)], "name string, district_id string"))
+    assert [(r["district_id"], r["rank"]) for r in good.collect()] == [("007", 1)] and [r[0] for r in rest.collect()] == ["Ongai"]
