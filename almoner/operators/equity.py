@@ -114,26 +114,29 @@ def worst_fifth_share(df: DataFrame, aid: str, need: str, group: list[str], tie:
     return placed.groupBy(*group).agg(nulls.ratio(F.sum(F.when(F.col("__bin") == 4, F.col("__y")).otherwise(0.0)), F.sum("__y")).alias("worst_fifth_share"))
 
 
-def summary(df: DataFrame, aid: str, need: str, by: str, group: list[str], tie: str = "district_id") -> DataFrame:
+def summary(df: DataFrame, aid: str, need: str, by: str, group: list[str], tie: str = "district_id", digits: tuple[int, int] | None = None) -> DataFrame:
     """All of these in a row for each group, over rows where aid and need are known.
 
     Rows are numbered along need once and along aid once, in slices; then all measures but Theil's parts are one aggregation.
+    digits: of aid and need, to which they are rounded where they are compared (overlap, rank correlation), so that noise in
+    the last bits parts no ties; sums and orders take them as they are.
     """
     x, r = nulls.known(F.col(aid).cast("double")), nulls.known(F.col(need).cast("double"))
-    known = df.where(x.isNotNull() & r.isNotNull()).select(*group, tie, by, x.alias("__x"), r.alias("__r"))
-    rows = _with_cuts(order.numbered(order.numbered(known, group, [F.col("__r"), F.col(tie)], "__k"), group, [F.col("__x"), F.col(tie)], "__i"), "__x", "__r", group, 0.9)
+    coarse = [F.round(v, k) for v, k in zip((x, r), digits, strict=True)] if digits else [x, r]
+    known = df.where(x.isNotNull() & r.isNotNull()).select(*group, tie, by, x.alias("__x"), r.alias("__r"), coarse[0].alias("__xc"), coarse[1].alias("__rc"))
+    rows = _with_cuts(order.numbered(order.numbered(known, group, [F.col("__r"), F.col(tie)], "__k"), group, [F.col("__x"), F.col(tie)], "__i"), "__xc", "__rc", group, 0.9)
     n, s, sr, c = F.count("*"), F.sum("__x"), F.sum("__r"), F.col
     share = F.when(s == 0, F.lit(0.0))
-    needy = c("__r") >= c("__cut_need")
+    needy = c("__rc") >= c("__cut_need")
     last = ranks.fifth(c("__k"), c("n")) == 4
     out = rows.groupBy(*group).agg(
         share.otherwise(2 * F.sum(c("__x") * ((c("__k") - 0.5) / c("n") - 0.5)) / F.nullif(s, F.lit(0.0))).alias("ci"),
         F.when(sr == 0, F.lit(0.0)).otherwise(2 * F.sum(c("__k") * c("__r")) / F.nullif(n * sr, F.lit(0.0)) - (n + 1) / n).alias("gini_need"),
         share.otherwise(2 * F.sum(c("__i") * c("__x")) / F.nullif(n * s, F.lit(0.0)) - (n + 1) / n).alias("gini"),
-        nulls.ratio(F.sum((needy & (c("__x") >= c("__cut_aid"))).cast("long")), F.sum(needy.cast("long"))).alias("overlap"),
+        nulls.ratio(F.sum((needy & (c("__xc") >= c("__cut_aid"))).cast("long")), F.sum(needy.cast("long"))).alias("overlap"),
         nulls.ratio(F.sum(F.when(last, c("__x")).otherwise(0.0)), s).alias("worst_fifth_share"),
     ).withColumn("kakwani", F.col("ci") - F.col("gini_need"))
-    return out.join(theil(known, "__x", by, group), group).join(spearman(known, "__x", "__r", group), group)
+    return out.join(theil(known, "__x", by, group), group).join(spearman(known, "__xc", "__rc", group), group)
 
 
 def trend(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:

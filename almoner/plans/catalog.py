@@ -606,7 +606,7 @@ _MEAN_RANKS = "mr AS (SELECT scenario_id, rank() OVER (PARTITION BY scenario_id
 
 @query(f"{_POS}, {_THEIL}, {_OVER}, {_MEAN_RANKS}, e AS (SELECT scenario_id, {_CI} AS ci, {_GINI_NEED} AS gini_need, {_GINI} AS gini, sum(CASE WHEN greatest(ceil((k - 1) * 5.0 / (n - 1)), 1) - 1 = 4 THEN x ELSE 0 END) / sum(x) AS w FROM g GROUP BY 1) SELECT scenario_id, round(ci, 4) AS ci, round(gini_need, 4) AS gini_need, round(ci - gini_need, 4) AS kakwani, round(gini, 4) AS gini, round(theil, 4) AS theil, round(theil - within, 4) AS \"between\", round(within, 4) AS within, round(overlap, 4) AS overlap, round(w, 4) AS worst_fifth_share, round(rho, 4) AS rho FROM e JOIN th USING (scenario_id) JOIN ov USING (scenario_id) JOIN sp USING (scenario_id)")
 def equity_summary(s: SparkSession, d: str) -> DataFrame:
-    out = equity.summary(_coarse(s, d), "aid_amount", "need_score", "region_id", ["scenario_id"])
+    out = equity.summary(allocated(s, d), "aid_amount", "need_score", "region_id", ["scenario_id"], digits=(2, 6))
     return rounded(out.select("scenario_id", "ci", "gini_need", "kakwani", "gini", "theil", "between", "within", "overlap", "worst_fifth_share", "rho"), 4)
 
 

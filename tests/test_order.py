@@ -40,6 +40,19 @@ def test_quantiles_equal_sorting(spark, monkeypatch, buffered):
             assert got[None if g < 0 else int(g), "none", p] is None
 
 
+def test_summary_rounds_only_what_it_compares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0.001, 0.03, 200)
+    df = spark.createDataFrame([(0, i, i % 3, float(v), float(i)) for i, v in enumerate(x)], "g int, district_id int, region_id int, aid double, need double")
+    made = lambda **kw: equity.summary(df, "aid", "need", "region_id", ["g"], **kw).first().asDict()
+    raw, coarse = made(), made(digits=(2, 6))
+    for c in ("ci", "gini", "theil", "between", "within", "worst_fifth_share"):
+        assert np.isclose(coarse[c], raw[c], rtol=1e-12), c
+    assert np.isclose(raw["theil"], (x / x.mean() * np.log(x / x.mean())).mean(), rtol=1e-9)
+    ranked = pd.Series(x.round(2)).rank().corr(pd.Series(np.arange(200.0)))
+    assert np.isclose(coarse["rho"], ranked) and not np.isclose(raw["rho"], ranked)
+
+
 def test_quantiles_of_few_rows(spark):
     df = spark.createDataFrame([(1, None), (2, 3.0), (2, float("nan"))], "g int, x double")
     assert {(r["g"], r["value"]) for r in selection.quantiles(df, ["g"], {"x": F.col("x")}, [0.5]).collect()} == {(1, None), (2, 3.0)}
