@@ -37,7 +37,10 @@ def double_of(bits: pd.Series) -> pd.Series:
 
 
 def quantiles(df: DataFrame, group: list[str], values: dict[str, Column], probs: list[float]) -> DataFrame:
-    """group, name, prob, value: quantiles of the known values (not NULL, not NaN), linear between neighbours; NULL where there are none."""
+    """group, name, prob, value: quantiles of the known values (not NULL, not NaN), linear between neighbours; NULL where there are none.
+
+    Between two equal values it is that value, to the last bit, so that a comparison with it takes in all ties.
+    """
     names = list(values)
     wide = df.select(*group, *[F.nanvl(v.cast("double"), F.lit(None).cast("double")).alias(f"__v{i}") for i, v in enumerate(values.values())])
     long = wide.select(*group, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"__v{i}").alias("x")) for i in range(len(names))])).alias("__p")).select(*group, F.col("__p.c").alias("__c"), F.col("__p.x").alias("__x"))
@@ -93,7 +96,7 @@ def _selected(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     values = open_.select("__id", "k", double_of(F.col("prefix").bitwiseXOR(F.lit(-0x8000000000000000))).alias("x"))
     both = at.join(values, ["__id", "k"]).groupBy("__id", "prob").agg(F.max("part").alias("part"), F.min_by("x", "k").alias("lo"), F.max_by("x", "k").alias("hi"))
     named = both.join(names, "__id")
-    return named.select(*keys, "prob", F.when(F.col("part") == 0, F.col("lo")).otherwise(F.col("lo") * (1 - F.col("part")) + F.col("hi") * F.col("part")).alias("value"))
+    return named.select(*keys, "prob", F.when((F.col("part") == 0) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("lo") * (1 - F.col("part")) + F.col("hi") * F.col("part")).alias("value"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

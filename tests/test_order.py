@@ -40,6 +40,19 @@ def test_quantiles_equal_sorting(spark, monkeypatch, buffered):
             assert got[None if g < 0 else int(g), "none", p] is None
 
 
+@pytest.mark.parametrize("buffered", [1 << 16, 1])
+def test_a_quantile_between_ties_is_their_value(spark, monkeypatch, buffered):
+    monkeypatch.setattr(selection, "BUFFERED", buffered)
+    values = [v / 100 for v in range(101, 8101, 100)]
+    assert any(v * (1 - (7 * 0.9 - 6)) + v * (7 * 0.9 - 6) != v for v in values)  # weights that miss it by a bit
+    df = spark.createDataFrame([(g, v) for g, v in enumerate(values) for _ in range(8)], "g int, x double")
+    got = {r["g"]: r["value"] for r in selection.quantiles(df, ["g"], {"x": F.col("x")}, [0.9]).collect()}
+    assert got == dict(enumerate(values))
+    # all ties at the cut are in
+    overlap = equity.top_overlap(df, "x", "x", ["g"]).collect()
+    assert len(overlap) == len(values) and all(r["overlap"] == 1.0 for r in overlap)
+
+
 def test_summary_rounds_only_what_it_compares(spark):
     rng = np.random.default_rng(3)
     x = rng.uniform(0.001, 0.03, 200)
