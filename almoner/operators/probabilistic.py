@@ -21,8 +21,12 @@ from ..functions.lineage import cut
 from . import need as needs
 from .allocation import AllocationError, Scenario, prepare
 
-#: Numbers of a block's matrix.
-CELLS = 1 << 18
+#: Numbers of a block's matrix: half a megabyte, of which a core's cache holds some.
+CELLS = 1 << 16
+#: Numbers of a task, at most where there are several rows: about half a minute of gammas.
+TASK_CELLS = 1 << 26
+#: Rows at either end of their reach of need that are run first, to rule others out.
+SEEDS = 4096
 # Streams of the counters.
 COST, RISK_A, RISK_B, PARAMETER, WEIGHT, ETA, BURDEN, NOISE, REPLICATE = range(9)
 
@@ -38,6 +42,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], draws: int) -> Iterator[Block]:
             yield {name: part.column(i).to_numpy(zero_copy_only=False)[:, None] for i, name in enumerate(part.schema.names)}
 
 
+def dealt(rows: DataFrame, draws: int) -> tuple[DataFrame, int]:
+    """rows, kept, and their number: in parts of at most TASK_CELLS numbers of all draws, and enough of them for all cores.
+
+    A row is little to read but `draws` numbers to make, so parts that are cut by bytes would leave most cores without work.
+    """
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return cut(rows.repartition(max(1, min(n, max(3 * cores, -(-n * draws // TASK_CELLS)))))), n
+
+
 def folded(rows: DataFrame, draws: int, made: Callable[[Block], dict[str, np.ndarray]], how: dict[str, str]) -> dict[str, np.ndarray]:
     """For each name in how an array over the draws: the sum, min or max over all rows of the matrix that made gives of a block."""
     ufunc = {"sum": np.add, "min": np.minimum, "max": np.maximum}
@@ -66,14 +79,24 @@ def spread(rows: DataFrame, draws: int, made: Callable[[Block], np.ndarray], low
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, draws):
             matrix = made(block)
-            lo, hi = np.quantile(matrix, [low, high], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(block[unit][:, 0], pa.int64()), pa.array(matrix.mean(axis=1)), pa.array(lo), pa.array(hi)], names=["unit", "mean", "low", "high"])
+            mean, ordered = matrix.mean(axis=1), np.sort(matrix, axis=1)  # of doubles faster than a selection
+            yield pa.RecordBatch.from_arrays([pa.array(block[unit][:, 0], pa.int64()), pa.array(mean), *[pa.array(_placed(ordered, q)) for q in (low, high)]], names=["unit", "mean", "low", "high"])
 
     return rows.mapInArrow(run, "unit long, mean double, low double, high double")
 
 
+def _placed(ordered: np.ndarray, q: float) -> np.ndarray:
+    """The quantile of each row of sorted numbers, linear between neighbours."""
+    at = (ordered.shape[1] - 1) * q
+    k = int(at)
+    lo, hi = ordered[:, k], ordered[:, min(k + 1, ordered.shape[1] - 1)]
+    return np.where(lo == hi, lo, lo + (hi - lo) * (at - k))
+
+
 def _between(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return np.where(high == low, 0.5, (x - low) / np.where(high == low, 1.0, high - low))
+    flat = high == low
+    out = (x - low) / np.where(flat, 1.0, high - low)
+    return np.where(flat, 0.5, out) if np.any(flat) else out
 
 
 def psa(df: DataFrame, draws: int, seed: int, budget: float, index: needs.Index, scenario: Scenario, incidence: str, cost: str = "expected_cost", cv: float = 0.3, a: float = 8.0, b: float = 2.0, unit: str = "district_id") -> DataFrame:
@@ -81,8 +104,10 @@ def psa(df: DataFrame, draws: int, seed: int, budget: float, index: needs.Index,
 
     Incidence is beta(a f, b (1 - f)) times the most, with f a unit's part of the most. In each draw the need index is made
     anew with the drawn incidence, and the scenario is run with it. The index has z-scores; its dimension that holds the
-    incidence may hold other variables too. Missing cost and incidence are 0. Passes: moments of the drawn incidence,
-    moments of its dimension, extremes of need, the sum to share by, and the results.
+    incidence may hold other variables too. Missing cost and incidence are 0. Passes: moments of the drawn incidence, from
+    which those of its dimension follow; extremes of need; the sum to share by; and the results. The extremes are looked
+    for only where they can be: a unit's need is bounded by an incidence of 0 and of the most, and once SEEDS units at
+    either end of these bounds have been run, units whose bounds don't pass what was found are left out of that pass.
     """
     if index.standardise != "zscore" or index.aggregate not in ("mpi", "weighted_sum"):
         raise ValueError("a drawn index needs z-scores, and mpi or weighted_sum")
@@ -97,13 +122,13 @@ def psa(df: DataFrame, draws: int, seed: int, budget: float, index: needs.Index,
     zero = F.lit(0.0)
     known = lambda c: F.coalesce(nulls.known(F.col(c).cast("double")), zero)
     prepared = prepare(again)
-    rows = cut(prepared.select(
+    rows, n = dealt(prepared.select(
         F.col(unit).cast("long").alias("unit"), known(cost).alias("cost"), known(incidence).alias("x"),
         (F.col("score_rest") * float(len(rest)) if rest else zero).alias("rest"), *[F.coalesce(F.col(f"z_{c}"), zero).alias(f"z{i}") for i, c in enumerate(names)],
         F.col("aux_population").alias("population"), F.col("aux_local").alias("local"), F.col("aux_revenue").alias("revenue"), F.coalesce("fiscal", zero).alias("fiscal"), F.col("aux_eligible").cast("double").alias("eligible"),
         F.col("aux_socioeconomic").alias("socioeconomic"), F.col("aux_healthcare").alias("healthcare"),
-    ))
-    n, most = rows.agg(F.count("*"), F.max("x")).first()
+    ), draws)
+    most, rest_mean, rest_var = rows.agg(F.max("x"), F.avg("rest"), F.var_pop("rest")).first()
     if not n:
         return spread(rows, draws, lambda block: np.zeros((0, draws))).withColumnRenamed("unit", unit)
     most, d = most or 1.0, np.arange(draws)
@@ -114,32 +139,82 @@ def psa(df: DataFrame, draws: int, seed: int, budget: float, index: needs.Index,
     def drawn_incidence(block: Block) -> np.ndarray:
         f = np.clip(block["x"] / most, 1e-6, 1 - 1e-6)
         x, y = counter.gamma(counter.at(seed, RISK_A, block["unit"], d), a * f), counter.gamma(counter.at(seed, RISK_B, block["unit"], d), b * (1 - f))
-        return np.where(x + y > 0, x / np.where(x + y > 0, x + y, 1.0), 0.0) * most
+        y += x
+        if not y.all():
+            y[y == 0] = 1.0  # x is 0 there too
+        x /= y
+        x *= most
+        return x
+
+    def own_term(block: Block, x: np.ndarray) -> np.ndarray:
+        """The own dimension's part of need where its incidence is x, which may be changed; on its scale again for mpi: a line of x for each draw."""
+        step, base = sign * told["over_sd"] / m, sign * (block["rest"] - told["mean"] * told["over_sd"]) / m
+        if index.aggregate == "mpi":
+            step, base = step * told["over_own_sd"], (base - told["own_mean"]) * told["over_own_sd"]
+        x = np.multiply(x, step, out=x if x.shape == (len(block["unit"]), draws) else None)
+        return np.add(x, base, out=x)
 
-    def own_score(block: Block) -> np.ndarray:
-        sd = told["sd"]
-        z = np.where(sd > 0, (drawn_incidence(block) - told["mean"]) / np.where(sd > 0, sd, 1.0), 0.0)
-        return sign * (z + block["rest"]) / m
+    def others_of(block: Block) -> list[np.ndarray]:
+        return [block[f"z{i}"] for i in range(len(others))]
 
-    def need(block: Block) -> np.ndarray:
-        z = [np.broadcast_to(block[f"z{i}"], (len(block["unit"]), draws)) for i in range(len(others))]
-        if own:
-            s = own_score(block)
-            z.append(s if index.aggregate != "mpi" else np.where(told["own_sd"] > 0, (s - told["own_mean"]) / np.where(told["own_sd"] > 0, told["own_sd"], 1.0), 0.0))
+    def need_at(z: list[np.ndarray]) -> np.ndarray:
         if index.aggregate == "weighted_sum":
             return sum(w * x for w, x in zip(weights, z, strict=True))
+        # with y = 100 + 10 z: the mean less the variance over the mean is twice the mean less the sum of squares over the sum
         y = [100 + 10 * x for x in z]
-        mean = sum(y) / len(y)
-        variance = sum((x - mean) ** 2 for x in y) / len(y)
-        return mean - variance / mean
-
-    def moments(made: Callable[[Block], np.ndarray], middle: float, ddof: int) -> tuple[np.ndarray, np.ndarray]:
-        def sums(block: Block) -> dict[str, np.ndarray]:
-            v = made(block) - middle
-            return {"s": v, "q": v * v}
-
-        got = folded(rows, draws, sums, {"s": "sum", "q": "sum"})
-        return middle + got["s"] / n, np.sqrt(np.maximum(got["q"] - got["s"] ** 2 / n, 0.0) / max(n - ddof, 1))
+        one, k = sum(y[:-1], 0.0), len(y)
+        square = sum((x * x for x in y[:-1]), 0.0)  # columns of units, but for the last
+        whole = y[-1] + one
+        out = y[-1] * y[-1]
+        out = (out + square) / whole
+        return whole * (2 / k) - out
+
+    def need(block: Block, drawn: np.ndarray | None = None) -> np.ndarray:
+        z = others_of(block)
+        if own:
+            z.append(own_term(block, drawn_incidence(block) if drawn is None else drawn))
+        return np.broadcast_to(need_at(z), (len(block["unit"]), draws))
+
+    def reach(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Between what need lies for each unit, whatever is drawn: at the ends of its incidence, and for mpi (concave while the sum is positive) at its top between them."""
+        shape = (len(block["unit"]), draws) if rest else (1, draws)
+        part = block if rest else {"unit": block["unit"][:1], "rest": np.zeros((1, 1))}
+        ends = [own_term(part, np.full(shape, x)) for x in (0.0, most)]
+        slack = lambda x: 1e-9 * (1 + np.abs(x))
+        low, high = np.minimum(*ends).min(axis=1, keepdims=True), np.maximum(*ends).max(axis=1, keepdims=True)
+        low, high = low - slack(low), high + slack(high)
+        z = others_of(block)
+        tried = [np.broadcast_to(need_at([*z, x]), block["unit"].shape) for x in (low, high)]
+        least, greatest = np.minimum(*tried), np.maximum(*tried)
+        if index.aggregate == "mpi":
+            y = [100 + 10 * x for x in z]
+            one, k = sum(y, np.zeros(block["unit"].shape)), len(y) + 1
+            if k > 2:
+                top = np.sqrt((sum(x * x for x in y) + one * one) / (1 - 2 / k)) - one
+                greatest = np.maximum(greatest, need_at([*z, np.clip((top - 100) / 10, low, high)]))
+            unbounded = ~(one + 100 + 10 * low > 0)
+            least, greatest = np.where(unbounded, -np.inf, least), np.where(unbounded, np.inf, greatest)
+        return least - slack(least), greatest + slack(greatest)
+
+    def able() -> DataFrame:
+        """The rows among which each draw's least and greatest need are."""
+        if not own or n <= 4 * SEEDS:
+            return rows
+        made = T.StructType([*rows.schema.fields, T.StructField("least", T.DoubleType()), T.StructField("greatest", T.DoubleType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ends = [reach(block) for block in _blocks(iter([batch]), draws if rest else 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.concatenate([e[i][:, 0] for e in ends]) if ends else np.zeros(0)) for i in (0, 1)]], names=made.names)
+
+        bounded = rows.mapInArrow(run, made)
+        first = cut(bounded.orderBy("least").limit(SEEDS).union(bounded.orderBy(F.desc("greatest")).limit(SEEDS)).select(*rows.columns).repartition(3 * rows.sparkSession.sparkContext.defaultParallelism))
+        found = extremes(first)
+        return bounded.where((F.col("least") <= float(found["low"].max())) | (F.col("greatest") >= float(found["high"].min()))).select(*rows.columns)
+
+    def extremes(among: DataFrame) -> dict[str, np.ndarray]:
+        term = need if scenario.need == "full" else drawn_incidence
+        return folded(among, draws, lambda block: (lambda x: {"low": x, "high": x})(term(block)), {"low": "min", "high": "max"})
 
     def raw(block: Block) -> np.ndarray:
         s = scenario
@@ -152,19 +227,30 @@ def psa(df: DataFrame, draws: int, seed: int, budget: float, index: needs.Index,
         factor = block["population"] if s.base == "population" else 1.0
         if s.cost == "expected_cost":
             mu = np.maximum(block["cost"], 0.0)
-            factor = factor * np.where(mu > 0, counter.gamma(counter.at(seed, COST, block["unit"], d), 1 / cv**2) * mu * cv**2, 0.0)
+            factor = factor * (counter.gamma(counter.at(seed, COST, block["unit"], d), 1 / cv**2) * (mu * cv**2))
         out = factor * (1 + s.eta * np.maximum(term, 0.0) ** s.alpha) * (1 - s.kappa * block["fiscal"])
         out = np.maximum(out - (block["local"] if s.less_local else 0.0) - s.phi * block["revenue"], s.floor)
         out = np.where(block["eligible"] > 0, out, 0.0) if s.eligible_only else out
         return np.broadcast_to(block["local"] if s.passthrough else out, (len(block["unit"]), draws))
 
     if scenario.need == "full" and own:
-        told["mean"], told["sd"] = moments(drawn_incidence, float(most) / 2, index.ddof)
-        if index.aggregate == "mpi":
-            told["own_mean"], told["own_sd"] = moments(own_score, 0.0, 0)
+        middle = float(most) / 2
+
+        def sums(block: Block) -> dict[str, np.ndarray]:
+            v = drawn_incidence(block) - middle
+            return {"s": v, "q": v * v} | ({"r": v * (block["rest"] - rest_mean)} if rest else {})
+
+        got = folded(rows, draws, sums, {"s": "sum", "q": "sum"} | ({"r": "sum"} if rest else {}))
+        square = np.maximum(got["q"] - got["s"] ** 2 / n, 0.0)
+        told["mean"], sd = middle + got["s"] / n, np.sqrt(square / max(n - index.ddof, 1))
+        told["over_sd"] = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1.0), 0.0)
+        # the dimension's: of the mean of the drawn incidence's z-scores, which are about 0, and the other variables'
+        told["own_mean"] = sign * np.full(draws, rest_mean) / m
+        both = 2 * got["r"] / n * told["over_sd"] if rest else 0.0
+        own_sd = np.sqrt(np.maximum(square / n * told["over_sd"] ** 2 + both + (rest_var if rest else 0.0), 0.0)) / m
+        told["over_own_sd"] = np.where(own_sd > 0, 1 / np.where(own_sd > 0, own_sd, 1.0), 0.0)
     if scenario.need in ("full", "epidemiological"):
-        term = need if scenario.need == "full" else drawn_incidence
-        ends = folded(rows, draws, lambda block: (lambda x: {"low": x, "high": x})(term(block)), {"low": "min", "high": "max"})
+        ends = extremes(able() if scenario.need == "full" else rows)
         told["low"], told["high"] = ends["low"], ends["high"]
     if not scenario.normalise or scenario.passthrough:
         return spread(rows, draws, raw).withColumnRenamed("unit", unit)
@@ -229,6 +315,7 @@ def progressivity(df: DataFrame, draws: int, seed: int, weights: dict[str, float
     placed = order.numbered(z.where(F.col(need).isNotNull()), [], [F.col(need), F.col(unit)], "pos")
     fifth = F.greatest(F.ceil((F.col("pos") - 1) * 5 / F.greatest(F.col("n") - 1, F.lit(1))), F.lit(1)) - 1
     rows = cut(placed.select(F.col(unit).cast("long").alias("unit"), F.coalesce(F.col(burden).cast("double"), F.lit(0.0)).alias("burden"), ((F.col("pos") - 0.5) / F.col("n") - 0.5).alias("off"), (fifth == 4).cast("double").alias("last"), *[F.coalesce(F.col(f"z_{x}"), F.lit(0.0)).alias(f"z{i}") for i, x in enumerate(names)]))
+    rows, _ = dealt(rows, draws)
     d = np.arange(draws)
     w = dirichlet_weights(draws, seed, list(weights.values()), concentration)
     eta = 0.2 + 0.8 * counter.uniform(counter.at(seed, ETA, 0, d))
@@ -257,8 +344,7 @@ def top_frequency(df: DataFrame, draws: int, seed: int, weights: dict[str, float
     units of each draw are in.
     """
     names = list(weights)
-    rows = cut(df.select(F.col(unit).cast("long").alias("unit"), *[F.coalesce(F.col(f"score_{x}").cast("double"), F.lit(0.0)).alias(f"z{i}") for i, x in enumerate(names)]))
-    n = rows.count()
+    rows, n = dealt(cut(df.select(F.col(unit).cast("long").alias("unit"), *[F.coalesce(F.col(f"score_{x}").cast("double"), F.lit(0.0)).alias(f"z{i}") for i, x in enumerate(names)])), draws)
     k = max(1, int(n * part))
     w = dirichlet_weights(draws, seed, list(weights.values()), concentration)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almoner.functions import counter, order, selection
-from almoner.operators import equity, need, probabilistic, validation
+from almoner.operators import allocation, equity, need, probabilistic, validation
 
 
 def _rows(spark, n=3000, seed=1):
@@ -66,6 +66,30 @@ def test_summary_rounds_only_what_it_compares(spark):
     assert np.isclose(coarse["rho"], ranked) and not np.isclose(raw["rho"], ranked)
 
 
+def test_monte_carlo_rows_are_dealt_to_all_cores_and_extremes_pruned(spark, monkeypatch):
+    n, draws = 300, 40
+    rng = np.random.default_rng(8)
+    panel = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(rng.uniform(0, 0.1, n), rng.normal(size=n), rng.gamma(2.0, 100.0, n), strict=True))], "district_id long, discount double, x double, expected_cost double").coalesce(1)
+    dealt, found = probabilistic.dealt(panel, draws)
+    assert found == n and dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(probabilistic, "TASK_CELLS", 10 * draws)
+    assert probabilistic.dealt(panel, draws)[0].rdd.getNumPartitions() == 30
+    monkeypatch.undo()
+    folded, seen = probabilistic.folded, []
+    monkeypatch.setattr(probabilistic, "folded", lambda rows, *rest: seen.append(rows.count()) or folded(rows, *rest))
+    scenario = allocation.SCENARIOS[5]
+    for own, aggregate in ((["discount"], "mpi"), (["discount", "x"], "mpi"), (["discount"], "weighted_sum")):
+        index = need.Index([need.Dimension("a", 0.5, own), need.Dimension("b", 0.3, ["x"]), need.Dimension("c", 0.2, ["expected_cost"], inverse=True)], aggregate=aggregate)
+        made = lambda: probabilistic.psa(panel, draws, 3, 1e6, index, scenario, "discount").toPandas().sort_values("district_id").reset_index(drop=True)  # noqa: E731, B023
+        whole = made()
+        monkeypatch.setattr(probabilistic, "SEEDS", 8)
+        seen.clear()
+        pruned = made()
+        monkeypatch.setattr(probabilistic, "SEEDS", 4096)
+        assert len(seen) == 4 and seen[1] <= 16 and seen[2] < n and seen[3] == n
+        pd.testing.assert_frame_equal(whole, pruned, rtol=1e-12)
+
+
 def test_quantiles_of_few_rows(spark):
     df = spark.createDataFrame([(1, None), (2, 3.0), (2, float("nan"))], "g int, x double")
     assert {(r["g"], r["value"]) for r in selection.quantiles(df, ["g"], {"x": F.col("x")}, [0.5]).collect()} == {(1, None), (2, 3.0)}
