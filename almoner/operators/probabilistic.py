@@ -23,8 +23,8 @@ from .allocation import AllocationError, Scenario, prepare
 
 #: Numbers of a block's matrix: half a megabyte, of which a core's cache holds some.
 CELLS = 1 << 16
-#: Numbers of a task, at most where there are several rows: about half a minute of gammas.
-TASK_CELLS = 1 << 26
+#: Numbers of a task, at most where there are several rows: 10 to 20 seconds of gammas.
+TASK_CELLS = 1 << 25
 #: Rows at either end of their reach of need that are run first, to rule others out.
 SEEDS = 4096
 # Streams of the counters.
