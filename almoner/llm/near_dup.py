@@ -15,6 +15,7 @@ Their members that have not met each other, and all texts of SHORT words or fewe
 SIMILARITY of a text, two similar texts share one of the rarest 1 - SIMILARITY of their words, so each text is filed under
 these (rare by counts over all that is left) and meets only what shares one. A word shared by many is cut into blocks of
 BLOCK members, each pair of blocks a group of its own.
+Words leave the stored texts only for comparisons: a member's go to its leaders, and keys are made where the texts are.
 Candidates are excluded by lengths and by words counted in BINS, where these rule out the similarity, and else verified
 by banded alignment: bit-parallel longest common subsequence, restricted to the diagonals that a similar pair cannot leave.
 Words are lower-case runs of letters and digits. Texts of equal words are one node from the beginning. Classes are
@@ -162,11 +163,14 @@ def picked(x: np.ndarray, picks: int = PICKS, factor: np.ndarray = FACTOR) -> np
 
 
 def buckets(picks: np.ndarray) -> np.ndarray:
-    """A name for each sketch of each text: its function and its k-mers in order; picks: texts x functions x k-mers."""
+    """A name of 48 bits for each sketch of each text: its function and its k-mers in order; picks: texts x functions x k-mers.
+
+    Texts that share a name by chance are compared like others, so shorter names cost comparisons, not results.
+    """
     x = np.broadcast_to(np.arange(SKETCHES, dtype=np.uint64) * BASE, picks.shape[:2])
     for j in range(picks.shape[2]):
         x = mix(x + picks[:, :, j] + np.uint64(j + 1))
-    return x.view(np.int64)
+    return (x >> np.uint64(16)).view(np.int64)
 
 
 class Masks:
@@ -307,21 +311,26 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def gathered(made: DataFrame) -> DataFrame:
-    """bucket, node, leader: in each bucket the first texts of batches under the least of them, and the other texts under the first of their batch."""
+    """leader, node, buckets: in each bucket the first texts of batches under the least of them, and the other texts under the first of their batch."""
     heads = made.select("node", F.explode("buckets").alias("bucket"))
     above = heads.withColumn("leader", F.min("node").over(Window.partitionBy("bucket"))).where("node != leader").select("bucket", "node", "leader")
     within = made.select("node", F.explode(F.arrays_zip("joined", "heads")).alias("x")).select("x.joined", "node", "x.heads")
-    return above.union(within).distinct()
+    return above.union(within).groupBy("leader", "node").agg(F.collect_set("bucket").alias("buckets"))
 
 
 def unmet(state: DataFrame, labels: DataFrame) -> DataFrame:
     """node of buckets in which texts of different labels have not met: each text has met its leader, and nothing else."""
     of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
-    pairs = state.select("leader", "node").distinct().join(of("node", "label"), "node", "left").join(of("leader", "over"), "leader", "left")
-    left = state.join(pairs.withColumns({"label": F.coalesce("label", "node"), "over": F.coalesce("over", "leader")}), ["leader", "node"])
-    by = left.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("several"), (F.min("leader") < F.max("leader")).alias("deep"), F.max(F.col("label") != F.col("over")).alias("differ"))
+    met = state.join(of("node", "label"), "node", "left").join(of("leader", "over"), "leader", "left")
+    met = c.stored(met.withColumns({"label": F.coalesce("label", "node"), "over": F.coalesce("over", "leader")}), "met")
+    # where no text's label differs from its leader's, a bucket has one label
+    differ = c.stored(met.where("label != over").select(F.explode("buckets").alias("bucket")).distinct(), "differ")
+    left = sieved(met.select("node", "leader", "label", F.explode("buckets").alias("bucket")), differ, "bucket").join(differ, "bucket")
+    by = left.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("several"), (F.min("leader") < F.max("leader")).alias("deep"))
     ends = F.when(F.col("deep"), F.array("node", "leader")).otherwise(F.array("node"))
-    return state.join(by.where("several or deep and differ").select("bucket", "deep"), "bucket").select("node", "leader", "deep").distinct().select(F.explode(ends).alias("node")).distinct()
+    open_ = c.stored(left.join(by.where("several or deep"), "bucket").select("node", "leader", "deep").distinct().select(F.explode(ends).alias("node")).distinct(), "unmet")
+    c.dropped(met, differ)
+    return open_
 
 
 def _with(pairs: DataFrame, texts: DataFrame, *what: str) -> DataFrame:
@@ -345,8 +354,8 @@ def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return _with(pairs, texts, "n", "bins").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; texts: node, words."""
+def verified(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b), a < b, whose texts are similar; pairs: a, b, words_a, words_b, best in order of a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -359,18 +368,32 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 keep.append(similar(first, np.frombuffer(unpack.decompress(y.as_py()), "<u4"), least, known))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return _with(pairs, texts, "words").mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def led(texts: DataFrame) -> DataFrame:
+    """a, b, words_a, words_b: each text b with its leaders a; texts: stored node, words, leaders."""
+    b = texts.select(F.explode("leaders").alias("a"), F.col("node").alias("b"), F.col("words").alias("words_b"))
+    leaders = c.stored(texts.select(F.explode("leaders").alias("node")).distinct(), "leaders")
+    a = sieved(texts.select("node", "words"), leaders).withColumnsRenamed({"node": "a", "words": "words_a"})
+    return b.join(a, "a").select("a", "b", "words_a", "words_b")
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
     """How often labelled words occur in all texts, by the cell of their hash; of a fixed size, so any task may hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, total = zstandard.ZstdDecompressor(), np.zeros(1 << RARE_BITS, np.int64)
+        unpack, total, cells, held = zstandard.ZstdDecompressor(), np.zeros(1 << RARE_BITS, np.int64), [], 0
         for batch in batches:
             for x in batch.column(0):
                 w = labelled(mix(np.frombuffer(unpack.decompress(x.as_py()), "<u4").astype(np.uint64)))
-                total += np.bincount((w >> np.uint64(64 - RARE_BITS)).astype(np.int64), minlength=len(total))
+                cells.append((w >> np.uint64(64 - RARE_BITS)).astype(np.int64))
+                held += len(w)
+                if held >= len(total):  # counting takes a pass over all cells
+                    total += np.bincount(np.concatenate(cells), minlength=len(total))
+                    cells, held = [], 0
+        if cells:
+            total += np.bincount(np.concatenate(cells), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
@@ -381,7 +404,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
 
 
 def filed(texts: DataFrame, total: np.ndarray, least: float) -> DataFrame:
-    """node, label, n, bins, keys, low_keys: keys are the rarest words of a text, as many as leave no room for `least` of it without them.
+    """node, n, bins, keys, low_keys: keys are the rarest words of a text, as many as leave no room for `least` of it without them.
 
     A key is a word's 32-bit name. low_keys: the least LEAST_KEYS of them.
     """
@@ -390,13 +413,13 @@ def filed(texts: DataFrame, total: np.ndarray, least: float) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             keys = []
-            for x in batch.column(4):
+            for x in batch.column(3):
                 w = labelled(mix(np.frombuffer(unpack.decompress(x.as_py()), "<u4").astype(np.uint64)))
                 count, name = total[(w >> np.uint64(64 - RARE_BITS)).astype(np.int64)], (w >> np.uint64(32)).astype("<u4").view("<i4")
                 keys.append(np.sort(name[np.lexsort((name, count))][: len(w) - int(needed(len(w), least)) + 1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.list_(pa.int32())), pa.array([k[:LEAST_KEYS].tobytes() for k in keys], pa.binary())], names=["node", "label", "n", "bins", "keys", "low_keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.list_(pa.int32())), pa.array([k[:LEAST_KEYS].tobytes() for k in keys], pa.binary())], names=["node", "n", "bins", "keys", "low_keys"])
 
-    return texts.select("node", "label", "n", "bins", "words").mapInArrow(run, "node long, label long, n int, bins binary, keys array<int>, low_keys binary")
+    return texts.select("node", "n", "bins", "words").mapInArrow(run, "node long, n int, bins binary, keys array<int>, low_keys binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -449,7 +472,7 @@ def before(key: int, low_keys: list[bytes]) -> np.ndarray:
 
 
 def unjoined(marked: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of different labels under one key, but for those that lengths or bins rule out; marked: stored rows of filed."""
+    """The pairs (a, b) of different labels under one key, but for those that lengths or bins rule out; marked: stored rows of filed, with label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -517,44 +540,50 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose node may be one of stored wanted ones, by a bitmap of 16 bits for each of these, or CELLS cells; so most others aren't shuffled."""
+def sieved(rows: DataFrame, wanted: DataFrame, key: str = "node") -> DataFrame:
+    """The rows whose key may be one of stored wanted ones, by a bitmap of 16 bits for each of these, or CELLS cells; so most others aren't shuffled."""
     cells = min(CELLS, 1 << (max(1, wanted.count() // 4) - 1).bit_length())
-    cell, bit = F.shiftrightunsigned("node", 6) % cells, "cast(node & 63 as int)"
+    cell, bit = F.shiftrightunsigned(key, 6) % cells, f"cast({key} & 63 as int)"
     marks = wanted.groupBy(cell.alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("marks"))
     return rows.join(F.broadcast(marks), cell == F.col("cell")).where(f"getbit(marks, {bit}) = 1").select(*rows.columns)
 
 
-def _begun(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored: the rows' nodes; bucket, node and leader of buckets of several nodes; the texts of these nodes and of short ones."""
+def _begun(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: the rows' nodes; leader, node and their buckets of several nodes; the texts of these nodes, with the leaders that lengths and bins leave, and of short ones."""
     rows = c.stored(nodes(docs, id_col, text_col), "nodes")
     made = rows.where(F.col("n").isNotNull())
     state = c.stored(gathered(made), "buckets")
     c.swept(docs.sparkSession)
     wanted = c.stored(state.select("node").union(state.select("leader")).union(made.where(F.col("n") <= SHORT).select("node")).distinct(), "wanted")
-    texts = c.stored(sieved(made.select("node", "n", "bins", "words"), wanted).join(wanted, "node").dropDuplicates(["node"]), "texts")
+    of = lambda *what: sieved(made.select("node", *what), wanted).join(wanted, "node").dropDuplicates(["node"])
+    # two texts may lead each other in different batches
+    met = state.groupBy(F.least("leader", "node"), F.greatest("leader", "node")).agg(F.min(F.struct("leader", "node")).alias("x")).select(F.col("x.leader").alias("a"), F.col("x.node").alias("b"))
+    leaders = c.stored(possible(met, of("n", "bins"), least).groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("leaders")), "leaders")
+    texts = c.stored(of("n", "bins", "words").join(leaders, "node", "left"), "texts")
     ids = c.stored(rows.select("doc_id", "text_hash", "node"), "ids")
-    c.dropped(rows, wanted)
+    c.dropped(rows, wanted, leaders)
     return ids, state, texts
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, node, label, class_id (the class's least doc_id), n_links (verified links at the row's text) of every row."""
-    ids, state, texts = _begun(docs, id_col, text_col)
+    ids, state, texts = _begun(docs, least, id_col, text_col)
     c.swept(docs.sparkSession)
-    met = state.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    first = c.stored(verified(possible(met, texts, least), texts, least), "links")
+    first = c.stored(verified(led(texts), least), "links")
     early = components(first)
-    open_ = unmet(state, early).union(texts.where(F.col("n") <= SHORT).select("node")).distinct().join(early, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = c.stored(texts.join(open_, "node"), "rest")
-    keyed = c.stored(filed(rest, rarity(rest), least), "keys")
-    edges = first.unionByName(c.stored(verified(unjoined(keyed, least), rest, least), "links"))
+    open_ = unmet(state, early).union(texts.where(F.col("n") <= SHORT).select("node")).distinct().join(early, "node", "left")
+    open_ = c.stored(open_.select("node", F.coalesce("label", "node").alias("label")), "open")
+    rest = sieved(texts, open_)
+    keyed = c.stored(filed(rest, rarity(rest), least).join(open_, "node"), "keys")
+    pairs = c.stored(unjoined(keyed, least), "pairs")
+    ends = c.stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    edges = first.unionByName(c.stored(verified(_with(pairs, sieved(texts.select("node", "words"), ends), "words"), least), "links"))
     labels = components(edges)
-    c.dropped(state, texts, rest, keyed, early)
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    c.dropped(state, texts, open_, keyed, early, pairs, ends)
+    n_links = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     name_ = of.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return of.join(name_, "label").join(ends, "node", "left").select("doc_id", "text_hash", "node", "label", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return of.join(name_, "label").join(n_links, "node", "left").select("doc_id", "text_hash", "node", "label", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -404,6 +404,16 @@ def test_bins_rule_out_no_pair(a, b):
     assert most >= (Counter(x.tolist()) & Counter(y.tolist())).total()
 
 
+def test_buckets_are_shuffled_once_for_each_pair(spark):
+    """Two copies share many buckets but are one row; a bucket's name has 48 bits."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:-1] + [f"e{k}"])) for k in range(6)] + [(9, " ".join(f"x{i}" for i in range(200)))]
+    made = near_dup.nodes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id"))
+    state = near_dup.gathered(made.where("n is not null")).collect()
+    assert len({(r["leader"], r["node"]) for r in state}) == len(state) and sum(len(r["buckets"]) for r in state) > 2 * len(state)
+    assert all(0 <= b < 1 << 48 for r in state for b in r["buckets"])
+
+
 def test_order_matters():
     w = near_dup.mix(np.arange(40, dtype=np.uint64))
     turned = np.concatenate([w[20:], w[:20]])
